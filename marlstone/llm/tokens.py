@@ -1,9 +1,11 @@
 """Exact token ids of whole texts from a ``tokenizers`` file, with a bounded cache of words.
 
-Both vocabularies split a text before merging.  A single space with a non-white character on each
-side is always such a split, so a text may be encoded piece by piece between these spaces and the
-ids joined.  Where spaces come in runs and the vocabulary keeps white space, the whole text is
-encoded at once.  Strings of special tokens inside texts are ordinary text.
+Both vocabularies split a text before merging: at a single white character with others on both
+sides, and between a letter or digit and a full stop or comma before white space.  So a text may be
+encoded piece by piece between these places and the ids joined.  A vocabulary that keeps white space
+takes a space together with the word behind it; other pieces are marked with ``JOIN``.  Where white
+space comes in runs, such a text is encoded at once.  Strings of special tokens inside texts are
+ordinary text.
 """
 
 from __future__ import annotations
@@ -15,51 +17,65 @@ import numpy as np
 
 from marlstone.llm.shared import worker_cache
 
-_RUN = re.compile(r" \s|\s ")
+JOIN = "\x00"
+_WHOLE = re.compile(r"\s\s|\x00")
+_STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
+_AFTER_OTHER = re.compile(r" \x00(?<=[\W_] \x00)")
+
+
+def _part_stops(text: str) -> str:
+    """Part full stops and commas from the letters and digits before them."""
+    out = text.replace(". ", " \x00. ").replace(", ", " \x00, ").replace(".\n", " \x00.\n").replace(",\n", " \x00,\n")
+    return _STOP.sub(" \x00\\1", text) if _AFTER_OTHER.search(out) else out
 
 
 class WordEncoder:
     """``keeps_space``: the vocabulary's words carry the space before them (byte-level BPE)."""
 
-    def __init__(self, path: str, keeps_space: bool, max_words: int = 300_000):
+    def __init__(self, path: str, keeps_space: bool, max_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.marked = Tokenizer.from_file(path)  # here the mark is one token, and splits what surrounds it
+        self.mark = "<|endoftext|>"
+        self.mark_id = self.marked.token_to_id(self.mark)
         self.keeps_space, self.max_words = keeps_space, max_words
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text: all in one call, with marks between, but for texts that hold a mark."""
+        if not texts:
+            return []
+        if any(self.mark in t for t in texts):
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array(self.marked.encode_batch_fast([self.mark.join(texts) + self.mark], add_special_tokens=False)[0].ids, dtype="<u4")
+        data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+        return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        missing: set[str] = set()
-        whole: list[int] = []
+        if len(self.words) > self.max_words:
+            self.words = {"": b""}
+        words, whole, split, joint = self.words, [], [], " " if self.keeps_space else ""
         for i, text in enumerate(texts):
-            if self.keeps_space and _RUN.search(text):
-                split.append(None)
+            if (_WHOLE.search(text) if self.keeps_space else JOIN in text):
                 whole.append(i)
+                split.append([])
+            elif self.keeps_space:  # a leading space keeps its word; a text's start has none
+                text = _part_stops(text).replace("\n", " \x00\n \x00")
+                split.append((text[1:] if text[:1] == " " else JOIN + text).split(" ") if text else [])
             else:
-                split.append(text.split(" "))
-        if len(self.words) > self.max_words:
-            self.words = {}
-        words, joint = self.words, " " if self.keeps_space else ""
-        for pieces in split:
-            if pieces:
-                missing.update(pieces[1:] if self.keeps_space else pieces)
-        fresh = [w for w in missing if w not in words]
-        words.update(zip(fresh, self._encode([joint + w for w in fresh])))
-        ids: list[bytes] = [b""] * len(texts)
+                split.append(_part_stops(text).replace("\n", " ").split(" "))
+        fresh = list(set().union(*split).difference(words))
+        bare = [w.removeprefix(JOIN) if w[:1] == JOIN else joint + w for w in fresh]
+        words.update(zip(fresh, self._encode(bare)))
+        if self.keeps_space:
+            words[""] = self._encode([" "])[0]  # only a text's last space stands alone
+        ids = [b"".join(map(words.__getitem__, pieces)) for pieces in split]
         for i, found in zip(whole, self._encode([texts[i] for i in whole])):
             ids[i] = found
-        heads = self._encode([p[0] if p else "" for p in split]) if self.keeps_space else None
-        look = words.__getitem__
-        for i, pieces in enumerate(split):
-            if pieces:
-                ids[i] = heads[i] + b"".join(map(look, pieces[1:])) if heads else b"".join(map(look, pieces))
         return ids
 
 
