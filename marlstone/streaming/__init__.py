@@ -1,0 +1 @@
+"""The engine is for batches; streams are Spark's own, and any `Frame.df` operator works on them."""
