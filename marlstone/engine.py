@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.config import EngineConfig
 from marlstone.errors import EngineError, ExecutionError, PlanningError, UnsupportedError
-from marlstone.functions.vector import register_functions
+from marlstone.functions.vector import cosine_similarity, register_functions
 from marlstone.metrics import Metrics
 from marlstone.operators import relational, retrieval
 from marlstone.sources.catalog import Catalog, TableDef
@@ -143,7 +143,7 @@ class Engine:
             return None
         k = int(params[m["k"][1:]] if m["k"].startswith(":") else m["k"])
         query, where = list(params[m["q"]]), m["where"]
-        names = [c.strip() for c in m["cols"].split(",")]
+        names = _split_columns(m["cols"])
         if table.format == "index":
             conditions = equalities(where) if where else []
             index = self.indexes.get(table.name)
@@ -151,13 +151,18 @@ class Engine:
                 raise UnsupportedError(f"table {table.name} is an index: it gives id, score and payload, filtered by equality alone")
             found = index.topk(query, k, retrieval.filter_document(conditions) if conditions else None)
             return Frame(self, found.select(*names), "index_applied")
+        self._refresh(table)
+        docs, id = self.spark.table(f"`{table.name}`"), table.options.get("vector.id_column", "id")
         index = self.indexes.get(table.options.get("vector.index_table", ""))
-        column = table.options.get("vector.embedding_column", m["vec"])
-        if index is None or column != m["vec"]:
-            return Frame(self, self._spark_sql(m.string, params), "index_fallback") if "vector.index_table" in table.options else None
-        cap = table.options.get("vector.prefetch_cap")
-        found = retrieval.two_phase(self.spark.table(table.name), table.options.get("vector.id_column", "id"), m["vec"], index, query, k, F.expr(where) if where else None, int(table.options.get("vector.prefetch_multiplier", 4)), int(cap) if cap else None)
-        return Frame(self, found.selectExpr(*names), "two_phase")
+        condition = F.expr(_bound(where, params)) if where else None
+        columns = [_bound(c, params) for c in _split_columns(m["cols"])]
+        if index is not None and table.options.get("vector.embedding_column", m["vec"]) == m["vec"]:
+            cap = table.options.get("vector.prefetch_cap")
+            found = retrieval.two_phase(docs, id, m["vec"], index, query, k, condition, int(table.options.get("vector.prefetch_multiplier", 4)), int(cap) if cap else None)
+            return Frame(self, found.selectExpr(*columns), "two_phase")
+        score = cosine_similarity(F.col(m["vec"]), query)
+        found = retrieval.topk_by_score(docs.where(condition) if where else docs, score, k, id if id in docs.columns else None, "_score")
+        return Frame(self, found.selectExpr(*columns), "index_fallback" if "vector.index_table" in table.options else None)
 
     def _insert(self, name: str, columns: list[str] | None, select: str, params: dict | None) -> "Frame":
         """Append rows to a catalog table, columns by the list's names or else by position."""
@@ -202,6 +207,33 @@ class Engine:
         self.schemas.clear()
 
 
+def _split_columns(text: str) -> list[str]:
+    """A select list cut at the commas outside parentheses and quotes."""
+    out, depth, quoted = [""], 0, False
+    for ch in text:
+        quoted ^= ch == "'"
+        depth += not quoted and {"(": 1, ")": -1}.get(ch, 0)
+        if ch == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += ch
+    return [c.strip() for c in out]
+
+
+def _bound(text: str, params: dict) -> str:
+    """Parameters as literals, for expressions outside a whole statement."""
+
+    def literal(m: re.Match) -> str:
+        value = params[m[1]]
+        if isinstance(value, (list, tuple)):
+            return f"array({', '.join(f'{float(x)!r}F' for x in value)})"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "null" if value is None else str(value)
+
+    return re.sub(r"(?<![:\w']):([A-Za-z_]\w*)", literal, text)
+
+
 def equalities(where: str) -> list[tuple[str, object]] | None:
     """The conditions of an AND of column = literal, or None for anything else."""
     out: list[tuple[str, object]] = []

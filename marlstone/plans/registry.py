@@ -125,10 +125,10 @@ def join_chain3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vector_query(name: str, function, duck: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "embeddings").select("vec_id", F.round(function(F.col("embedding"), QUERY).cast("double"), 4).alias("score"))
+        return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(function(F.col("embedding"), QUERY).cast("double"), 4) + 0.0).alias("score"))
 
     QUERIES[name] = run
-    SQL[name] = f"SELECT vec_id, round(({duck}(embedding::DOUBLE[], {DUCK_QUERY}::DOUBLE[]))::FLOAT::DOUBLE, 4) AS score FROM embeddings"
+    SQL[name] = f"SELECT vec_id, round(({duck}(embedding::DOUBLE[], {DUCK_QUERY}::DOUBLE[]))::FLOAT::DOUBLE, 4) + 0.0 AS score FROM embeddings"
 
 
 _vector_query("cosine", cosine_similarity, "list_cosine_similarity")
