@@ -60,10 +60,13 @@ class RunLevels:
         return [r for level in self.levels for r in level]
 
     def add(self, batch: DataFrame) -> None:
-        """Count a batch of hashes (a, b), one row a document, but for what has reached the threshold."""
+        """Count a batch of hashes (a, b), one row a document, but for what has reached the threshold.
+
+        Counting comes first: it folds a frequent line before any shuffle."""
+        counts = batch.groupBy("a", "b").agg(F.count("*").alias("n"))
         for run in self.runs():
-            batch = batch.join(run.where(F.col("n") >= self.threshold).select("a", "b"), ["a", "b"], "left_anti")
-        self._put(0, batch.groupBy("a", "b").agg(F.count("*").alias("n")))
+            counts = counts.join(run.where(F.col("n") >= self.threshold).select("a", "b"), ["a", "b"], "left_anti")
+        self._put(0, counts)
 
     def _put(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
