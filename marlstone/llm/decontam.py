@@ -3,8 +3,8 @@
 1. Texts become word positions over the benchmark's vocabulary, once, in the shared folder.
 2. Document frequencies of the terms over all passages (windows of ``window`` words) give TF-IDF.
 3. A distributed randomised SVD: every task multiplies its passages' TF-IDF matrix A into A'(A G) for
-   one random matrix G, the products are summed, and the benchmark's own rows are added with a weight
-   that puts them among the leading directions.  The orthonormal basis of the sum spans the latent space.
+   one random matrix G of ``rank`` columns, and the products are summed.  The latent space is spanned
+   by the sum and the benchmark's own rows, so that no item falls outside it.
 4. Overlapping passages are projected, and compared by cosine with each item's projection; the norms
    are those before projecting, so a passage far from the benchmark's span does not look near.
 5. A candidate region is aligned to the item by an IDF-weighted longest common subsequence.  A high
@@ -102,8 +102,8 @@ def _passages(batch, content: np.ndarray | None, window: int, step: int):
     n_parts = np.maximum(1, -(-sizes // step)) if len(sizes) else sizes
     first = np.cumsum(n_parts) - n_parts
     passage = first[doc] + pos // step
-    if step < window:  # each word lies in the passage before, too
-        again = pos >= step
+    if step < window:  # a passage reaches into the next one's words
+        again = (pos >= step) & (pos % step < window - step)
         passage, term = np.r_[passage, passage[again] - 1], np.r_[term, term[again]]
     key, n = np.unique(passage * (1 << 32) + term, return_counts=True)
     return arrays, np.repeat(np.arange(len(arrays)), n_parts), np.arange(int(n_parts.sum())) - np.repeat(first, n_parts), key >> 32, key & 0xFFFFFFFF, n
@@ -169,25 +169,23 @@ def _sum_rows(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([a.tobytes() for a in sums.values()], pa.binary())], ["term", "row"])
 
 
-def latent_basis(terms: DataFrame, items: Items, held, window: int, rank: int, anchor_weight: float, seed: int = 11) -> np.ndarray:
-    """Orthonormal columns (terms, rank).  The driver gets a row for each term of the vocabulary."""
+def latent_basis(terms: DataFrame, items: Items, held, window: int, rank: int, seed: int = 11) -> np.ndarray:
+    """Orthonormal columns (terms, up to rank + items).  The driver gets a row for each term of the vocabulary."""
     n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = terms.mapInArrow(_products(held, window, rank, seed), "term long, row binary")
     summed = made.repartition(n, "term").mapInArrow(_sum_rows, "term long, row binary").toArrow()
     total = np.zeros((len(items.vocabulary), rank), np.float64)
     for t, r in zip(summed.column("term").to_pylist(), summed.column("row").to_pylist()):
         total[t] = np.frombuffer(r, np.float32)
-    noise = np.random.default_rng(seed).normal(size=total.shape)
-    own = items.vectors().astype(np.float64)
-    scale = np.linalg.norm(total) / max(np.linalg.norm(own.T @ (own @ noise)), 1e-9) if total.any() else 1.0
-    basis, _ = np.linalg.qr(total + anchor_weight * max(scale, 1.0) * (own.T @ (own @ noise)))
+    leading, strength, _ = np.linalg.svd(total, full_matrices=False)
+    basis, _ = np.linalg.qr(np.c_[items.vectors().T.astype(np.float64), leading[:, strength > 1e-6 * max(strength[0], 1e-12)]])
     return basis.astype(np.float32)
 
 
 def _search(held, window: int, cosine: float, sure: float, maybe: float, answer: float, min_words: int):
     def run(batches):
         items, basis, latent = held.value
-        step = window // 2
+        step = window * 3 // 4
         for batch in batches:
             arrays, owners, number, passage, term, n = _passages(batch, items.content, window, step)
             w, starts, of = _rows(items, passage, term, n)
@@ -233,7 +231,7 @@ def _densest(region: np.ndarray, at: np.ndarray, span: int, idf: np.ndarray) ->
     return region[a : a + span + 4]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 256, cosine: float = 0.3, sure: float = 0.6, maybe: float = 0.4, answer: float = 0.75, stop_share: float = 0.02, min_words: int = 6, block_items: int = 2000, anchor_weight: float = 10.0) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 64, cosine: float = 0.3, sure: float = 0.6, maybe: float = 0.4, answer: float = 0.75, stop_share: float = 0.02, min_words: int = 6, block_items: int = 2000) -> DataFrame:
     """doc_id, item_id, cosine, overlap, answer of every document that holds an item or a paraphrase."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -253,8 +251,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 2
         frequency = np.zeros(len(items.vocabulary), np.int64)
         frequency[list(counts)] = list(counts.values())
         items.weigh(frequency, passages, stop_share)
-        size = min(len(items.vocabulary), max(rank, len(items.ids) + 32))
-        basis = latent_basis(terms, items, hold(spark, items), window, size, anchor_weight)
+        basis = latent_basis(terms, items, hold(spark, items), window, min(rank, len(items.vocabulary)))
         search = _search(hold(spark, (items, basis, items.vectors() @ basis)), window, cosine, sure, maybe, answer, min_words)
         part = terms.mapInArrow(search, FOUND)
         found = part if found is None else found.unionByName(part)
