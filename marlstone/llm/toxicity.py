@@ -58,6 +58,7 @@ class Network:
             z = x @ w[0]
             for j in range(1, len(w)):
                 z[:-j] += x[j:] @ w[j]
+            z[ids == PAD] = 0  # a window that starts on a pad would reach the next text
             found.append(z)
         return found
 

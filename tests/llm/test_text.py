@@ -1,0 +1,197 @@
+import hashlib
+import re
+
+import numpy as np
+from conftest import ODD_TEXTS
+from oracle import duck, spark_rows
+from pyspark.sql import functions as F
+
+from marlstone.llm.chat import format_chat, loss_text, read_turns
+from marlstone.llm.decontam import leaks, weighted_lcs
+from marlstone.llm.pii import permute_digits, pseudonymise
+from marlstone.llm.quality import Logistic, quality_scores
+from marlstone.llm.registry import QUERIES, SQL
+from marlstone.llm.toxicity import fit, toxicity_scores, train, word_ids
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_sql(spark):
+    for name, sql in SQL.items():
+        assert spark_rows(QUERIES[name](spark, SF)) == duck(sql, SF), name
+
+
+def test_registry():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_chat_round_trip(spark):
+    texts = [None, "", "plain", "<|im_end|><|im_start|>assistant ok", "a\\b\\", "<\\|x", "<", "\\", "<|nl|>", "<|im_next|>", "l1\nl2\n"]
+    rows = [(1, i, ["user", "assistant", "assistant", None, "sys\ntem", "<|role"][i % 6], t) for i, t in enumerate(texts * 3)]
+    rows += [(2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (None, None, None, None), (3, 5, "user", "late"), (3, None, "user", "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("blocks", F.lit(1)).repartition(4)
+    made = format_chat(df).withColumns({"back": read_turns(F.col("formatted")), "loss": loss_text(F.col("formatted"), F.col("loss_spans"))})
+    got = {r["conv_id"]: r for r in made.collect()}
+    for conv in (1, 2, 3, None):
+        own = [(r[1], r[2] or "", r[3] or "") for r in rows if r[0] == conv]
+        own.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
+        assert [tuple(t) for t in got[conv]["back"]] == [t[1:] for t in own]
+        assert got[conv]["loss"] == "".join(t[2] for t in own if t[1] == "assistant")
+        assert len(got[conv]["loss_spans"]) == sum(t[1] == "assistant" for t in own)
+    assert format_chat(df.limit(0)).count() == 0
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute_permute(digits, key, kind):
+    cut = len(digits) // 2
+    sizes, half = (10**cut, 10 ** (len(digits) - cut)), [int(digits[:cut]), int(digits[cut:])]
+    for i in range(8):
+        digest = hashlib.sha256(f"{key}|{kind}|{i}|{half[1 - i % 2]}".encode()).hexdigest()
+        half[i % 2] = (half[i % 2] + int(digest[:15], 16)) % sizes[i % 2]
+    return str(half[0]).zfill(cut) + str(half[1]).zfill(len(digits) - cut)
+
+
+def test_permutation(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    got = {r["d"]: r["p"] for r in df.select("d", permute_digits(F.col("d"), "k", "x").alias("p")).collect()}
+    assert got == {d: brute_permute(d, "k", "x") for d in got} and len(set(got.values())) == 1000
+
+
+def test_pii(spark, odd, empty):
+    card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
+    text = f"at ann.b@mail1.example.com call +1 (988) 555-2485 or {card}. On 2021-02-28, 31/12/1999 not 2021-02-31; ip 10.0.200.7 not 10.0.300.7; {iban}, 123-45-6789, 4111111111111112 end"
+    df = spark.createDataFrame([(1, text), (2, f"{card} and 10.0.200.7, 4111111111111111"), (3, "nothing here"), (4, "1234567 1.2 3")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonymise(df, "key").collect()}
+    new = got[1]["text"]
+    for gone in ("ann.b", "988) 555", card, "2021-02-28", "31/12/1999", "10.0.200.7", iban, "123-45-6789"):
+        assert gone not in new
+    for kept in ("2021-02-31", "10.0.300.7", "4111111111111112", "at ", " call +1 (", " end"):
+        assert kept in new
+    number = re.search(r"or ([\d ]+)\.", new)[1]
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", number) and luhn(number.replace(" ", "")) and number in got[2]["text"] and number.replace(" ", "") in got[2]["text"]
+    other = re.search(r"[A-Z]{2}\d{20}", new)[0]
+    assert int("".join(str(int(c, 36)) for c in other[4:] + other[:4])) % 97 == 1
+    assert re.search(r"ip (\d+\.\d+\.\d+\.\d+) not", new)[1] in got[2]["text"]
+    phone = "9885552485"
+    assert brute_permute(phone, "key", "phone") in re.sub(r"\D", "", new)
+    assert (got[3]["text"], got[4]["text"]) == ("nothing here", "1234567 1.2 3")
+    assert [got[1][f"n_{k}"] for k in ("email", "address", "date", "ssn", "card", "phone", "iban")] == [1, 1, 2, 1, 1, 1, 1]
+    assert sorted(r["text"] or "" for r in pseudonymise(odd, "key").collect()) == sorted(r["text"] or "" for r in odd.collect())
+    assert pseudonymise(empty, "key").count() == 0
+
+
+def test_logistic_separates():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 3)).astype(np.float32)
+    y = (x[:, 0] > 0).astype(float)
+    assert (((Logistic.fit(x, y).logit(x) > 0) == y).mean()) > 0.97
+    assert np.allclose(Logistic.fit(x, np.ones(400)).logit(x), 0)
+
+
+def test_quality_held_out(spark):
+    """Fitted on half of the labels, right on nearly all others; clean documents stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in quality_scores(docs, labels.where("doc_id % 2 = 0")).collect()}
+    rest = labels.where("doc_id % 2 = 1").collect()
+    good = [got[r["doc_id"]]["kept"] for r in rest if r["quality"] == 1]
+    bad = [got[r["doc_id"]]["kept"] for r in rest if r["quality"] == 0]
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.25
+
+
+def test_quality_odd(spark, odd, empty):
+    labels = spark.createDataFrame([(0, 1, 0), (5, 0, None), (6, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = quality_scores(odd, labels).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality_scores(empty, labels).count() == 0
+    assert all(r["kept"] for r in quality_scores(odd, labels.limit(0)).collect())
+
+
+def test_word_ids_part_texts():
+    ids, starts = word_ids(["a b!", "", "c\x00d"])
+    assert len(starts) == 3 and starts[0] == 0 and list(np.diff(starts)) == [5, 3] and len(ids) == 13
+
+
+def test_toxicity_held_out():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(300)]
+    y = (rng.random(500) < 0.3).astype(float)
+    texts = [" ".join([*rng.choice(words, rng.integers(5, 60)), *(["awful"] if t else [])]) for t in y]
+    net = train(texts[:400], y[:400])
+    scores = net.scores(texts[400:])
+    assert ((scores > 0.5) == y[400:]).mean() > 0.95
+    assert np.allclose(net.scores(texts[400:], chars=50), scores, atol=1e-5)
+
+
+def test_toxicity_odd(spark, odd, empty):
+    labels = spark.createDataFrame([(0, 1, 0), (5, 0, 1), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = fit(odd, labels)
+    rows = toxicity_scores(odd, model).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert toxicity_scores(empty, model).count() == 0
+    assert all(0 <= r["score"] <= 1 for r in toxicity_scores(odd, fit(odd, labels.limit(0))).collect())
+
+
+def test_weighted_lcs():
+    def slow(a, b, w):
+        t = np.zeros((len(a) + 1, len(b) + 1))
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = max(t[i, j + 1], t[i + 1, j], t[i, j] + w[a[i]] if a[i] == b[j] else 0)
+        return t[-1, -1]
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        a, b, w = rng.integers(0, 6, 12), rng.integers(-1, 6, 20), rng.random(6)
+        assert abs(weighted_lcs(a, b, w) - slow(a, b, w)) < 1e-9
+
+
+def test_leaks(spark, odd, empty):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(4000)]
+    say = lambda n: list(rng.choice(words, n))
+    items = {i: say(30) for i in range(8)}
+    docs, want = [], set()
+    for d in range(300):
+        body = say(200)
+        if d % 10 == 0:  # whole
+            k = int(rng.integers(0, 8))
+            body[50:50] = items[k]
+            want.add((d, k))
+        elif d % 10 == 1:  # paraphrased: every fifth word is another, one is dropped
+            k = int(rng.integers(0, 8))
+            body[90:90] = [w if j % 5 else "zz" for j, w in enumerate(items[k]) if j != 7]
+            want.add((d, k))
+        docs.append((d, " ".join(body) + "."))
+    docs = spark.createDataFrame([*docs, (None, None), (900, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([*((i, " ".join(w).upper()) for i, w in items.items()), (50, None), (51, "")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench, block_items=3).collect()} == want
+    assert leaks(empty, bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
+    leaks(odd, bench).collect()
+    assert ODD_TEXTS
+
+
+def test_pipeline_keeps_what_brute_force_keeps(spark):
+    import corpus_pipeline
+    from test_dedup import brute_components, brute_fingerprint
+
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "exact_dedup", "near_dedup", "decontamination", "packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = dict(corpus_pipeline.STAGES)["quality"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()))
+    best = {}
+    for d, t in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
+        best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), d)
+    rows = [r for r in rows if r[0] in set(best.values())]
+    fps = [brute_fingerprint(t) for _, t in rows]
+    roots = brute_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    rows = [r for i, r in enumerate(rows) if roots[i] == i]
+    items = [" ".join(r["text"].split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = {d for d, t in rows if not any(x in " ".join(t.split()) for x in items)}
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want
