@@ -58,7 +58,7 @@ def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of a Python worker's batch: texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
