@@ -32,7 +32,7 @@ def _part_stops(text: str) -> str:
 class WordEncoder:
     """``keeps_space``: the vocabulary's words carry the space before them (byte-level BPE)."""
 
-    def __init__(self, path: str, keeps_space: bool, max_words: int = 300_000):
+    def __init__(self, path: str, keeps_space: bool, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
