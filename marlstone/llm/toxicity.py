@@ -1,7 +1,8 @@
 """Toxicity by a small convolutional classifier, trained and run in numpy.
 
-Words are hashed to embeddings; filters of widths 1 to 3 slide over the whole text; the maximum of
-each filter over the text feeds a logistic output.  Gradients reach the winning windows only.  The
+A word and its first four and six bytes are hashed to embeddings, which are added, so forms of a stem
+share what is learnt of it; filters of widths 1 to 3 slide over the whole text; the maximum of each
+filter over the text feeds a logistic output.  Gradients reach the winning windows only.  The
 score depends on the text alone.  Thresholds per language, for callers that want them, are calibrated
 on training rows kept apart from the fit, and shrunk to the common threshold where a language is rare.
 
@@ -25,21 +26,22 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.shared import arrow_batches, hold, table, texts_of
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
+STEMS = (4, 6)  # bytes
 PAD = BUCKETS  # its embedding is zero; windows may lie over it
 _PARTS = bytes.maketrans(string.punctuation.encode() + b"\x00", b" " * (len(string.punctuation) + 1))
 _SEPARATOR = b" " + b"\x00 " * max(WIDTHS)
 
 
 def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids of all texts in a row, each followed by pads; and where each text starts."""
+    """Of each word of all texts in a row the buckets of it and its stems, with pads behind each text;
+    and where each text starts."""
     parts = [t.lower().encode().translate(_PARTS) for t in texts]
     words = (_SEPARATOR.join(parts) + _SEPARATOR).split()
-    hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    pad = hashes == zlib.crc32(b"\x00")
-    if (hashes[pad].size != len(texts) * max(WIDTHS)):  # a word with the pad's hash
-        pad = np.fromiter((w == b"\x00" for w in words), bool, len(words))
-    ids = np.where(pad, PAD, hashes & np.uint32(BUCKETS - 1)).astype(np.int64)
+    pad = np.fromiter((w == b"\x00" for w in words), bool, len(words))
+    hashes = [np.fromiter(map(zlib.crc32, words), np.uint32, len(words))]
+    hashes += [np.fromiter((zlib.crc32(w[:n], n) for w in words), np.uint32, len(words)) for n in STEMS]
+    ids = np.where(pad, PAD, np.stack(hashes) & np.uint32(BUCKETS - 1)).astype(np.int64)
     ends = np.flatnonzero(pad)[max(WIDTHS) - 1 :: max(WIDTHS)] + 1
     return ids, np.r_[0, ends[:-1]].astype(np.int64)
 
@@ -52,13 +54,15 @@ class Network:
     bias: float
 
     def windows(self, ids: np.ndarray) -> list[np.ndarray]:
-        x = self.embeddings[ids]
+        x = self.embeddings[ids[0]]
+        for stem in ids[1:]:
+            x += self.embeddings[stem]
         found = []
         for w in self.filters:
             z = x @ w[0]
             for j in range(1, len(w)):
                 z[:-j] += x[j:] @ w[j]
-            z[ids == PAD] = 0  # a window that starts on a pad would reach the next text
+            z[ids[0] == PAD] = 0  # a window that starts on a pad would reach the next text
             found.append(z)
         return found
 
@@ -80,8 +84,9 @@ class Network:
         return np.concatenate(found)
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.05, seed: int = 7) -> Network:
-    """Adagrad over minibatches.  The first embedding dimension starts at the word's log-odds."""
+def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.05, prior: float = 8.0, seed: int = 7) -> Network:
+    """Adagrad over minibatches.  The first embedding dimension starts at the log-odds of the word or
+    stem against the base rate, shrunk as by ``prior`` documents of it."""
     rng = np.random.default_rng(seed)
     share = float(y.mean()) if len(y) else 0.0
     emb = rng.normal(0, 0.05, (BUCKETS + 1, DIM)).astype(np.float32)
@@ -95,9 +100,8 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rat
     seen = np.zeros((2, BUCKETS + 1))
     for ids, label in zip(all_ids, y):
         seen[int(label), np.unique(ids)] += 1
-    odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - y).sum() + 1))
-    odds *= (seen.sum(axis=0) >= 4)
-    emb[:, 0] = np.clip(odds, -4, 4) / 4
+    rates = (seen[1] + prior * share) / (seen.sum(axis=0) + prior)
+    emb[:, 0] = (np.log(rates / (1 - rates)) - np.log(share / (1 - share))) / 8
     emb[PAD] = 0
     for w in filters:
         w[0, 0, : FILTERS // 2] += 1
@@ -107,9 +111,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rat
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), batch):
             chosen = order[lo : lo + batch]
-            ids = np.concatenate([all_ids[i] for i in chosen])
-            starts = np.r_[0, np.cumsum([len(all_ids[i]) for i in chosen])[:-1]]
-            ends = np.r_[starts[1:], len(ids)]
+            ids = np.concatenate([all_ids[i] for i in chosen], axis=1)
+            starts = np.r_[0, np.cumsum([all_ids[i].shape[1] for i in chosen])[:-1]]
+            ends = np.r_[starts[1:], ids.shape[1]]
             zs = net.windows(ids)
             best = [np.array([z[a:b].argmax(axis=0) + a for a, b in zip(starts, ends)]) for z in zs]
             top = [np.take_along_axis(z, k, axis=0) for z, k in zip(zs, best)]
@@ -122,10 +126,11 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rat
                 part = error[:, None] * net.out[n * FILTERS : (n + 1) * FILTERS] * (t > 0)  # (docs, filters)
                 d_w = np.zeros_like(w)
                 for j in range(len(w)):
-                    at = ids[np.minimum(k + j, len(ids) - 1)]  # (docs, filters)
-                    d_w[j] = np.einsum("dfe,df->ef", emb[at], part)
-                    d_emb_rows.append(at.ravel())
-                    d_emb.append((part[:, :, None] * w[j].T[None]).reshape(-1, DIM))
+                    at = ids[:, np.minimum(k + j, ids.shape[1] - 1)]  # (word and stems, docs, filters)
+                    d_w[j] = np.einsum("dfe,df->ef", emb[at].sum(axis=0), part)
+                    for of in at:
+                        d_emb_rows.append(of.ravel())
+                        d_emb.append((part[:, :, None] * w[j].T[None]).reshape(-1, DIM))
                 g_filters[n] += d_w**2
                 w -= rate * d_w / np.sqrt(g_filters[n])
             rows, d = np.concatenate(d_emb_rows), np.concatenate(d_emb)

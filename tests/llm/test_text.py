@@ -111,7 +111,7 @@ def test_quality_odd(spark, odd, empty):
 
 def test_word_ids_part_texts():
     ids, starts = word_ids(["a b!", "", "c\x00d"])
-    assert len(starts) == 3 and starts[0] == 0 and list(np.diff(starts)) == [5, 3] and len(ids) == 13
+    assert len(starts) == 3 and starts[0] == 0 and list(np.diff(starts)) == [5, 3] and ids.shape == (3, 13)
 
 
 def test_toxicity_held_out():
@@ -125,6 +125,15 @@ def test_toxicity_held_out():
     assert np.allclose(net.scores(texts[400:], chars=50), scores, atol=1e-5)
 
 
+def test_toxicity_knows_forms_of_a_stem():
+    rng = np.random.default_rng(3)
+    words, endings = [f"w{i}" for i in range(300)], [a + b for a in "aeiou" for b in "bdfgklmnprst"]
+    y = (rng.random(500) < 0.3).astype(float)
+    texts = [" ".join([*rng.choice(words, 20), *(["grumph" + endings[rng.integers(0, 30) + 30 * (i >= 400)]] if t else [])]) for i, t in enumerate(y)]
+    scores = train(texts[:400], y[:400]).scores(texts[400:])  # endings that training has not seen
+    assert ((scores > 0.5) == y[400:]).mean() > 0.95
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, 0), (5, 0, 1), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = fit(odd, labels)
