@@ -43,6 +43,7 @@ class WordEncoder:
         self.mark_id = self.marked.token_to_id(self.mark)
         self.keeps_space, self.max_words = keeps_space, max_words
         self.words: dict[str, bytes] = {"": b""}
+        self.passed = 0  # words encoded and not kept since the cache was filled
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text: all in one call, with marks between, but for texts that hold a mark."""
@@ -56,8 +57,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.words) > self.max_words:
-            self.words = {"": b""}
+        if self.passed > 4 * self.max_words:  # other texts than those that filled the cache
+            self.words, self.passed = {"": b""}, 0
         words, whole, split, joint = self.words, [], [], " " if self.keeps_space else ""
         for i, text in enumerate(texts):
             if (_WHOLE.search(text) if self.keeps_space else JOIN in text):
@@ -76,6 +77,10 @@ class WordEncoder:
         ids = [b"".join(map(words.__getitem__, pieces)) for pieces in split]
         for i, found in zip(whole, self._encode([texts[i] for i in whole])):
             ids[i] = found
+        if len(words) > self.max_words:  # full: what is common is there, and rare words pass by
+            self.passed += len(fresh)
+            for w in fresh:
+                del words[w]
         return ids
 
 
