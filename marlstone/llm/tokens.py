@@ -23,6 +23,13 @@ _STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
 _AFTER_OTHER = re.compile(r" \x00(?<=[\W_] \x00)")
 
 
+def _has_runs(text: str) -> bool:
+    """Whether ``_WHOLE`` is found.  Of white space, only the space is printable, so most texts need no search."""
+    if text.replace("\n", "").isprintable() and not any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")):
+        return False
+    return _WHOLE.search(text) is not None
+
+
 def _part_stops(text: str) -> str:
     """Part full stops and commas from the letters and digits before them."""
     out = text.replace(". ", " \x00. ").replace(", ", " \x00, ").replace(".\n", " \x00.\n").replace(",\n", " \x00,\n")
@@ -61,7 +68,7 @@ class WordEncoder:
             self.words, self.passed = {"": b""}, 0
         words, whole, split, joint = self.words, [], [], " " if self.keeps_space else ""
         for i, text in enumerate(texts):
-            if (_WHOLE.search(text) if self.keeps_space else JOIN in text):
+            if (_has_runs(text) if self.keeps_space else JOIN in text):
                 whole.append(i)
                 split.append([])
             elif self.keeps_space:  # a leading space keeps its word; a text's start has none

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from marlstone.llm.packing import pack, plan_best_fit
 from marlstone.llm.tokenfile import EliasFano, ShardReader, ShardWriter, read_token_files, write_token_files
-from marlstone.llm.tokens import WordEncoder
+from marlstone.llm.tokens import _WHOLE, WordEncoder, _has_runs
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -123,3 +123,20 @@ def test_token_files_odd(spark, odd, empty, tmp_path):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
     write_token_files(empty, f"file://{tmp_path}/none", WORD, shards=2)
     assert read_token_files(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_runs_of_white_space_are_found():
+    rng = random.Random(4)
+    signs = ["a", "é", " ", "\n", "\t", "\x00", "\x1c", "\u00a0", "\u2028", "\u3000", "\u200b", "\u00ad", "\U0001f600"]
+    for size in range(12):
+        for _ in range(500):
+            text = "".join(rng.choices(signs, weights=[9, 3, 6, 3, *[1] * 9], k=size))
+            assert _has_runs(text) == bool(_WHOLE.search(text)), repr(text)
+
+
+def test_full_word_cache_gives_the_same_ids():
+    small, large = WordEncoder(BYTE, True, max_words=5), WordEncoder(BYTE, True)
+    for k in range(30):
+        texts = [f"the word number{k} and {k * 7} of\nmany, more.", "the rest of it"]
+        assert small.encode(texts) == large.encode(texts)
+        assert len(small.words) <= 6
