@@ -57,9 +57,33 @@ class Items:
         self.ids = [i for i, _ in words]
         self.terms = [np.array([self.vocabulary[x] for x in w], np.int32) for _, w in words]
 
-    def weigh(self, frequency: np.ndarray, passages: int, stop_share: float) -> None:
+    def weigh(self, frequency: np.ndarray, passages: int, stop_share: float, maybe: float) -> None:
+        """Weights, and which terms are looked for.  Frequent ones are not, but for those without
+        which an item would lose over ``maybe`` / 2 of its weight; ``least`` allows for what it loses.
+        """
         self.idf = np.log((passages + 1) / (frequency + 0.5)).clip(0.01).astype(np.float32)
-        self.content = frequency <= max(20, stop_share * passages)  # the others carry no TF-IDF
+        self.content = frequency <= max(20, stop_share * passages)
+        parts = []
+        for t in self.terms:
+            term, n = np.unique(t, return_counts=True)
+            share = n * self.idf[term].astype(np.float64)
+            parts.append((term, share / share.sum()))
+        frequent = ~self.content
+        for term, share in parts:
+            order = np.argsort(self.idf[term], kind="stable")
+            order = order[frequent[term[order]]]
+            self.content[term[order[np.cumsum(share[order]) > maybe / 2]]] = True
+        self.least = np.array([maybe - share[~self.content[term]].sum() - 1e-6 for term, share in parts])
+        # Of each term the items that hold it, and its share of their weight.
+        terms = np.concatenate([term for term, _ in parts])
+        order = np.argsort(terms, kind="stable")
+        self.held_by = np.repeat(np.arange(len(parts)), [len(term) for term, _ in parts])[order]
+        self.share = np.concatenate([share for _, share in parts])[order]
+        self.first = np.searchsorted(terms[order], np.arange(len(self.vocabulary) + 1))
+
+    def spans(self) -> np.ndarray:
+        """Words of the region that an item is aligned to, at most."""
+        return np.array([int(1.5 * len(t)) + 8 for t in self.terms], np.int64)
 
     def vectors(self) -> np.ndarray:
         out = np.zeros((len(self.ids), len(self.vocabulary)), np.float32)
@@ -182,6 +206,29 @@ def latent_basis(terms: DataFrame, items: Items, held, window: int, rank: int, s
     return basis.astype(np.float32)
 
 
+def _shared(items: Items, passage: np.ndarray, term: np.ndarray, owners: np.ndarray, window: int, step: int):
+    """(item, passage, further passages): where a region may hold enough of an item's weight.
+
+    A region starts in a passage and reaches into a fixed number of further ones, so the weight that
+    it shares is at most the sum of what these hold: no region that alignment would take is left out.
+    """
+    n = items.first[term + 1] - items.first[term]
+    at = np.repeat(items.first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+    key, of = np.unique(items.held_by[at] * len(owners) + np.repeat(passage, n), return_inverse=True)
+    sums = np.bincount(of, items.share[at], len(key))
+    item, passage = np.divmod(key, max(1, len(owners)))
+    more = np.maximum(0, -(-(items.spans() - 1 - (window - step)) // step))[item]
+    total, every = sums.copy(), np.arange(len(key))
+    for i in range(1, int(more.max(initial=0)) + 1):
+        own = every[(more >= i) & (passage + i < len(owners))]
+        own = own[owners[passage[own] + i] == owners[passage[own]]]
+        there = np.searchsorted(key, key[own] + i)
+        hit = (there < len(key)) & (key[np.minimum(there, len(key) - 1)] == key[own] + i)
+        total[own[hit]] += sums[there[hit]]
+    found = total >= items.least[item]
+    return item[found], passage[found], more[found]
+
+
 def _search(held, window: int, cosine: float, sure: float, maybe: float, answer: float, min_words: int):
     def run(batches):
         items, basis, latent = held.value
@@ -189,29 +236,41 @@ def _search(held, window: int, cosine: float, sure: float, maybe: float, answer:
         for batch in batches:
             arrays, owners, number, passage, term, n = _passages(batch, items.content, window, step)
             w, starts, of = _rows(items, passage, term, n)
-            best: dict[tuple[int, int], list] = {}
+            best: dict[tuple[int, int], dict] = {}
+            shared = _shared(items, passage, term, owners, window, step)
+            by_row = np.argsort(shared[1], kind="stable")
+            shared = tuple(x[by_row] for x in shared)
             for lo, hi, _, _, y in _project(w, starts, term, basis):
                 near = y @ latent.T
-                for r, k in np.argwhere(near >= cosine):
+                r, k = np.nonzero(near >= cosine)
+                a, b = np.searchsorted(shared[1], [of[lo], of[hi - 1] + 1])
+                r2 = np.searchsorted(of[lo:hi], shared[1][a:b])
+                k2, more = shared[0][a:b], shared[2][a:b]
+                for r, k, m in zip(np.r_[r, r2].tolist(), np.r_[k, k2].tolist(), np.r_[np.zeros_like(r), more].tolist()):
                     p = int(of[lo + r])
-                    best.setdefault((int(owners[p]), int(k)), []).append((int(number[p]), float(near[r, k])))
+                    at = best.setdefault((int(owners[p]), k), {})
+                    at[int(number[p]), m] = float(near[r, k])
             out = []
             for (doc, k), places in best.items():
                 item, text = items.terms[k], arrays[doc]
                 total, tail = float(items.idf[item].sum()), item[-max(3, len(item) // 4) :]
-                top = (0.0, 0.0, 0.0)
-                for number_, near in places:
+                top, seen = (0.0, 0.0, 0.0), set()
+                highest = max(places.values())
+                for number_, more in places:
                     a = max(0, number_ * step - len(item))
-                    region = text[a : number_ * step + window + len(item)]
-                    at = np.flatnonzero(np.isin(region, item[items.content[item]]))
+                    region = text[a : (number_ + more) * step + window + len(item)]
+                    at = np.flatnonzero(np.isin(region, item))
                     if not len(at):
                         continue
-                    region = _densest(region, at, int(1.5 * len(item)) + 4, items.idf)
+                    region, start, most = _densest(region, at, int(1.5 * len(item)) + 4, items.idf)
+                    if most < maybe * total * (1 - 1e-6) or a + start in seen:
+                        continue
+                    seen.add(a + start)
                     share = weighted_lcs(item, region, items.idf) / total
                     has = weighted_lcs(tail, region, items.idf) / float(items.idf[tail].sum())
                     if len(item) < min_words:
                         share = min(share, float(item.tobytes() in region.tobytes()))
-                    top = max(top, (share, has, near))
+                    top = max(top, (share, has, highest))
                 if top[0] >= sure or (top[0] >= maybe and top[1] >= answer):
                     out.append((doc, items.ids[k], top[2], top[0], top[1]))
             ids = batch.column("doc_id").to_pylist()
@@ -221,14 +280,16 @@ def _search(held, window: int, cosine: float, sure: float, maybe: float, answer:
     return run
 
 
-def _densest(region: np.ndarray, at: np.ndarray, span: int, idf: np.ndarray) -> np.ndarray:
-    """The ``span`` words of the region with the greatest weight of shared content terms at ``at``."""
+def _densest(region: np.ndarray, at: np.ndarray, span: int, idf: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """The ``span`` words of the region with the greatest weight of shared terms at ``at``: with a
+    few on both sides, where they start, and the most that as many words as returned share."""
     sums = np.r_[0.0, np.cumsum(idf[region[at]])]
     ends = np.searchsorted(at, at + span)
     i = int((sums[ends] - sums[np.arange(len(at))]).argmax())
     middle = (at[i] + at[ends[i] - 1]) // 2
     a = max(0, int(middle) - span // 2 - 2)
-    return region[a : a + span + 4]
+    wider = sums[np.searchsorted(at, at + span + 4)] - sums[np.arange(len(at))]
+    return region[a : a + span + 4], a, float(wider.max())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 64, cosine: float = 0.3, sure: float = 0.6, maybe: float = 0.4, answer: float = 0.75, stop_share: float = 0.02, min_words: int = 6, block_items: int = 2000) -> DataFrame:
@@ -250,7 +311,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 6
         passages = counts.pop(-1, 0)
         frequency = np.zeros(len(items.vocabulary), np.int64)
         frequency[list(counts)] = list(counts.values())
-        items.weigh(frequency, passages, stop_share)
+        items.weigh(frequency, passages, stop_share, maybe)
         basis = latent_basis(terms, items, hold(spark, items), window, min(rank, len(items.vocabulary)))
         search = _search(hold(spark, (items, basis, items.vectors() @ basis)), window, cosine, sure, maybe, answer, min_words)
         part = terms.mapInArrow(search, FOUND)

@@ -183,6 +183,26 @@ def test_leaks(spark, odd, empty):
     assert ODD_TEXTS
 
 
+def test_leaks_of_a_frequent_item(spark):
+    """A third of the rows hold one item: it is found in all of them, among rare words too."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    say = lambda n: list(rng.choice(words, n))
+    items = {i: say(30) for i in range(40)}
+    docs = []
+    for d in range(900):
+        body = say(200)
+        if d % 3 == 0:
+            body[60:60] = items[0]
+        elif d % 50 == 1:
+            body[60:60] = items[1 + d % 39]
+        docs.append((d, " ".join(body)))
+    want = {(d, 0) for d in range(0, 900, 3)} | {(d, 1 + d % 39) for d in range(900) if d % 3 and d % 50 == 1}
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench).collect()} == want
+
+
 def test_pipeline_keeps_what_brute_force_keeps(spark):
     import corpus_pipeline
     from test_dedup import brute_components, brute_fingerprint
