@@ -253,6 +253,10 @@ def _search(held, window: int, cosine: float, sure: float, maybe: float, answer:
             out = []
             for (doc, k), places in best.items():
                 item, text = items.terms[k], arrays[doc]
+                if len(item) < min_words:
+                    if len(text) >= len(item) and (np.lib.stride_tricks.sliding_window_view(text, len(item)) == item).all(axis=1).any():
+                        out.append((doc, items.ids[k], max(places.values()), 1.0, 1.0))
+                    continue
                 total, tail = float(items.idf[item].sum()), item[-max(3, len(item) // 4) :]
                 top, seen = (0.0, 0.0, 0.0), set()
                 highest = max(places.values())
@@ -268,8 +272,6 @@ def _search(held, window: int, cosine: float, sure: float, maybe: float, answer:
                     seen.add(a + start)
                     share = weighted_lcs(item, region, items.idf) / total
                     has = weighted_lcs(tail, region, items.idf) / float(items.idf[tail].sum())
-                    if len(item) < min_words:
-                        share = min(share, float(item.tobytes() in region.tobytes()))
                     top = max(top, (share, has, highest))
                 if top[0] >= sure or (top[0] >= maybe and top[1] >= answer):
                     out.append((doc, items.ids[k], top[2], top[0], top[1]))

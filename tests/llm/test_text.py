@@ -203,6 +203,34 @@ def test_leaks_of_a_frequent_item(spark):
     assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench).collect()} == want
 
 
+def test_leaks_of_short_items(spark):
+    """Items of 3 to 8 words beside a large benchmark, in texts full of other items' words."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    items = {i: list(rng.choice(words, 3 + i % 6 if i < 90 else 30)) for i in range(900)}
+    short = {i: [words[k] for k in rng.choice(3000, 3, replace=False)] for i in (1000, 1001)}
+    items |= short
+    docs, held = [], {}
+    for d in range(400):
+        body, k = list(rng.choice(words, 250)), d % 90
+        if d % 2:
+            body[90:90] = items[k]
+            held[d] = k
+        elif d % 20 == 0:  # repeated words are denser than the item itself
+            a, b, c = short[1000]
+            body[90:90] = [a, b, a, b, b, a, c, a, b, b, a, *[x for x in body[:6]], a, b, c]
+            held[d] = 1000
+        else:  # its words, but not in a row
+            a, b, c = short[1001]
+            body[90:90] = [c, b, a]
+        docs.append((d, " ".join(body)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(held.items()) <= got and not {(d, i) for d, i in got if i == 1001}
+    flat = {d: f" {t} " for d, t in docs}
+    assert {(d, i) for d, i in got if len(items[i]) < 6} == {(d, i) for d in flat for i, w in items.items() if len(w) < 6 and f" {' '.join(w)} " in flat[d]}
+
+
 def test_pipeline_keeps_what_brute_force_keeps(spark):
     import corpus_pipeline
     from test_dedup import brute_components, brute_fingerprint
