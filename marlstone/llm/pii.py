@@ -22,7 +22,10 @@ EMAIL = r"(?<![\w.%+-])[A-Za-z0-9_.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
+#: A phone number ends where an address begins, so no group of it is an address's first octet.
+_OCTET = r"(?:[01]?\d?\d|2[0-4]\d|25[0-5])"
+_NO_ADDRESS = rf"(?!(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d))"
+PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?" + _NO_ADDRESS + r"\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
 CARD = r"(?<![\w])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"
 #: In this order at each place; each kind is told by its own pattern afterwards.

@@ -83,6 +83,17 @@ def test_pii(spark, odd, empty):
     assert pseudonymise(empty, "key").count() == 0
 
 
+def test_pii_phone_before_an_address(spark):
+    phone, address = "+1 (826) 555-4081", "190.137.223.204"
+    texts = [f"{phone} {address}", f"at {phone}, {address}.", f"{phone}. {address} {phone}", f"{phone}.10 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pseudonymise(df, "key").orderBy("doc_id").collect()
+    assert [(r["n_phone"], r["n_address"]) for r in got] == [(1, 1), (1, 1), (2, 1), (1, 0)]
+    found = [re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}|\d+\.\d+\.\d+\.\d+", r["text"]) for r in got]
+    assert len({f[0] for f in found[:3]}) == len({f[1] for f in found[:3]}) == 1 and found[2][0] == found[2][2]
+    assert not any(x in r["text"] for r in got for x in (phone, address, "137.223"))
+
+
 def test_logistic_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3)).astype(np.float32)
