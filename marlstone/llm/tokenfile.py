@@ -79,6 +79,22 @@ class EliasFano:
         one = 8 * byte + (word & -word).bit_length() - 1
         return ((one - i) << self.low_bits) | int(self._low(np.array([i]))[0])
 
+    def selected(self, start: int, stop: int) -> np.ndarray:
+        """Values number start to stop - 1: by select, a sample's block of the high part at a time."""
+        out = np.zeros(max(0, stop - start), np.uint64)
+        at = start
+        while at < stop:
+            block = at // SAMPLE
+            to = min(stop, (block + 1) * SAMPLE)
+            first = int(self.samples[block])
+            last = int(self.samples[block + 1]) if block + 1 < len(self.samples) else 8 * len(self.high)
+            bits = np.unpackbits(np.frombuffer(self.high[first >> 3 : (last + 7) >> 3], np.uint8), bitorder="little")
+            ones = np.flatnonzero(bits[first & 7 :])[at - block * SAMPLE : to - block * SAMPLE] + first
+            i = np.arange(at, to)
+            out[at - start : to - start] = ((ones - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+            at = to
+        return out
+
     def decode(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little")) if self.n else np.zeros(0, np.int64)
         high = (ones - np.arange(self.n)).astype(np.uint64)
@@ -155,6 +171,12 @@ class ShardReader:
         """The ids of document i alone, found by two selects."""
         return self.ids(self.ends.select(i), self.ends.select(i + 1))
 
+    def some_doc_ids(self, start: int, stop: int) -> list[int | None]:
+        """The doc_ids of documents start to stop - 1, found by select."""
+        nulls = self.foot["nulls"]
+        known = self.docs.selected(max(0, start - nulls), max(0, stop - nulls))
+        return [None] * max(0, min(stop, nulls) - start) + [int(d) + self.foot["first"] for d in known]
+
     def doc_ids(self) -> list[int | None]:
         return [None] * self.foot["nulls"] + [int(d) + self.foot["first"] for d in self.docs.decode()]
 
@@ -201,7 +223,7 @@ def write_token_files(docs: DataFrame, where: str, tokenizer_path: str, end_id:
     return manifest
 
 
-def _reader(where: str, manifest: list[dict], step: int = 1 << 20):
+def _reader(where: str, manifest: list[dict], step: int = 1 << 20, documents: int = 16 * SAMPLE):
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(where)
         for batch in batches:
@@ -209,15 +231,17 @@ def _reader(where: str, manifest: list[dict], step: int = 1 << 20):
                 shard = manifest[k]
                 with fs.open_input_file(f"{root}/{shard['name']}") as file:
                     reader = ShardReader(file)
-                    docs, ends = reader.doc_ids(), reader.ends.decode().astype(np.int64)
-                    crc, at = [], 0
-                    while at < len(docs):  # about `step` ids at a time
-                        to = max(at + 1, int(np.searchsorted(ends, ends[at] + step)))
-                        to = min(to, len(docs))
-                        data = memoryview(reader.ids(int(ends[at]), int(ends[to])).tobytes())
-                        crc += [zlib.crc32(data[4 * (a - ends[at]) : 4 * (b - ends[at])]) for a, b in zip(ends[at:to], ends[at + 1 : to + 1])]
-                        at = to
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ends[:-1] + shard["tokens_before"]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    for lo in range(0, len(reader), documents):  # boundaries by select, a block of documents at a time
+                        hi = min(len(reader), lo + documents)
+                        docs, ends = reader.some_doc_ids(lo, hi), reader.ends.selected(lo, hi + 1).astype(np.int64)
+                        crc, at = [], 0
+                        while at < len(docs):  # about `step` ids at a time
+                            to = max(at + 1, int(np.searchsorted(ends, ends[at] + step)))
+                            to = min(to, len(docs))
+                            data = memoryview(reader.ids(int(ends[at]), int(ends[to])).tobytes())
+                            crc += [zlib.crc32(data[4 * (a - ends[at]) : 4 * (b - ends[at])]) for a, b in zip(ends[at:to], ends[at + 1 : to + 1])]
+                            at = to
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ends[:-1] + shard["tokens_before"]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 

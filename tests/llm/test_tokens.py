@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,3 +141,26 @@ def test_full_word_cache_gives_the_same_ids():
         texts = [f"the word number{k} and {k * 7} of\nmany, more.", "the rest of it"]
         assert small.encode(texts) == large.encode(texts)
         assert len(small.words) <= 6
+
+
+def test_query_finds_boundaries_by_select(spark, tmp_path, monkeypatch):
+    from marlstone.llm import tokenfile
+
+    rng = np.random.default_rng(7)
+    values = np.cumsum(rng.integers(0, 900, 1500))
+    for values in (values, np.zeros(600, int), np.arange(257) * 10**9, values[:1], values[:0]):
+        coded = EliasFano.encode(values)
+        for a, b in ((0, len(values)), (len(values) // 3, len(values)), (255, 258), (0, 1)):
+            b = min(b, len(values))
+            assert coded.selected(a, b).tolist() == values[a:b].tolist()
+    rows = [(None if i < 5 else i, "word " * (i % 7)) for i in range(700)]
+    where = f"file://{tmp_path}/files"
+    manifest = tokenfile.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), where, WORD, shards=1)
+    monkeypatch.setattr(EliasFano, "decode", lambda self: 1 / 0)
+    keys = [pa.RecordBatch.from_pydict({"id": [0]})]
+    got = [tuple(r.values()) for b in tokenfile._reader(where, manifest, documents=300)(keys) for r in b.to_pylist()]
+    encode = plain(WORD)
+    ids = [[*encode(t), 2] for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+    starts = np.cumsum([0, *map(len, ids)]).tolist()
+    assert [g[0] for g in got] == [None] * 5 + list(range(5, 700))
+    assert [g[2] for g in got][5:] == [len(x) for x in ids][5:] and got[-1][1] + got[-1][2] == starts[-1]
