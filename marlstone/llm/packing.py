@@ -7,7 +7,7 @@ pieces of its length.
 
 Defined cases: a null or empty text is a document of the end id alone; a document longer than the
 capacity is cut into full pieces behind one shorter first piece; repeated rows are packed once
-each; an empty table gives no rows; other columns are ignored.
+each; a special token's string inside a text is that token, as the tokenizer file says; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.llm.shared import arrow_batches, small_side, staged, table, texts_of
+from marlstone.llm.shared import arrow_batches, last_at_most, small_side, staged, table, texts_of
 from marlstone.llm.tokens import encode_in_blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
-SLOTS = "length long, rank_from long, rank_to long, first_sequence long, offset long"
+#: Of each length its slots, by rank: the first rank, sequence and offset of each.
+PLAN = "length long, froms array<long>, firsts array<long>, offsets array<long>"
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -77,7 +78,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
-            for i, found in encode_in_blocks(path, True, texts_of(batch)):
+            for i, found in encode_in_blocks(path, texts_of(batch)):
                 data = memoryview(found + end)
                 n, at, k = len(data) // 4, 0, 0
                 while at < n:
@@ -104,10 +105,17 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     # At most `capacity` rows, whatever the number of documents.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan_best_fit(histogram, capacity)
-    plan = spark.createDataFrame(slots, SLOTS)
+    by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for length, rank_from, _, first, offset in slots:
+        by_length[length].append((rank_from, first, offset))
+    rows = [(length, *map(list, zip(*sorted(of)))) for length, of in by_length.items()]
+    # A row a length; its slots are found by binary search, so a piece meets one row, not each slot.
+    plan = spark.createDataFrame(rows, PLAN)
+    steps = max((len(of) for of in by_length.values()), default=1).bit_length()
     ranked = pieces.join(starts, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local_rank"))
-    seated = ranked.join(small_side(plan, len(slots), 1_000_000), "length").where("rank >= rank_from and rank < rank_to")
-    return seated.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
+    placed = ranked.join(small_side(plan, len(slots), 1_000_000), "length").withColumn("slot", last_at_most(F.col("froms"), F.col("rank"), steps))
+    sequence = F.get("firsts", "slot") + F.col("rank") - F.get("froms", "slot")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), F.get("offsets", "slot").alias("offset"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

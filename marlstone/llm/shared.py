@@ -7,7 +7,7 @@ import types
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: space and U+0009 to U+000D.
@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set below the warehouse if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Only a local session, whose executors
+    are the driver, may leave it unset; then it is set below the warehouse."""
     here = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not here:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         here = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", here)
-    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(here)
     return here
@@ -43,24 +46,47 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    out = df.write
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with over a HOT-th of all rows is hot; so there are fewer than HOT of them, at any size.
+HOT = 1000
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """Inner join of ``rows`` with one row a key of ``classes``.  Keys marked ``hot``, fewer than HOT,
+    are broadcast, so their rows stay where they are; the rest is shuffled."""
+    few = classes.where(hot)
+    many = classes.where(~hot)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(few), keys).unionByName(rest.join(many, keys))
+
+
+def last_at_most(sorted_values: Column, value: Column, steps: int) -> Column:
+    """The place (from 0) of the last entry that is at most ``value``, by binary search; the first is.
+
+    ``steps`` is the bit length of the array's greatest size."""
+    halves = F.lit([2**k for k in reversed(range(steps))])
+    return F.aggregate(halves, F.lit(0), lambda lo, s: F.when(F.coalesce(F.get(sorted_values, lo + s) <= value, F.lit(False)), lo + s).otherwise(lo))
+
+
 def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within ``limit``; else unchanged,
     and the join shuffles (adaptive execution splits skewed partitions of such a join)."""
     return F.broadcast(df) if rows <= limit else df
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of a Python worker's batch: texts can be very long."""
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bound the rows and the bytes of the batches that Python workers get: texts can be very long.
+
+    This holds for the session from then on; plans take the setting when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -6,7 +6,7 @@ boundaries, the coded document ids, then a JSON footer and its length.  A bounda
 the others.  Shards hold ascending ranges of doc_id, and a manifest lists them in order.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids come first and come back as
-null; repeated rows are kept; other columns are ignored; an empty table gives no rows.
+null; a special token's string inside a text is that token; repeated rows are kept; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ class ShardReader:
         return [None] * self.foot["nulls"] + [int(d) + self.foot["first"] for d in self.docs.decode()]
 
 
-def _writer(where: str, tokenizer_path: str, keeps_space: bool, end_id: int, width: int):
+def _writer(where: str, tokenizer_path: str, end_id: int, width: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(where)
@@ -191,7 +191,7 @@ def _writer(where: str, tokenizer_path: str, keeps_space: bool, end_id: int, wid
         end = np.array([end_id], "<u4")
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for i, found in encode_in_blocks(tokenizer_path, keeps_space, texts_of(batch)):
+            for i, found in encode_in_blocks(tokenizer_path, texts_of(batch)):
                 out.add(docs[i], np.concatenate([np.frombuffer(found, "<u4"), end]))
         out.close()
         fs.move(attempt, f"{root}/{name}")  # a shard appears whole or not at all
@@ -200,7 +200,7 @@ def _writer(where: str, tokenizer_path: str, keeps_space: bool, end_id: int, wid
     return run
 
 
-def write_token_files(docs: DataFrame, where: str, tokenizer_path: str, end_id: int = 2, shards: int | None = None, keeps_space: bool = False) -> list[dict]:
+def write_token_files(docs: DataFrame, where: str, tokenizer_path: str, end_id: int = 2, shards: int | None = None) -> list[dict]:
     """Write all of ``docs`` in ascending doc_id order below ``where``; returns the manifest."""
     from tokenizers import Tokenizer
 
@@ -213,7 +213,7 @@ def write_token_files(docs: DataFrame, where: str, tokenizer_path: str, end_id:
     # The row's place in the input breaks ties, so repeated doc_ids can be spread over shards.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_place"))
     rows = rows.repartitionByRange(n, "doc_id", "_place").sortWithinPartitions("doc_id", "_place").select("doc_id", "text")
-    made = rows.mapInArrow(_writer(where, tokenizer_path, keeps_space, end_id, 2 if vocabulary <= 65536 else 4), "shard int, name string, docs long, tokens long")
+    made = rows.mapInArrow(_writer(where, tokenizer_path, end_id, 2 if vocabulary <= 65536 else 4), "shard int, name string, docs long, tokens long")
     manifest, docs_before, tokens_before = [], 0, 0
     for r in sorted(made.collect(), key=lambda r: r["shard"]):  # one row for each shard
         manifest.append({"name": r["name"], "docs": r["docs"], "tokens": r["tokens"], "docs_before": docs_before, "tokens_before": tokens_before})

@@ -1,15 +1,19 @@
 """Exact token ids of whole texts from a ``tokenizers`` file, with a bounded cache of words.
 
-Both vocabularies split a text before merging: at a single white character with others on both
-sides, and between a letter or digit and a full stop or comma before white space.  So a text may be
-encoded piece by piece between these places and the ids joined.  A vocabulary that keeps white space
-takes a space together with the word behind it; other pieces are marked with ``JOIN``.  Where white
-space comes in runs, such a text is encoded at once.  Strings of special tokens inside texts are
-ordinary text.
+The ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: a special
+token's string inside a text is that token, as the file says.
+
+Two layouts of files are known.  Both split a text before merging: at a single white character with
+others on both sides, and between a letter or digit and a full stop or comma before white space.  So a
+text may be encoded piece by piece between these places and the ids joined.  A vocabulary that keeps
+white space takes a space together with the word behind it; other pieces are marked with ``JOIN``.
+Texts with runs of white space there, texts that hold a special token's string, and all texts of a
+file with another layout are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -22,6 +26,30 @@ _WHOLE = re.compile(r"\s\s|\x00")
 _STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
 _AFTER_OTHER = re.compile(r" \x00(?<=[\W_] \x00)")
 
+# The settings of the two layouts whose places to split are known, as in the files.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORD_CLEANING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def layout(path: str) -> tuple[str | None, list[str]]:
+    """``bytes``, ``words`` or None for a file whose places to split are not known; and the strings of
+    its added tokens."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    added = told.get("added_tokens") or []
+    strings = [t["content"] for t in added]
+    if not added or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] for t in added):
+        return None, strings
+    if told["model"]["type"] != "BPE" or told["model"].get("dropout") or told.get("truncation") or told.get("padding"):
+        return None, strings
+    if told["normalizer"] is None and told["pre_tokenizer"] == _BYTE_LEVEL:
+        return "bytes", strings
+    split = (told["pre_tokenizer"] or {}).get("pretokenizers") or [None]
+    if told["normalizer"] == _WORD_CLEANING and split[0] == _WORD_SPLIT and split[1:] == [_BYTE_LEVEL | {"use_regex": False}]:
+        return "words", strings
+    return None, strings
+
 
 def _has_runs(text: str) -> bool:
     """Whether ``_WHOLE`` is found.  Of white space, only the space is printable, so most texts need no search."""
@@ -37,53 +65,59 @@ def _part_stops(text: str) -> str:
 
 
 class WordEncoder:
-    """``keeps_space``: the vocabulary's words carry the space before them (byte-level BPE)."""
-
-    def __init__(self, path: str, keeps_space: bool, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.marked = Tokenizer.from_file(path)  # here the mark is one token, and splits what surrounds it
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.marked.token_to_id(self.mark)
-        self.keeps_space, self.max_words = keeps_space, max_words
+        self.kind, self.strings = layout(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        if self.kind:  # pieces are encoded with this token between them, which splits what surrounds it
+            self.mark = self.strings[-1]
+            self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.max_words = max_words
         self.words: dict[str, bytes] = {"": b""}
         self.passed = 0  # words encoded and not kept since the cache was filled
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text: all in one call, with marks between, but for texts that hold a mark."""
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special strings: all in one call, with marks between."""
         if not texts:
             return []
-        if any(self.mark in t for t in texts):
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array(self.marked.encode_batch_fast([self.mark.join(texts) + self.mark], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts) + self.mark], add_special_tokens=False)[0].ids, dtype="<u4")
         data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
         return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if not self.kind:
+            return self._alone(texts)
         if self.passed > 4 * self.max_words:  # other texts than those that filled the cache
             self.words, self.passed = {"": b""}, 0
-        words, whole, split, joint = self.words, [], [], " " if self.keeps_space else ""
+        bytes_kind, strings = self.kind == "bytes", self.strings
+        words, whole, special, split, joint = self.words, [], [], [], " " if bytes_kind else ""
         for i, text in enumerate(texts):
-            if (_has_runs(text) if self.keeps_space else JOIN in text):
+            if any(x in text for x in strings):
+                special.append(i)
+                split.append([])
+            elif _has_runs(text) if bytes_kind else JOIN in text:
                 whole.append(i)
                 split.append([])
-            elif self.keeps_space:  # a leading space keeps its word; a text's start has none
+            elif bytes_kind:  # a leading space keeps its word; a text's start has none
                 text = _part_stops(text).replace("\n", " \x00\n \x00")
                 split.append((text[1:] if text[:1] == " " else JOIN + text).split(" ") if text else [])
             else:
                 split.append(_part_stops(text).replace("\n", " ").split(" "))
         fresh = list(set().union(*split).difference(words))
         bare = [w.removeprefix(JOIN) if w[:1] == JOIN else joint + w for w in fresh]
-        words.update(zip(fresh, self._encode(bare)))
-        if self.keeps_space:
-            words[""] = self._encode([" "])[0]  # only a text's last space stands alone
+        words.update(zip(fresh, self._together(bare)))
+        if bytes_kind:
+            words[""] = self._together([" "])[0]  # only a text's last space stands alone
         ids = [b"".join(map(words.__getitem__, pieces)) for pieces in split]
-        for i, found in zip(whole, self._encode([texts[i] for i in whole])):
-            ids[i] = found
+        for at, found in ((whole, self._together([texts[i] for i in whole])), (special, self._alone([texts[i] for i in special]))):
+            for i, x in zip(at, found):
+                ids[i] = x
         if len(words) > self.max_words:  # full: what is common is there, and rare words pass by
             self.passed += len(fresh)
             for w in fresh:
@@ -91,18 +125,18 @@ class WordEncoder:
         return ids
 
 
-def encoder(path: str, keeps_space: bool) -> WordEncoder:
+def encoder(path: str) -> WordEncoder:
     """One encoder for each vocabulary and worker process."""
-    key = ("encoder", path, keeps_space)
+    key = ("encoder", path)
     cache = worker_cache()
     if key not in cache:
-        cache[key] = WordEncoder(path, keeps_space)
+        cache[key] = WordEncoder(path)
     return cache[key]
 
 
-def encode_in_blocks(path: str, keeps_space: bool, texts: list[str], chars: int = 1_000_000):
+def encode_in_blocks(path: str, texts: list[str], chars: int = 1_000_000):
     """Yield (index, ids) of each text, encoding about ``chars`` characters at a time."""
-    enc, block, size = encoder(path, keeps_space), [], 0
+    enc, block, size = encoder(path), [], 0
     start = 0
     for i, text in enumerate(texts):
         block.append(text)

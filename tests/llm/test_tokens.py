@@ -19,18 +19,43 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("path,keeps", [(BYTE, True), (WORD, False)])
-def test_cached_words_give_the_same_ids(path, keeps):
+def ids_of(encoder, texts):
+    return [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(texts)]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_cached_words_give_the_same_ids(path):
     random.seed(5)
-    parts = ["a", "B", " ", "\n", "'s", "é", "1", "<", "́", "\t", "ß", ".", ",", "\x00", "<|endoftext|>", "word", "  ", " "]
+    parts = ["a", "B", " ", "\n", "'s", "é", "1", "<", "́", "\t", "ß", ".", ",", "\x00", "<|endoftext|>", "word", "  ", " ", "<|", "|>", "endoftext"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 25))) for _ in range(1500)]
-    enc, want = WordEncoder(path, keeps, max_words=50), plain(path)
-    got = enc.encode(texts[:700]) + enc.encode(texts[700:])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [want(t) for t in texts]
+    enc, want = WordEncoder(path, max_words=50), plain(path)
+    assert ids_of(enc, texts[:700]) + ids_of(enc, texts[700:]) == [want(t) for t in texts]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_special_strings_are_their_tokens_whatever_stands_beside(path):
+    want = plain(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "a <|startoftext|> b<|endoftext|>", "plain words", "<|ENDOFTEXT|>", "<|endoftext", "|> x <|"]
+    for group in ([t] for t in texts):
+        assert ids_of(WordEncoder(path), group) == [want(group[0])]
+    assert ids_of(WordEncoder(path), texts) == [want(t) for t in texts]
+    assert want("<|endoftext|>") == [50256 if path == BYTE else 49407]
+
+
+def test_other_layouts_are_encoded_whole(tmp_path):
+    """A file that splits elsewhere, or strips around a token, falls back to whole texts."""
+    import json
+
+    texts = ["One two, three.", " lead", "a\nb <|endoftext|> c", "", "x  y"]
+    for change in ({"pre_tokenizer": None}, {"normalizer": {"type": "Lowercase"}}, {"added_tokens": []}):
+        told = json.load(open(BYTE)) | change
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(told))
+        enc = WordEncoder(str(path))
+        assert enc.kind is None and ids_of(enc, texts) == [plain(str(path))(t) for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
@@ -86,6 +111,29 @@ def test_elias_fano(values):
     assert [again.select(i) for i in range(0, len(values), 7)] == values[::7]
 
 
+def test_each_piece_meets_its_slot_once(spark):
+    """The plan is looked up by rank: rows out of the join are the pieces, whatever the slots."""
+    from collections import defaultdict
+
+    rng = random.Random(3)
+    docs = [(i, "word " * rng.randint(0, 90)) for i in range(700)]
+    rows = pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), BYTE, capacity=64).collect()
+    want = Counter()
+    for _, t in docs:
+        n = len(plain(BYTE)(t)) + 1
+        want[n % 64 or 64] += 1
+        want[64] += (n - 1) // 64 if n % 64 else n // 64 - 1
+    assert Counter(r["length"] for r in rows) == +want
+    fill = defaultdict(list)
+    for r in rows:
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    for of in fill.values():
+        of.sort()
+        assert [o for o, _ in of] == [sum(n for _, n in of[:k]) for k in range(len(of))] and sum(n for _, n in of) <= 64
+    slots = plan_best_fit(dict(want), 64)
+    assert len(fill) == len({first + k for _, a, b, first, _ in slots for k in range(b - a)})
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(1).integers(1, 3000, 20000)).astype(np.uint64)
     size = sum(map(len, EliasFano.encode(values).parts()))
@@ -136,7 +184,7 @@ def test_runs_of_white_space_are_found():
 
 
 def test_full_word_cache_gives_the_same_ids():
-    small, large = WordEncoder(BYTE, True, max_words=5), WordEncoder(BYTE, True)
+    small, large = WordEncoder(BYTE, max_words=5), WordEncoder(BYTE)
     for k in range(30):
         texts = [f"the word number{k} and {k * 7} of\nmany, more.", "the rest of it"]
         assert small.encode(texts) == large.encode(texts)
