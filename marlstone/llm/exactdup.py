@@ -1,14 +1,18 @@
 """Exact deduplication over an extendible-hash index in the shared folder, in Spark SQL only.
 
-1. Every text is normalised and hashed once; the slim entries (hash, digest, lengths, doc_id) are
-   written as the index's files.
-2. The directory starts at the depth at which a bucket holds ``capacity`` entries on average, and
-   doubles while a bucket is overfull: its entries are told apart by one more leading bit of their
-   hash.  A bucket that one hash fills can't be split; it is chained.
-3. Owner tasks take ranges of the directory.  Only hashes with several entries need their texts:
-   equal copies are folded before the shuffle, then the bytes of what shares a hash are compared.
-
-Equal texts fold before any exchange, so a text with a third of all rows costs a row a task.
+1. Every text is normalised and hashed once.  Entries of equal hash and digest fold before any shuffle
+   into one key (hash, digest, number of documents), so copies don't fill buckets.
+2. The keys are the index's rows.  A range exchange on the bucket gives every owner task a range of the
+   directory; it writes its buckets, sorted, into one file of the level.  A bucket over ``capacity`` is
+   split: its keys are read again and written, told apart by one more leading bit of the hash, into the
+   next level's files.  Where over ``listed`` buckets of a level are overfull, the directory doubles:
+   all buckets of the level split.  A bucket that one hash fills can't be split, and stays.
+3. The directory says of a hash which level's files hold it; rows of split buckets in older files are
+   dead.  It is a short list at any size: depths, and at most ``listed`` split buckets of each.
+4. Only keys of several documents need texts.  These are read again, equal texts fold before the
+   shuffle, and owner tasks take the folded texts by ranges of the directory, chain the different texts
+   of a hash, and settle each class by its bytes.
+5. Every document looks its class up; classes of over a thousandth of all rows are broadcast.
 
 Defined cases: null texts are empty and equal to one another and to texts of white space alone; of
 equal rows (same doc_id too) each is returned, and a repeated doc_id is kept at every row of it; a
@@ -22,8 +26,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from marlstone.llm.shared import WHITE, small_side, staged, table
+from marlstone.llm.shared import HOT, WHITE, fresh_path, join_by_class, small_side, staged, table
 
 
 def normalised(text: Column) -> Column:
@@ -31,49 +36,92 @@ def normalised(text: Column) -> Column:
 
 
 def _prefix(depth: int) -> Column:
+    """The leading bits of the hash ``h``, as a number from 0."""
     return F.shiftrightunsigned(F.col("h"), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def build_directory(index: DataFrame, capacity: int, largest: int = 8192) -> list[tuple[int, int]]:
-    """Buckets (prefix, local depth).  Of large tables ``capacity`` grows, so that about ``largest``
-    buckets at most come to the driver."""
-    rows = index.count()
-    capacity = max(capacity, 2 * rows // largest)
-    depth = max(0, math.ceil(math.log2(max(1, rows / capacity))))
-    done: list[tuple[int, int]] = []
-    part, parents = index, None
-    while True:
-        counts = part.groupBy(_prefix(depth).alias("p")).agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).collect()
-        split = [r["p"] for r in counts if r["n"] > capacity and r["a"] != r["b"] and depth < 63]
-        every = range(2**depth) if parents is None else [2 * p + s for p in parents for s in (0, 1)]
-        done += [(p, depth) for p in every if p not in split]
-        if not split:
-            return sorted(done, key=lambda x: x[0] << (63 - x[1]))
-        part, parents, depth = part.where(_prefix(depth).isin(split)), split, depth + 1
-
-
-def bucket_of(directory: list[tuple[int, int]]) -> Column:
-    """The directory's entry of the hash ``h``: a binary search over the buckets' first hashes."""
-    firsts = F.lit([((p << (64 - d)) if d else 0) - 2**63 for p, d in directory])
-    key = F.expr("h ^ (-9223372036854775807L - 1)")  # so that signed order is the hash's unsigned one
-    steps = F.lit([2**k for k in reversed(range(len(directory).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.coalesce(F.get(firsts, lo + s) <= key, F.lit(False)), lo + s).otherwise(lo))
-
-
-def exact_duplicates(docs: DataFrame, capacity: int = 65_536) -> DataFrame:
+class ExtendibleIndex:
+    """Keys (``h`` and other columns) in files by bucket, and the directory that finds them."""
+
+    def __init__(self, spark: SparkSession, capacity: int, listed: int = 4096):
+        self.spark, self.capacity, self.listed = spark, capacity, listed
+        self.root = fresh_path(spark, "exact-index")
+        #: The directory: of each level its depth, and which of its buckets were split; None: all.
+        self.levels: list[tuple[int, frozenset[int] | None]] = []
+
+    def _path(self, depth: int) -> str:
+        return f"{self.root}/level-{depth:02d}"
+
+    def _live(self, depth: int, split: frozenset[int] | None) -> DataFrame:
+        rows = self.spark.read.parquet(self._path(depth))
+        return rows.where(~F.col("bucket").isin(list(split))) if split else rows
+
+    def _owned(self, rows: DataFrame) -> DataFrame:
+        """Rows with a ``depth`` and a ``bucket``, dealt so that a task owns a range of the directory."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartitionByRange(n, "depth", "bucket")
+
+    def build(self, keys: DataFrame, rows: int) -> "ExtendibleIndex":
+        """Write ``keys``, at most ``rows`` of them, and split buckets until all fit."""
+        depth = max(0, math.ceil(math.log2(max(1, rows / self.capacity))))
+        part = keys
+        while True:
+            placed = part.withColumn("depth", F.lit(depth)).withColumn("bucket", _prefix(depth))
+            self._owned(placed).sortWithinPartitions("bucket", "h").write.parquet(self._path(depth))
+            level = self.spark.read.parquet(self._path(depth))
+            sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b"))
+            over = sizes.where((F.col("n") > self.capacity) & (F.col("a") != F.col("b")) & F.lit(depth < 63))
+            split = [r["bucket"] for r in over.select("bucket").limit(self.listed + 1).collect()]
+            self.levels.append((depth, None if len(split) > self.listed else frozenset(split)))
+            if not split:
+                return self
+            part = (level if len(split) > self.listed else level.where(F.col("bucket").isin(split))).drop("depth", "bucket")
+            depth += 1
+
+    def read(self) -> DataFrame:
+        """The live keys, each once, with their bucket."""
+        live = [self._live(depth, split) for depth, split in self.levels if split is not None]
+        out = live[0]
+        for rows in live[1:]:
+            out = out.unionByName(rows)
+        return out
+
+    def address(self) -> Column:
+        """The directory's entry of the hash ``h``: struct (depth, bucket)."""
+        out = None
+        for depth, split in reversed(self.levels):
+            here = F.struct(F.lit(depth).alias("depth"), _prefix(depth).alias("bucket"))
+            out = here if out is None or split == frozenset() else out if split is None else F.when(_prefix(depth).isin(list(split)), out).otherwise(here)
+        return out
+
+    def owned(self, rows: DataFrame) -> DataFrame:
+        """Any rows with a hash ``h``, dealt to the owners of their buckets."""
+        return self._owned(rows.withColumn("at", self.address()).select("*", "at.depth", "at.bucket").drop("at"))
+
+
+def exact_duplicates(docs: DataFrame, capacity: int = 16_384, held: int = 200_000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of ``docs``.
 
     Of equal texts the one with the most code points before normalising stays, then the smallest id.
+    Up to ``held`` classes of copies are broadcast; beyond that, hot ones alone.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), normalised(F.col("text")).alias("norm"))
-    index = staged(texts.select("doc_id", "chars", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha")), "exact-index")
-    bucket = bucket_of(build_directory(index, capacity))
-    several = staged(index.groupBy(bucket.alias("bucket"), "h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "exact-several")
+    entries = staged(texts.select("doc_id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha")), "exact-entries")
+    total = entries.count()
+    index = ExtendibleIndex(docs.sparkSession, capacity).build(entries.groupBy("h", "sha").agg(F.count("*").alias("n")), total)
+    several = staged(index.read().where("n > 1").select("h").distinct(), "exact-several")
     shared = texts.withColumn("h", F.xxhash64("norm")).join(small_side(several, several.count(), 2_000_000), "h", "left_semi")
     best = F.max(F.struct("chars", (-F.col("doc_id")).alias("neg")))
-    classes = shared.groupBy(bucket.alias("bucket"), "h", "norm").agg(F.count("*").alias("n"), best.alias("best"))
-    classes = staged(classes.where("n > 1").select("h", F.sha2("norm", 256).alias("sha"), "n", (-F.col("best.neg")).alias("keep")), "exact-classes")
-    found = index.join(small_side(classes, classes.count(), 200_000), ["h", "sha"], "left")
+    folded = shared.groupBy("h", "norm").agg(F.count("*").alias("n"), best.alias("best"))
+    chain = F.row_number().over(Window.partitionBy("depth", "bucket", "h").orderBy("norm"))
+    classes = index.owned(folded).select("depth", "bucket", "h", chain.alias("link"), F.sha2("norm", 256).alias("sha"), "n", (-F.col("best.neg")).alias("keep"))
+    # The index holds every key of several documents at its address; its class is the link with its digest.
+    keys = index.read().where("n > 1").select("depth", "bucket", "h", "sha")
+    classes = staged(classes.where("n > 1").join(keys, ["depth", "bucket", "h", "sha"]).select("h", "sha", "n", "keep"), "exact-classes")
+    if (few := classes.count()) <= held:
+        found = entries.join(small_side(classes, few, held), ["h", "sha"], "left")
+    else:
+        found = join_by_class(entries, classes, ["h", "sha"], F.col("n") * HOT > total, "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 

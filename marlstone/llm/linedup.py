@@ -1,12 +1,15 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Each batch of documents becomes a run: line hashes in order, with the number of documents that hold
-each.  The batch is first anti-joined with the hashes already at the threshold, which need no more
-counting.  Runs of a level are merged into one of the next when ``fanout`` of them are there, so a
-hash is rewritten once a level.  At the end the runs are merged, and lines at the threshold go.
+Documents come in batches.  Each batch becomes a run: its line hashes in order, with the number of the
+batch's documents that hold each.  A run is a bucketed, sorted table, so Spark merges it: a new batch is
+anti-joined by a sort-merge join with the hashes of each run that have reached the threshold there,
+which need no more counting, and runs are neither exchanged nor sorted again for it.  A level has one
+run; with a second one, the two are merged into a run of the next level, between batches, so a hash is
+rewritten once a level.  At the end what is left is merged, least first, and lines at the threshold go.
 
-Lines are hashed with 128 bits.  The frequent hashes go to the tasks as one sorted array while they
-are few (``held_keys``); beyond that they are joined to the documents' hashes instead.
+Lines are hashed with 128 bits.  Up to ``held_keys`` frequent hashes go to the tasks as a set, those of
+the greatest counts first; what is beyond is joined to the documents' hashes instead, and no hash left
+there is in more than 2 / ``held_keys`` of all lines, so none is hot.
 
 Defined cases: a null or empty text is one empty line; a document counts once for a line however
 often it repeats there; repeated rows count as documents of their own; keys under ``min_chars`` code
@@ -15,12 +18,15 @@ points are never dropped; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import arrow_batches, hold, staged, table, texts_of
+from marlstone.llm.shared import arrow_batches, drop_path, fresh_path, hold, staged, table, texts_of
 
 
 def line_keys(text: str) -> list[bytes]:
@@ -34,7 +40,7 @@ def _hash(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
-def _hashes(min_chars: int, batches: int):
+def _hashes(min_chars: int):
     def run(arrow):
         for batch in arrow:
             out: list[bytes] = []
@@ -49,41 +55,81 @@ def _hashes(min_chars: int, batches: int):
     return run
 
 
+#: With these, a scan of a run keeps its buckets and their order.
+_SORTED_RUNS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.enabled": "true"}
+
+
+@contextmanager
+def sorted_runs(spark: SparkSession):
+    before = {k: spark.conf.get(k) for k in _SORTED_RUNS}
+    for k, v in _SORTED_RUNS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class RunLevels:
-    """Levelled runs (a, b, n) in the shared folder."""
+    """Levelled runs (a, b, n): tables in the shared folder, in ``buckets`` buckets sorted by hash."""
 
-    def __init__(self, threshold: int, fanout: int = 4):
-        self.threshold, self.fanout = threshold, fanout
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, spark: SparkSession, threshold: int, buckets: int | None = None):
+        self.spark, self.threshold = spark, threshold
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[tuple[str, str] | None] = []  # of each level its run: (table, path)
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        return [self.spark.table(run[0]) for run in self.levels if run]
 
-    def add(self, batch: DataFrame) -> None:
-        """Count a batch of hashes (a, b), one row a document, but for what has reached the threshold.
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The batch's hashes (a, b), one row a document, counted, but for what has reached the threshold.
 
         Counting comes first: it folds a frequent line before any shuffle."""
         counts = batch.groupBy("a", "b").agg(F.count("*").alias("n"))
         for run in self.runs():
-            counts = counts.join(run.where(F.col("n") >= self.threshold).select("a", "b"), ["a", "b"], "left_anti")
-        self._put(0, counts)
-
-    def _put(self, level: int, run: DataFrame) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(staged(run.sortWithinPartitions("a", "b"), f"lines-level-{level}"))
-        if len(self.levels[level]) == self.fanout:
-            runs, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self.merged(runs))
-
-    def merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("a", "b").agg(F.sum("n").alias("n")) if len(runs) > 1 else out
+            counts = counts.join(run.where(F.col("n") >= self.threshold).select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        return counts
+
+    def add(self, batch: DataFrame) -> None:
+        with sorted_runs(self.spark):
+            run = self._write(self.fresh(batch), 0)
+            level = 0
+            while level < len(self.levels) and self.levels[level]:
+                run, self.levels[level] = self._merged(self.levels[level], run, level + 1), None
+                level += 1
+            self.levels[level : level + 1] = [run]
+
+    def _write(self, rows: DataFrame, level: int) -> tuple[str, str]:
+        name, path = f"marlstone_run_{uuid.uuid4().hex}", fresh_path(self.spark, f"lines-level-{level}")
+        rows.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", path).saveAsTable(name)
+        return name, path
+
+    def merging(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        both = one.join(other.withColumnRenamed("n", "m").hint("merge"), ["a", "b"], "full_outer")
+        return both.select("a", "b", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+
+    def _merged(self, one: tuple[str, str], other: tuple[str, str], level: int) -> tuple[str, str]:
+        out = self._write(self.merging(self.spark.table(one[0]), self.spark.table(other[0])), level)
+        self._drop(one)
+        self._drop(other)
+        return out
+
+    def _drop(self, run: tuple[str, str]) -> None:
+        self.spark.sql(f"DROP TABLE {run[0]}")
+        drop_path(self.spark, run[1])
 
     def frequent(self) -> DataFrame:
-        return self.merged(self.runs()).where(F.col("n") >= self.threshold).select("a", "b")
+        """The hashes at the threshold, with their counts up to where counting stopped; ends the levels."""
+        with sorted_runs(self.spark):
+            runs = [(level, run) for level, run in enumerate(self.levels) if run]
+            last = runs[0][1]
+            for level, run in runs[1:]:
+                last = self._merged(last, run, level)
+            out = staged(self.spark.table(last[0]).where(F.col("n") >= self.threshold), "lines-frequent")
+        self._drop(last)
+        self.levels = []
+        return out
 
 
 KEPT = "doc_id long, n_lines long, n_dropped long, kept string"
@@ -93,12 +139,12 @@ def _drop(held, min_chars: int):
     """Drop the lines with a frequent hash: of the held set, or of the row's own list."""
 
     def run(arrow):
-        frequent = held.value if held else None
+        frequent = held.value
         for batch in arrow:
-            own = batch.column("frequent").to_pylist() if frequent is None else None
+            own = batch.column("frequent").to_pylist() if "frequent" in batch.schema.names else None
             n_lines, n_dropped, kept = [], [], []
             for i, text in enumerate(texts_of(batch)):
-                known = frequent if frequent is not None else set(own[i] or ())
+                known = frequent.union(own[i]) if own and own[i] else frequent
                 lines = text.split("\n")
                 stays = [x for x, k in zip(lines, line_keys(text)) if not k or _hash(k) not in known]
                 n_lines.append(len(lines))
@@ -109,28 +155,46 @@ def _drop(held, min_chars: int):
     return run
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, held_keys: int = 1_000_000) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept, the text without the lines found in ``min_docs`` documents."""
+def held_from(frequent: DataFrame, held_keys: int) -> int | None:
+    """The least power of two of which at most ``held_keys`` hashes have that count or more."""
+    size = F.floor(F.log2("n")).cast("int")
+    sizes = {r["k"]: r["c"] for r in frequent.groupBy(size.alias("k")).agg(F.count("*").alias("c")).collect()}  # 64 rows at most
+    seen, least = 0, None
+    for k in sorted(sizes, reverse=True):
+        seen += sizes[k]
+        if seen > held_keys:
+            break
+        least = 1 << k
+    return least
+
+
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batch_docs: int = 50_000_000, least_batches: int = 4, held_keys: int = 250_000) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept, the text without the lines found in ``min_docs`` documents.
+
+    A batch has about ``batch_docs`` documents, or fewer where that gives fewer than ``least_batches``."""
     spark = docs.sparkSession
     arrow_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    levels, parts = RunLevels(min_docs), []
-    whole = texts.withColumn("batch", F.pmod(F.spark_partition_id(), F.lit(batches)))  # of one task, so of one Arrow batch
-    hashes = staged(whole.select("text", "batch").mapInArrow(_hashes(min_chars, batches), "a long, b long, batch int"), "line-hashes")
+    batches = max(least_batches, -(-texts.count() // batch_docs))
+    levels = RunLevels(spark, min_docs)
+    whole = texts.select("text", F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"))  # a task is of one batch
+    hashes = staged(whole.mapInArrow(_hashes(min_chars), "a long, b long, batch int"), "line-hashes", ("batch",))
     for k in range(batches):
         levels.add(hashes.where(F.col("batch") == k).select("a", "b"))
-    frequent = staged(levels.frequent(), "lines-frequent")
-    n = frequent.count()
-    if n <= held_keys:
-        pairs = frequent.toArrow() if n else None
-        both = np.stack([pairs.column(c).to_numpy() for c in ("a", "b")], axis=1).astype("<i8").tobytes() if n else b""
-        held = hold(spark, frozenset(both[i : i + 16] for i in range(0, len(both), 16)))
-        return texts.mapInArrow(_drop(held, min_chars), KEPT)
-    return texts_with_own(texts, frequent).mapInArrow(_drop(None, min_chars), KEPT)
+    frequent = levels.frequent()
+    least = held_from(frequent, held_keys)
+    few = frequent.where(F.col("n") >= least) if least else frequent.limit(0)
+    pairs = few.select("a", "b").toArrow()  # at most held_keys
+    both = np.stack([pairs.column(c).to_numpy() for c in ("a", "b")], axis=1).astype("<i8").tobytes()
+    held = hold(spark, frozenset(both[i : i + 16] for i in range(0, len(both), 16)))
+    many = frequent.where(F.col("n") < least) if least else frequent
+    if many.limit(1).count():
+        texts = texts_with_own(texts, many.select("a", "b"), held)
+    return texts.mapInArrow(_drop(held, min_chars), KEPT)
 
 
-def texts_with_own(texts: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Each text with the list of its own frequent hashes: for sets too large to send to every task.
+def texts_with_own(texts: DataFrame, frequent: DataFrame, held) -> DataFrame:
+    """Each text with the list of its own hashes among ``frequent``: those that aren't held everywhere.
 
     Rows are told apart by their place in the input, so repeated doc_ids do no harm."""
     placed = staged(texts.withColumn("place", F.monotonically_increasing_id()), "line-places")
@@ -139,7 +203,7 @@ def texts_with_own(texts: DataFrame, frequent: DataFrame) -> DataFrame:
         for batch in arrow:
             at, out = [], []
             for place, text in zip(batch.column("place").to_pylist(), texts_of(batch)):
-                keys = {_hash(k) for k in line_keys(text) if k}
+                keys = {_hash(k) for k in line_keys(text) if k} - held.value
                 at += [place] * len(keys)
                 out += keys
             both = np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)

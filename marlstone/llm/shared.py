@@ -46,11 +46,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,13 +58,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 HOT = 1000
 
 
-def join_by_class(rows: DataFrame, classes: DataFrame, keys: list[str], hot: Column) -> DataFrame:
-    """Inner join of ``rows`` with one row a key of ``classes``.  Keys marked ``hot``, fewer than HOT,
-    are broadcast, so their rows stay where they are; the rest is shuffled."""
-    few = classes.where(hot)
-    many = classes.where(~hot)
+def join_by_class(rows: DataFrame, classes: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined, inner or left, with one row a key of ``classes``.  Keys marked ``hot``, fewer
+    than HOT, are broadcast, so their rows stay where they are; the rest is shuffled."""
+    few, many = classes.where(hot), classes.where(~hot)
     rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(few), keys).unionByName(rest.join(many, keys))
+    return rows.join(F.broadcast(few), keys).unionByName(rest.join(many, keys, how))
 
 
 def last_at_most(sorted_values: Column, value: Column, steps: int) -> Column:

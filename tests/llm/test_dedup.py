@@ -3,10 +3,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from marlstone.llm.exactdup import bucket_of, build_directory, exact_duplicates
-from marlstone.llm.linedup import RunLevels, drop_frequent_lines
+from marlstone.llm import exactdup
+from marlstone.llm.exactdup import ExtendibleIndex, exact_duplicates
+from marlstone.llm.linedup import RunLevels, drop_frequent_lines, sorted_runs
 from marlstone.llm.links import components
 from marlstone.llm.simhash import anchor_masks, fingerprint, near_duplicates, near_links
 
@@ -112,18 +115,65 @@ def test_exact_duplicates_odd(odd, empty):
     assert exact_duplicates(empty).count() == 0
 
 
-def test_directory_splits_and_finds(spark):
-    hot = spark.range(400).selectExpr("xxhash64(id) as h").unionByName(spark.range(100).selectExpr("xxhash64('hot') as h"))
-    directory = build_directory(hot, 16)
-    assert abs(sum(2.0**-d for _, d in directory) - 1) < 1e-9  # it covers all hashes once
-    rows = hot.select("h", bucket_of(directory).alias("bucket")).collect()
-    for r in rows:
-        p, d = directory[r["bucket"]]
-        assert (r["h"] % 2**64) >> (64 - d) == p if d else p == 0
-    sizes, kinds = Counter(r["bucket"] for r in rows), defaultdict(set)
+def keys_of(spark, n):
+    return spark.range(n).select(F.xxhash64("id").alias("h"), F.col("id").alias("sha"))
+
+
+@pytest.mark.parametrize("listed", [4096, 3])
+def test_index_splits_and_finds(spark, listed):
+    """Buckets hold at most the capacity, each key is read once, and the directory knows where it is."""
+    index = ExtendibleIndex(spark, 16, listed).build(keys_of(spark, 700), 60)  # too shallow at first
+    assert len(index.levels) > 3 and (listed == 4096 or any(split is None for _, split in index.levels))
+    rows = index.read().select("*", index.address().alias("at")).collect()
+    assert sorted(r["sha"] for r in rows) == list(range(700))
+    sizes = Counter((r["depth"], r["bucket"]) for r in rows)
+    assert max(sizes.values()) <= 16
     for r in rows:
-        kinds[r["bucket"]].add(r["h"])
-    assert all(n <= 16 or len(kinds[b]) == 1 for b, n in sizes.items())
+        assert (r["at"]["depth"], r["at"]["bucket"]) == (r["depth"], r["bucket"])
+        assert r["bucket"] == ((r["h"] % 2**64) >> (64 - r["depth"]) if r["depth"] else 0)
+    covered = sum(2.0**-d for d, _ in sizes)
+    assert covered <= 1
+
+
+def test_a_bucket_of_one_hash_stays(spark):
+    hot = keys_of(spark, 40).unionByName(spark.range(100).select(F.lit(5).cast("long").alias("h"), (F.col("id") + 1000).alias("sha")))
+    index = ExtendibleIndex(spark, 16).build(hot, 140)
+    assert sorted(r["sha"] for r in index.read().collect()) == [*range(40), *range(1000, 1100)]
+
+
+def test_index_files_are_ranges_of_buckets(spark):
+    """Every owner task wrote a range of the directory: no bucket is in two files."""
+    index = ExtendibleIndex(spark, 16).build(keys_of(spark, 500), 500)
+    at = index.read().select("depth", "bucket", F.input_file_name().alias("file")).distinct().collect()
+    assert len({(r["depth"], r["bucket"]) for r in at}) == len(at) and len({r["file"] for r in at}) > 1
+
+
+def test_without_the_directory_results_are_wrong(odd, monkeypatch):
+    """Split buckets stay in old files; only the directory says that they are dead."""
+    right = Counter(map(tuple, exact_duplicates(odd, capacity=2).collect()))
+    address = ExtendibleIndex.address
+    monkeypatch.setattr(ExtendibleIndex, "address", lambda self: F.struct(F.lit(99).alias("depth"), F.lit(-1).cast("long").alias("bucket")))
+    assert Counter(map(tuple, exact_duplicates(odd, capacity=2).collect())) != right
+    monkeypatch.setattr(ExtendibleIndex, "address", address)
+    assert Counter(map(tuple, exact_duplicates(odd, capacity=2).collect())) == right
+
+
+def test_different_texts_of_one_hash_are_chained(spark, monkeypatch):
+    """With a hash of one value for all texts, bytes alone tell them apart."""
+    real = F.xxhash64
+    monkeypatch.setattr(exactdup.F, "xxhash64", lambda *c: real(*c) * 0)
+    df = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, "c "), (5, "d")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_duplicates(df, capacity=1).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (4, 2), 4: (4, 2), 5: (5, 1)}
+
+
+def test_classes_beyond_the_broadcast_limit(spark, monkeypatch):
+    """Hot classes are broadcast, the others are shuffled; nothing is lost."""
+    monkeypatch.setattr(exactdup, "HOT", 10)
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i // 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(map(tuple, exact_duplicates(df).collect()))
+    assert Counter(map(tuple, exact_duplicates(df, held=0).collect())) == want
 
 
 def brute_lines(rows, least, min_chars=1):
@@ -150,9 +200,44 @@ def test_lines(spark, odd, empty):
     assert drop_frequent_lines(empty).count() == 0
 
 
+def counts_of(rows):
+    return sorted(tuple(r) for r in rows.collect())
+
+
 def test_levels_compact(spark):
-    levels = RunLevels(3, fanout=2)
+    """Compaction comes between batches, and a hash that has reached the threshold is not counted on."""
+    levels = RunLevels(spark, 3)
+    sizes = []
     for k in range(5):
         levels.add(spark.createDataFrame([(1, 1), (k, 0)], "a long, b long"))
-    assert [len(level) for level in levels.levels] == [1, 0, 1]
-    assert [tuple(r) for r in levels.frequent().collect()] == [(1, 1)]
+        sizes.append([bool(level) for level in levels.levels])
+    assert sizes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    assert counts_of(levels.runs()[0]) == [(4, 0, 1)]  # the fifth batch leaves (1, 1) out
+    assert counts_of(levels.frequent()) == [(1, 1, 4)] and levels.runs() == []
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    """Runs are merged: not exchanged, not sorted and not broadcast, for a batch or for compaction."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    levels = RunLevels(spark, 1)
+    for k in range(3):
+        levels.add(spark.range(1000).select(F.xxhash64("id").alias("a"), (F.col("id") * 0 + k).alias("b")))
+    with sorted_runs(spark):
+        batch = plan(levels.fresh(spark.range(50).select("id", F.col("id").alias("k")).toDF("a", "b")))
+        compaction = plan(levels.merging(*levels.runs()))
+    assert batch.count("SortMergeJoin") == 2 and "Broadcast" not in batch
+    assert batch.count("Exchange") == 1 and batch.count("Sort [") == 1, batch  # the batch's own counting
+    assert compaction.count("SortMergeJoin") == 1 and "Exchange" not in compaction and "Sort [" not in compaction
+    assert levels.frequent().count() == 3000
+
+
+def test_hashes_beyond_the_held_ones(spark):
+    """The most frequent are held, the others joined; whatever is held, the result is the same."""
+    rows = [(i, "\n".join(f"line {j}" for j in range(12) if i % (j + 1) == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_lines(rows, 11)
+    for held in (0, 2, 5, 100):
+        assert Counter(map(tuple, drop_frequent_lines(df, 11, held_keys=held, batch_docs=25).collect())) == want
