@@ -1,17 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval and alignment.
 
-1. Texts become word positions over the benchmark's vocabulary, once, in the shared folder.
-2. Document frequencies of the terms over all passages (windows of ``window`` words) give TF-IDF.
-3. A distributed randomised SVD: every task multiplies its passages' TF-IDF matrix A into A'(A G) for
-   one random matrix G of ``rank`` columns, and the products are summed.  The latent space is spanned
-   by the sum and the benchmark's own rows, so that no item falls outside it.
-4. Overlapping passages are projected, and compared by cosine with each item's projection; the norms
-   are those before projecting, so a passage far from the benchmark's span does not look near.
-5. A candidate region is aligned to the item by an IDF-weighted longest common subsequence.  A high
-   share is a leak; a middling one is a paraphrase, and a leak only if the item's answer, its last
-   quarter, is there too.
-
-The benchmark is compared in blocks of ``block_items`` items, so what tasks hold stays bounded.
+1. Texts become term ids, once, in the shared folder: benchmark words have ids of their own, all other
+   words share ``HASHED`` hashed ids.
+2. Occurrences of the terms over all passages (``window`` words each) give TF-IDF.
+3. A distributed randomised SVD of the TF-IDF matrix A of all passages.  Every task takes Y = A G of its
+   passages for one random G and adds up Y'Y and A'Y.  With Y'Y = R'R, Q = Y / R is an orthonormal range
+   of A, and B = Q'A follows from the second sum; B's right singular vectors, of ``rank`` greatest
+   singular values, span the latent space.  Benchmark items take no part in it.
+4. Overlapping passages are projected into the latent space and searched for passages with a cosine of
+   at least ``cosine`` to an item.  Such a passage is a candidate paraphrase where at least ``weak`` of
+   the item's weight is near.  Beside it, passages that hold ``maybe`` of an item's weight are candidates
+   whatever their cosine: a verbatim leak may be a small part of a passage.
+5. Every region of a candidate, of up to 1.5 item lengths, is aligned to the item by an IDF-weighted
+   longest common subsequence.  A share of ``sure`` is a leak.  A share of ``maybe``, or of ``weak`` in a
+   passage near the item in the latent space, is a paraphrase, and a leak if the item's answer, its last
+   quarter, is in the same region.  Each region is decided for itself.
+
+Tasks hold a block of ``block_items`` items: their words, the latent vectors of all terms and items.
 
 Defined cases: null and empty texts and items match nothing; items under ``min_words`` words match
 only a text that holds all their words in a row; repeated rows are each returned; empty tables give
@@ -21,6 +26,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import string
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,10 @@ from marlstone.llm.shared import arrow_batches, hold, staged, table, texts_of
 
 _PARTS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 FOUND = "doc_id long, item_id long, cosine double, overlap double, answer double"
+#: Ids that the words outside of the benchmark share.
+HASHED = 1 << 14
+#: Terms in a row of the distributed sums.
+TERMS_A_ROW = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,22 +57,39 @@ def weighted_lcs(item: np.ndarray, region: np.ndarray, weights: np.ndarray) -> f
     return float(best[-1])
 
 
+class TermIds(dict):
+    """Ids of words.  Benchmark words are there from the start; others are hashed, and common ones kept."""
+
+    def __init__(self, vocabulary: dict[bytes, int], kept: int = 300_000):
+        super().__init__(vocabulary)
+        self.own, self.room = len(vocabulary), kept
+
+    def __missing__(self, word: bytes) -> int:
+        term = self.own + zlib.crc32(word) % HASHED
+        if self.room:
+            self.room -= 1
+            self[word] = term
+        return term
+
+
 class Items:
-    """A block of benchmark items: vocabulary, term ids, and after ``weigh`` their latent vectors."""
+    """A block of benchmark items: vocabulary, term ids, and after ``weigh`` what is looked for."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         words = [(i, words_of(t)) for i, t in rows]
         words = [(i, w) for i, w in words if w]
         self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, ws in words for x in ws}))}
+        self.own = len(self.vocabulary)
+        self.size = self.own + HASHED
         self.ids = [i for i, _ in words]
         self.terms = [np.array([self.vocabulary[x] for x in w], np.int32) for _, w in words]
 
-    def weigh(self, frequency: np.ndarray, passages: int, stop_share: float, maybe: float) -> None:
+    def weigh(self, occurrences: np.ndarray, passages: int, stop_share: float, weak: float) -> None:
         """Weights, and which terms are looked for.  Frequent ones are not, but for those without
-        which an item would lose over ``maybe`` / 2 of its weight; ``least`` allows for what it loses.
+        which an item would lose over ``weak`` / 2 of its weight; ``lost`` is what it loses.
         """
-        self.idf = np.log((passages + 1) / (frequency + 0.5)).clip(0.01).astype(np.float32)
-        self.content = frequency <= max(20, stop_share * passages)
+        self.idf = np.log((passages + 1) / (np.minimum(occurrences, passages) + 0.5)).clip(0.01).astype(np.float32)
+        self.content = occurrences[: self.own] <= max(20, stop_share * passages)
         parts = []
         for t in self.terms:
             term, n = np.unique(t, return_counts=True)
@@ -72,142 +99,171 @@ class Items:
         for term, share in parts:
             order = np.argsort(self.idf[term], kind="stable")
             order = order[frequent[term[order]]]
-            self.content[term[order[np.cumsum(share[order]) > maybe / 2]]] = True
-        self.least = np.array([maybe - share[~self.content[term]].sum() - 1e-6 for term, share in parts])
+            self.content[term[order[np.cumsum(share[order]) > weak / 2]]] = True
+        self.lost = np.array([share[~self.content[term]].sum() + 1e-6 for term, share in parts])
         # Of each term the items that hold it, and its share of their weight.
         terms = np.concatenate([term for term, _ in parts])
         order = np.argsort(terms, kind="stable")
         self.held_by = np.repeat(np.arange(len(parts)), [len(term) for term, _ in parts])[order]
         self.share = np.concatenate([share for _, share in parts])[order]
-        self.first = np.searchsorted(terms[order], np.arange(len(self.vocabulary) + 1))
+        self.first = np.searchsorted(terms[order], np.arange(self.own + 1))
 
     def spans(self) -> np.ndarray:
         """Words of the region that an item is aligned to, at most."""
-        return np.array([int(1.5 * len(t)) + 8 for t in self.terms], np.int64)
+        return np.array([span_of(t) for t in self.terms], np.int64)
 
-    def vectors(self) -> np.ndarray:
-        out = np.zeros((len(self.ids), len(self.vocabulary)), np.float32)
-        for row, t in zip(out, self.terms):
-            term, n = np.unique(t, return_counts=True)
-            row[term] = (1 + np.log(n)) * self.idf[term] * self.content[term]
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+def span_of(item: np.ndarray) -> int:
+    return int(1.5 * len(item)) + 8
 
 
-def _positions(vocabulary: dict, window: int):
-    """Of each text its term ids (-1: not in the vocabulary), and the passages that hold each term."""
+def _positions(vocabulary):
+    """Of each text its term ids."""
 
     def run(batches):
-        look = vocabulary.value
+        look = TermIds(vocabulary.value)
         for batch in batches:
             out = []
             for text in texts_of(batch):
                 words = words_of(text)
-                out.append(np.fromiter((look.get(w, -1) for w in words), np.int32, len(words)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a.tobytes() if (a >= 0).any() else b"" for a in out], pa.binary()), pa.array([len(a) for a in out], pa.int64())], ["doc_id", "terms", "n_words"])
+                out.append(np.fromiter(map(look.__getitem__, words), np.int32, len(words)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "terms"])
 
     return run
 
 
-def _passages(batch, content: np.ndarray | None, window: int, step: int):
-    """(doc row, passage start, terms and their counts) of a batch, as flat arrays.
+def _arrays(batch) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), np.int32) for v in batch.column("terms")]
 
-    Returns the documents, starts, and for each entry its passage, term and count, ordered by passage.
-    """
-    data = batch.column("terms")
-    arrays = [np.frombuffer(x, np.int32) for x in (v.as_buffer() for v in data) if x is not None]
-    sizes = np.array([len(a) for a in arrays], np.int64)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-    doc = np.repeat(np.arange(len(arrays)), sizes)
-    pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keep = flat >= 0
-    if content is not None:
-        keep &= content[flat]
-    doc, pos, term = doc[keep], pos[keep], flat[keep].astype(np.int64)
-    n_parts = np.maximum(1, -(-sizes // step)) if len(sizes) else sizes
-    first = np.cumsum(n_parts) - n_parts
-    passage = first[doc] + pos // step
-    if step < window:  # a passage reaches into the next one's words
-        again = (pos >= step) & (pos % step < window - step)
-        passage, term = np.r_[passage, passage[again] - 1], np.r_[term, term[again]]
-    key, n = np.unique(passage * (1 << 32) + term, return_counts=True)
-    return arrays, np.repeat(np.arange(len(arrays)), n_parts), np.arange(int(n_parts.sum())) - np.repeat(first, n_parts), key >> 32, key & 0xFFFFFFFF, n
 
+def _occurrences(size: int, window: int):
+    """Term -1 counts the passages."""
 
-def _frequencies(size: int, window: int):
     def run(batches):
         total, passages = np.zeros(size, np.int64), 0
         for batch in batches:
-            _, owners, _, _, term, _ = _passages(batch, None, window, window)
-            total += np.bincount(term, minlength=size)
-            passages += len(owners)
+            arrays = _arrays(batch)
+            if arrays:
+                total += np.bincount(np.concatenate(arrays), minlength=size)
+            passages += sum(-(-len(a) // window) for a in arrays)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[passages, total[at]])], ["term", "n"])
 
     return run
 
 
-def _rows(items: Items, passage: np.ndarray, term: np.ndarray, n: np.ndarray):
-    """Unit rows: weights in order of passage, where each row starts, and the rows' passages."""
-    w = (1 + np.log(n)).astype(np.float32) * items.idf[term]
-    starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, np.int64)
-    norm = np.sqrt(np.add.reduceat(w * w, starts)) if len(starts) else w
-    return w / np.repeat(norm, np.diff(np.r_[starts, len(w)])), starts, passage[starts]
+def _padded(arrays: list[np.ndarray], width: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in rows of ``width`` terms, each text's last row filled with ``pad``; and rows of each."""
+    rows = np.array([-(-len(a) // width) for a in arrays], np.int64)
+    flat = np.full(int(rows.sum()) * width, pad, np.int32)
+    at = 0
+    for a, n in zip(arrays, rows.tolist()):
+        flat[at : at + len(a)] = a
+        at += n * width
+    return flat.reshape(-1, width), rows
+
 
+def _sums(rows: np.ndarray, matrix: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """For each row of terms the sum of their rows of ``matrix``."""
+    out = np.empty((len(rows), matrix.shape[1]), np.float32)
+    step = max(1, block // rows.shape[1])
+    for lo in range(0, len(rows), step):
+        out[lo : lo + step] = matrix[rows[lo : lo + step]].sum(axis=1)
+    return out
 
-def _project(w: np.ndarray, starts: np.ndarray, term: np.ndarray, matrix: np.ndarray, block: int = 4000):
-    """Rows times ``matrix``, a block of rows at a time: (first row, last row, first entry, last, product)."""
-    ends = np.r_[starts[1:], len(w)]
-    for lo in range(0, len(starts), block):
-        hi = min(len(starts), lo + block)
-        a, b = starts[lo], ends[hi - 1]
-        yield lo, hi, a, b, np.add.reduceat(matrix[term[a:b]] * w[a:b, None], starts[lo:hi] - a, axis=0)
 
+def noise_of(size: int, columns: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(size, columns)).astype(np.float32)
+
+
+def _range_sums(idf, window: int, columns: int, seed: int):
+    """Parts of A'Y, ``TERMS_A_ROW`` terms each, and as part -1 Y'Y."""
 
-def _products(held, window: int, rank: int, seed: int):
     def run(batches):
-        items = held.value
-        noise = np.random.default_rng(seed).normal(size=(len(items.vocabulary), rank)).astype(np.float32)
-        total = np.zeros_like(noise)
+        weights = np.r_[idf.value, np.float32(0)]  # the pad has none
+        size = len(weights)
+        noise = noise_of(size, columns, seed) * weights[:, None]
+        back, gram = np.zeros((size, columns), np.float64), np.zeros((columns, columns))
         for batch in batches:
-            _, _, _, passage, term, n = _passages(batch, items.content, window, window)
-            w, starts, _ = _rows(items, passage, term, n)
-            for lo, hi, a, b, y in _project(w, starts, term, noise):
-                back = np.repeat(np.arange(hi - lo), np.diff(np.r_[starts[lo:hi], b]))
-                order = np.argsort(term[a:b], kind="stable")
-                sorted_term = term[a:b][order]
-                first = np.flatnonzero(np.r_[True, sorted_term[1:] != sorted_term[:-1]])
-                total[sorted_term[first]] += np.add.reduceat((y[back] * w[a:b, None])[order], first, axis=0)
-        at = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([r.tobytes() for r in total[at]], pa.binary())], ["term", "row"])
+            rows, _ = _padded(_arrays(batch), window, size - 1)
+            for lo in range(0, len(rows), 4096):
+                part = rows[lo : lo + 4096]
+                y = _sums(part, noise)
+                gram += y.T.astype(np.float64) @ y
+                terms = part.ravel()
+                order = np.argsort(terms)
+                sorted_terms = terms[order]
+                first = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
+                back[sorted_terms[first]] += np.add.reduceat(y[order // window], first, axis=0)
+        back = (back * weights[:, None])[:-1].astype(np.float32)
+        back = np.r_[back, np.zeros((-len(back) % TERMS_A_ROW, columns), np.float32)].reshape(-1, TERMS_A_ROW * columns)
+        at = np.flatnonzero(np.abs(back).sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array([gram.astype(np.float32).tobytes(), *(r.tobytes() for r in back[at])], pa.binary())], ["part", "data"])
 
     return run
 
 
-def _sum_rows(batches):
-    """Sum the float32 rows of each term that this task holds."""
+def _sum_parts(batches):
+    """Sum what is of the same part; a task has whole parts."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for t, r in zip(batch.column("term").to_pylist(), batch.column("row").to_pylist()):
-            a = np.frombuffer(r, np.float32)
-            sums[t] = sums[t] + a if t in sums else a
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([a.tobytes() for a in sums.values()], pa.binary())], ["term", "row"])
-
-
-def latent_basis(terms: DataFrame, items: Items, held, window: int, rank: int, seed: int = 11) -> np.ndarray:
-    """Orthonormal columns (terms, up to rank + items).  The driver gets a row for each term of the vocabulary."""
-    n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = terms.mapInArrow(_products(held, window, rank, seed), "term long, row binary")
-    summed = made.repartition(n, "term").mapInArrow(_sum_rows, "term long, row binary").toArrow()
-    total = np.zeros((len(items.vocabulary), rank), np.float64)
-    for t, r in zip(summed.column("term").to_pylist(), summed.column("row").to_pylist()):
-        total[t] = np.frombuffer(r, np.float32)
-    leading, strength, _ = np.linalg.svd(total, full_matrices=False)
-    basis, _ = np.linalg.qr(np.c_[items.vectors().T.astype(np.float64), leading[:, strength > 1e-6 * max(strength[0], 1e-12)]])
-    return basis.astype(np.float32)
+        for k, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
+            a = np.frombuffer(data, np.float32)
+            sums[k] = sums[k] + a if k in sums else a.astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([a.tobytes() for a in sums.values()], pa.binary())], ["part", "data"])
+
+
+def latent_space(gram: np.ndarray, back: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (terms, at most ``rank``) and singular values of A, from Y'Y and A'Y.
+
+    Directions of Y without strength are left out, so fewer passages than columns do no harm."""
+    strength, turn = np.linalg.eigh(gram)
+    keep = strength > 1e-9 * max(strength.max(initial=0), 1e-30)
+    to_range = turn[:, keep] / np.sqrt(strength[keep])  # Y times this is an orthonormal range Q
+    vectors, values, _ = np.linalg.svd(back @ to_range, full_matrices=False)  # of B' = A'Q
+    keep = values > 1e-6 * max(values.max(initial=0), 1e-30)
+    return vectors[:, keep][:, :rank], values[keep][:rank]
+
+
+def latent_basis(terms: DataFrame, idf: np.ndarray, window: int, rank: int, oversample: int = 8, seed: int = 11) -> np.ndarray:
+    """The latent vector of each term (terms, rank), over all passages.  The driver gets (terms, rank + oversample) numbers."""
+    spark, columns = terms.sparkSession, rank + oversample
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = terms.mapInArrow(_range_sums(hold(spark, idf), window, columns, seed), "part long, data binary")
+    summed = made.repartition(n, "part").mapInArrow(_sum_parts, "part long, data binary").toArrow()
+    gram, back = np.zeros((columns, columns)), np.zeros((len(idf) + (-len(idf) % TERMS_A_ROW), columns))
+    for k, data in zip(summed.column("part").to_pylist(), summed.column("data").to_pylist()):
+        if k < 0:
+            gram = np.frombuffer(data).reshape(columns, columns)
+        else:
+            back[k * TERMS_A_ROW : (k + 1) * TERMS_A_ROW] = np.frombuffer(data).reshape(TERMS_A_ROW, columns)
+    vectors, _ = latent_space(gram, back[: len(idf)], rank)
+    return (vectors * idf[:, None]).astype(np.float32)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
+def _passage_terms(arrays: list[np.ndarray], items: Items, window: int, step: int):
+    """Owner and number of each passage, and (passage, term) of the terms that are looked for, once each."""
+    sizes = np.array([len(a) for a in arrays], np.int64)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+    n_parts = np.maximum(1, -(-sizes // step)) if len(sizes) else sizes
+    first = np.cumsum(n_parts) - n_parts
+    at = np.flatnonzero(np.r_[items.content, np.zeros(HASHED, bool)][flat])
+    doc = np.repeat(np.arange(len(arrays)), sizes)[at]
+    pos = at - (np.cumsum(sizes) - sizes)[doc]
+    term = flat[at].astype(np.int64)
+    passage = first[doc] + pos // step
+    again = (pos >= step) & (pos % step < window - step)  # a passage reaches into the next one's words
+    passage, term = np.r_[passage, passage[again] - 1], np.r_[term, term[again]]
+    key = np.unique(passage << 32 | term)
+    return np.repeat(np.arange(len(arrays)), n_parts), np.arange(int(n_parts.sum())) - np.repeat(first, n_parts), key >> 32, key & 0xFFFFFFFF
 
 
-def _shared(items: Items, passage: np.ndarray, term: np.ndarray, owners: np.ndarray, window: int, step: int):
-    """(item, passage, further passages): where a region may hold enough of an item's weight.
+def _shared(items: Items, passage: np.ndarray, term: np.ndarray, owners: np.ndarray, window: int, step: int, least: float):
+    """(item, passage, further passages, share): where a region may hold ``least`` of an item's weight.
 
     A region starts in a passage and reaches into a fixed number of further ones, so the weight that
     it shares is at most the sum of what these hold: no region that alignment would take is left out.
@@ -215,7 +271,7 @@ def _shared(items: Items, passage: np.ndarray, term: np.ndarray, owners: np.ndar
     n = items.first[term + 1] - items.first[term]
     at = np.repeat(items.first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
     key, of = np.unique(items.held_by[at] * len(owners) + np.repeat(passage, n), return_inverse=True)
-    sums = np.bincount(of, items.share[at], len(key))
+    sums = np.bincount(of, items.share[at], len(key)).astype(np.float64)
     item, passage = np.divmod(key, max(1, len(owners)))
     more = np.maximum(0, -(-(items.spans() - 1 - (window - step)) // step))[item]
     total, every = sums.copy(), np.arange(len(key))
@@ -225,56 +281,99 @@ def _shared(items: Items, passage: np.ndarray, term: np.ndarray, owners: np.ndar
         there = np.searchsorted(key, key[own] + i)
         hit = (there < len(key)) & (key[np.minimum(there, len(key) - 1)] == key[own] + i)
         total[own[hit]] += sums[there[hit]]
-    found = total >= items.least[item]
-    return item[found], passage[found], more[found]
+    total += items.lost[item]
+    found = total >= least
+    return item[found], passage[found], more[found], total[found]
+
+
+def _passage_vectors(arrays: list[np.ndarray], basis: np.ndarray, window: int) -> np.ndarray:
+    """Unit latent vectors of the passages: four units of a quarter window each, three units apart."""
+    unit, pad = window // 4, len(basis) - 1
+    rows, n = _padded(arrays, unit, pad)
+    y = _sums(rows, basis)
+    ends = np.cumsum(n)
+    starts = ends - n
+    parts = np.maximum(1, -(-np.array([len(a) for a in arrays], np.int64) // (3 * unit)))
+    total = int(parts.sum())
+    owner = np.repeat(np.arange(len(arrays)), parts)
+    at = starts[owner] + 3 * (np.arange(total) - np.repeat(np.cumsum(parts) - parts, parts))
+    out = np.zeros((total, basis.shape[1]), np.float32)
+    for i in range(4):
+        there = at + i < ends[owner]
+        out[there] += y[(at + i)[there]]
+    return _unit(out)
+
+
+def _near(vectors: np.ndarray, latent: np.ndarray, owners: np.ndarray, item: np.ndarray, passage: np.ndarray, more: np.ndarray, block: int = 1000) -> np.ndarray:
+    """The greatest cosine of an item with a passage or the further ones, for each given pair.
+
+    All passages are searched for all items, ``block`` items at a time."""
+    best = np.full(len(item), -1.0, np.float32)
+    for lo in range(0, len(latent), block):
+        of = np.flatnonzero((item >= lo) & (item < lo + block))
+        if not len(of):
+            continue
+        cosines = vectors @ latent[lo : lo + block].T
+        for i in range(int(more[of].max()) + 1):
+            there = of[(more[of] >= i) & (passage[of] + i < len(owners))]
+            there = there[owners[passage[there] + i] == owners[passage[there]]]
+            best[there] = np.maximum(best[there], cosines[passage[there] + i, item[there] - lo])
+    return best
+
+
+def aligned(item: np.ndarray, region: np.ndarray, idf: np.ndarray, near: bool, sure: float, maybe: float, weak: float, answer: float):
+    """(overlap, answer) of the first region of the span that is a leak, of those that share most; or None."""
+    at = np.flatnonzero(np.isin(region, item))
+    if not len(at):
+        return None
+    total, span = float(idf[item].sum()), span_of(item)
+    tail = item[-max(3, len(item) // 4) :]
+    tail_weight, least = float(idf[tail].sum()), (weak if near else maybe)
+    sums = np.r_[0.0, np.cumsum(idf[region[at]], dtype=np.float64)]
+    shares = sums[np.searchsorted(at, at + span)] - sums[:-1]
+    if weighted_lcs(item, region, idf) < least * total * (1 - 1e-6):
+        return None  # no part of the region can share more than all of it
+    for i in np.argsort(-shares, kind="stable"):
+        if shares[i] < least * total * (1 - 1e-6):
+            return None
+        part = region[at[i] : at[i] + span]
+        share = weighted_lcs(item, part, idf) / total
+        if share < least - 1e-6:
+            continue
+        has = weighted_lcs(tail, part, idf) / tail_weight
+        if share >= sure or has >= answer:
+            return share, has
+    return None
 
 
-def _search(held, window: int, cosine: float, sure: float, maybe: float, answer: float, min_words: int):
+def _search(held, window: int, cosine: float, sure: float, maybe: float, weak: float, answer: float, min_words: int):
     def run(batches):
         items, basis, latent = held.value
-        step = window * 3 // 4
+        step = window // 4 * 3
         for batch in batches:
-            arrays, owners, number, passage, term, n = _passages(batch, items.content, window, step)
-            w, starts, of = _rows(items, passage, term, n)
-            best: dict[tuple[int, int], dict] = {}
-            shared = _shared(items, passage, term, owners, window, step)
-            by_row = np.argsort(shared[1], kind="stable")
-            shared = tuple(x[by_row] for x in shared)
-            for lo, hi, _, _, y in _project(w, starts, term, basis):
-                near = y @ latent.T
-                r, k = np.nonzero(near >= cosine)
-                a, b = np.searchsorted(shared[1], [of[lo], of[hi - 1] + 1])
-                r2 = np.searchsorted(of[lo:hi], shared[1][a:b])
-                k2, more = shared[0][a:b], shared[2][a:b]
-                for r, k, m in zip(np.r_[r, r2].tolist(), np.r_[k, k2].tolist(), np.r_[np.zeros_like(r), more].tolist()):
-                    p = int(of[lo + r])
-                    at = best.setdefault((int(owners[p]), k), {})
-                    at[int(number[p]), m] = float(near[r, k])
+            arrays = _arrays(batch)
+            owners, number, passage, term = _passage_terms(arrays, items, window, step)
+            item, passage, more, share = _shared(items, passage, term, owners, window, step, weak)
+            cosines = _near(_passage_vectors(arrays, basis, window), latent, owners, item, passage, more)
+            take = (share >= maybe) | (cosines >= cosine)
+            places: dict[tuple[int, int], list] = {}
+            for k, p, m, c in zip(item[take].tolist(), passage[take].tolist(), more[take].tolist(), cosines[take].tolist()):
+                places.setdefault((int(owners[p]), k), []).append((c, int(number[p]), m))
             out = []
-            for (doc, k), places in best.items():
-                item, text = items.terms[k], arrays[doc]
-                if len(item) < min_words:
-                    if len(text) >= len(item) and (np.lib.stride_tricks.sliding_window_view(text, len(item)) == item).all(axis=1).any():
-                        out.append((doc, items.ids[k], max(places.values()), 1.0, 1.0))
+            for (doc, k), of in places.items():
+                text, terms = arrays[doc], items.terms[k]
+                if len(terms) < min_words:
+                    if len(text) >= len(terms) and (np.lib.stride_tricks.sliding_window_view(text, len(terms)) == terms).all(axis=1).any():
+                        out.append((doc, items.ids[k], max(of)[0], 1.0, 1.0))
                     continue
-                total, tail = float(items.idf[item].sum()), item[-max(3, len(item) // 4) :]
-                top, seen = (0.0, 0.0, 0.0), set()
-                highest = max(places.values())
-                for number_, more in places:
-                    a = max(0, number_ * step - len(item))
-                    region = text[a : (number_ + more) * step + window + len(item)]
-                    at = np.flatnonzero(np.isin(region, item))
-                    if not len(at):
-                        continue
-                    region, start, most = _densest(region, at, int(1.5 * len(item)) + 4, items.idf)
-                    if most < maybe * total * (1 - 1e-6) or a + start in seen:
-                        continue
-                    seen.add(a + start)
-                    share = weighted_lcs(item, region, items.idf) / total
-                    has = weighted_lcs(tail, region, items.idf) / float(items.idf[tail].sum())
-                    top = max(top, (share, has, highest))
-                if top[0] >= sure or (top[0] >= maybe and top[1] >= answer):
-                    out.append((doc, items.ids[k], top[2], top[0], top[1]))
+                best = None
+                for c, number_, m in of:
+                    region = text[number_ * step : (number_ + m + 1) * step + span_of(terms)]
+                    found = aligned(terms, region, items.idf, c >= cosine, sure, maybe, weak, answer)
+                    if found and (best is None or (*found, c) > best):
+                        best = (*found, c)
+                if best:
+                    out.append((doc, items.ids[k], best[2], best[0], best[1]))
             ids = batch.column("doc_id").to_pylist()
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], [c.split()[0] for c in FOUND.split(", ")])
@@ -282,20 +381,10 @@ def _search(held, window: int, cosine: float, sure: float, maybe: float, answer:
     return run
 
 
-def _densest(region: np.ndarray, at: np.ndarray, span: int, idf: np.ndarray) -> tuple[np.ndarray, int, float]:
-    """The ``span`` words of the region with the greatest weight of shared terms at ``at``: with a
-    few on both sides, where they start, and the most that as many words as returned share."""
-    sums = np.r_[0.0, np.cumsum(idf[region[at]])]
-    ends = np.searchsorted(at, at + span)
-    i = int((sums[ends] - sums[np.arange(len(at))]).argmax())
-    middle = (at[i] + at[ends[i] - 1]) // 2
-    a = max(0, int(middle) - span // 2 - 2)
-    wider = sums[np.searchsorted(at, at + span + 4)] - sums[np.arange(len(at))]
-    return region[a : a + span + 4], a, float(wider.max())
-
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 32, cosine: float = 0.7, sure: float = 0.6, maybe: float = 0.4, weak: float = 0.25, answer: float = 0.75, stop_share: float = 0.02, min_words: int = 6, block_items: int = 20_000) -> DataFrame:
+    """doc_id, item_id, cosine, overlap, answer of every document that holds an item or a paraphrase.
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 64, cosine: float = 0.3, sure: float = 0.6, maybe: float = 0.4, answer: float = 0.75, stop_share: float = 0.02, min_words: int = 6, block_items: int = 2000) -> DataFrame:
-    """doc_id, item_id, cosine, overlap, answer of every document that holds an item or a paraphrase."""
+    ``window`` is a multiple of 4.  ``stop_share`` saves work alone: see ``Items.weigh``."""
     spark = docs.sparkSession
     arrow_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -307,15 +396,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 6
         items = Items([(r["item_id"], r["text"]) for r in rows])
         if not items.ids:
             continue
-        vocabulary = hold(spark, items.vocabulary)
-        terms = staged(texts.mapInArrow(_positions(vocabulary, window), "doc_id long, terms binary, n_words long").where("length(terms) > 0"), "benchmark-terms")
-        counts = {r["term"]: r["n"] for r in terms.mapInArrow(_frequencies(len(items.vocabulary), window), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        terms = staged(texts.mapInArrow(_positions(hold(spark, items.vocabulary)), "doc_id long, terms binary").where("length(terms) > 0"), "benchmark-terms")
+        counts = {r["term"]: r["n"] for r in terms.mapInArrow(_occurrences(items.size, window), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         passages = counts.pop(-1, 0)
-        frequency = np.zeros(len(items.vocabulary), np.int64)
-        frequency[list(counts)] = list(counts.values())
-        items.weigh(frequency, passages, stop_share, maybe)
-        basis = latent_basis(terms, items, hold(spark, items), window, min(rank, len(items.vocabulary)))
-        search = _search(hold(spark, (items, basis, items.vectors() @ basis)), window, cosine, sure, maybe, answer, min_words)
+        occurrences = np.zeros(items.size, np.int64)
+        occurrences[list(counts)] = list(counts.values())
+        items.weigh(occurrences, passages, stop_share, weak)
+        basis = latent_basis(terms, items.idf, window, rank)
+        latent = _unit(np.array([basis[t].sum(axis=0) for t in items.terms], np.float32))
+        basis = np.r_[basis, np.zeros((1, basis.shape[1]), np.float32)]  # the pad
+        search = _search(hold(spark, (items, basis, latent)), window, cosine, sure, maybe, weak, answer, min_words)
         part = terms.mapInArrow(search, FOUND)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], FOUND)
