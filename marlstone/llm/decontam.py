@@ -4,13 +4,14 @@
    words share ``HASHED`` hashed ids.
 2. Occurrences of the terms over all passages (``window`` words each) give TF-IDF.
 3. A distributed randomised SVD of the TF-IDF matrix A of all passages.  Every task takes Y = A G of its
-   passages for one random G and adds up Y'Y and A'Y.  With Y'Y = R'R, Q = Y / R is an orthonormal range
-   of A, and B = Q'A follows from the second sum; B's right singular vectors, of ``rank`` greatest
-   singular values, span the latent space.  Benchmark items take no part in it.
-4. Overlapping passages are projected into the latent space and searched for passages with a cosine of
-   at least ``cosine`` to an item.  Such a passage is a candidate paraphrase where at least ``weak`` of
-   the item's weight is near.  Beside it, passages that hold ``maybe`` of an item's weight are candidates
-   whatever their cosine: a verbatim leak may be a small part of a passage.
+   passages for one random G and adds up A'Y; Y'Y is G'(A'Y).  With Y'Y = R'R, Q = Y / R is an orthonormal
+   range of A, and B = Q'A follows from the sum; B's right singular vectors, of ``rank`` greatest singular
+   values, span the latent space.  Benchmark items take no part in it.
+4. Overlapping passages are projected into the latent space, and those with a cosine of at least
+   ``cosine`` to an item are candidates.  Only pairs that share at least ``weak`` of the item's weight are
+   compared, found by an inverted index of the terms: no other could pass the alignment.  Beside these,
+   passages that hold ``maybe`` of an item's weight are candidates whatever their cosine: a verbatim
+   leak may be a small part of a passage.
 5. Every region of a candidate, of up to 1.5 item lengths, is aligned to the item by an IDF-weighted
    longest common subsequence.  A share of ``sure`` is a leak.  A share of ``maybe``, or of ``weak`` in a
    passage near the item in the latent space, is a paraphrase, and a leak if the item's answer, its last
@@ -177,19 +178,18 @@ def noise_of(size: int, columns: int, seed: int) -> np.ndarray:
 
 
 def _range_sums(idf, window: int, columns: int, seed: int):
-    """Parts of A'Y, ``TERMS_A_ROW`` terms each, and as part -1 Y'Y."""
+    """Parts of A'Y, ``TERMS_A_ROW`` terms each."""
 
     def run(batches):
         weights = np.r_[idf.value, np.float32(0)]  # the pad has none
         size = len(weights)
-        noise = noise_of(size, columns, seed) * weights[:, None]
-        back, gram = np.zeros((size, columns), np.float64), np.zeros((columns, columns))
+        noise = np.r_[noise_of(size - 1, columns, seed), np.zeros((1, columns), np.float32)] * weights[:, None]
+        back = np.zeros((size, columns), np.float64)
         for batch in batches:
             rows, _ = _padded(_arrays(batch), window, size - 1)
             for lo in range(0, len(rows), 4096):
                 part = rows[lo : lo + 4096]
                 y = _sums(part, noise)
-                gram += y.T.astype(np.float64) @ y
                 terms = part.ravel()
                 order = np.argsort(terms)
                 sorted_terms = terms[order]
@@ -198,7 +198,7 @@ def _range_sums(idf, window: int, columns: int, seed: int):
         back = (back * weights[:, None])[:-1].astype(np.float32)
         back = np.r_[back, np.zeros((-len(back) % TERMS_A_ROW, columns), np.float32)].reshape(-1, TERMS_A_ROW * columns)
         at = np.flatnonzero(np.abs(back).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array([gram.astype(np.float32).tobytes(), *(r.tobytes() for r in back[at])], pa.binary())], ["part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([r.tobytes() for r in back[at]], pa.binary())], ["part", "data"])
 
     return run
 
@@ -231,13 +231,12 @@ def latent_basis(terms: DataFrame, idf: np.ndarray, window: int, rank: int, over
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = terms.mapInArrow(_range_sums(hold(spark, idf), window, columns, seed), "part long, data binary")
     summed = made.repartition(n, "part").mapInArrow(_sum_parts, "part long, data binary").toArrow()
-    gram, back = np.zeros((columns, columns)), np.zeros((len(idf) + (-len(idf) % TERMS_A_ROW), columns))
+    back = np.zeros((len(idf) + (-len(idf) % TERMS_A_ROW), columns))
     for k, data in zip(summed.column("part").to_pylist(), summed.column("data").to_pylist()):
-        if k < 0:
-            gram = np.frombuffer(data).reshape(columns, columns)
-        else:
-            back[k * TERMS_A_ROW : (k + 1) * TERMS_A_ROW] = np.frombuffer(data).reshape(TERMS_A_ROW, columns)
-    vectors, _ = latent_space(gram, back[: len(idf)], rank)
+        back[k * TERMS_A_ROW : (k + 1) * TERMS_A_ROW] = np.frombuffer(data).reshape(TERMS_A_ROW, columns)
+    back = back[: len(idf)]
+    gram = noise_of(len(idf), columns, seed).T @ back
+    vectors, _ = latent_space((gram + gram.T) / 2, back, rank)
     return (vectors * idf[:, None]).astype(np.float32)
 
 
@@ -304,20 +303,15 @@ def _passage_vectors(arrays: list[np.ndarray], basis: np.ndarray, window: int) -
     return _unit(out)
 
 
-def _near(vectors: np.ndarray, latent: np.ndarray, owners: np.ndarray, item: np.ndarray, passage: np.ndarray, more: np.ndarray, block: int = 1000) -> np.ndarray:
-    """The greatest cosine of an item with a passage or the further ones, for each given pair.
-
-    All passages are searched for all items, ``block`` items at a time."""
+def _near(vectors: np.ndarray, latent: np.ndarray, owners: np.ndarray, item: np.ndarray, passage: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The greatest cosine of an item with a passage or the further ones, for each given pair."""
     best = np.full(len(item), -1.0, np.float32)
-    for lo in range(0, len(latent), block):
-        of = np.flatnonzero((item >= lo) & (item < lo + block))
-        if not len(of):
-            continue
-        cosines = vectors @ latent[lo : lo + block].T
-        for i in range(int(more[of].max()) + 1):
-            there = of[(more[of] >= i) & (passage[of] + i < len(owners))]
-            there = there[owners[passage[there] + i] == owners[passage[there]]]
-            best[there] = np.maximum(best[there], cosines[passage[there] + i, item[there] - lo])
+    for i in range(int(more.max(initial=0)) + 1):
+        there = np.flatnonzero((more >= i) & (passage + i < len(owners)))
+        there = there[owners[passage[there] + i] == owners[passage[there]]]
+        for lo in range(0, len(there), 65536):
+            at = there[lo : lo + 65536]
+            best[at] = np.maximum(best[at], np.einsum("ij,ij->i", vectors[passage[at] + i], latent[item[at]]))
     return best
 
 

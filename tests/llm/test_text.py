@@ -263,3 +263,135 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     want = {d for d, t in rows if not any(x in " ".join(t.split()) for x in items)}
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+def passages_matrix(texts, items, window):
+    """The TF-IDF matrix of all passages, one row each, written down plainly."""
+    from marlstone.llm.decontam import TermIds, words_of
+
+    look, rows = TermIds(items.vocabulary), []
+    for t in texts:
+        words = words_of(t)
+        for lo in range(0, len(words), window):
+            row = np.zeros(items.size)
+            for w in words[lo : lo + window]:
+                row[look[w]] += items.idf[look[w]]
+            rows.append(row)
+    return np.array(rows)
+
+
+def test_latent_space_is_that_of_a_plain_svd(spark):
+    """The distributed sums give the leading right singular vectors of the whole matrix."""
+    from marlstone.llm import decontam as D
+
+    rng = np.random.default_rng(12)
+    topics = [[f"t{k}w{j}" for j in range(12)] for k in range(5)]
+    texts = [" ".join(rng.choice(topics[i % 5], 150)) for i in range(120)]
+    items = D.Items([(k, " ".join(t)) for k, t in enumerate(topics)])
+    items.idf = (1 + rng.random(items.size)).astype(np.float32)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    terms = rows.mapInArrow(D._positions(D.hold(spark, items.vocabulary)), "doc_id long, terms binary")
+    basis = D.latent_basis(terms, items.idf, 64, 5) / items.idf[:, None]
+    whole = np.linalg.svd(passages_matrix(texts, items, 64), full_matrices=False)[2][:5]
+    assert basis.shape[1] == 5 and np.allclose(basis.T @ basis, np.eye(5), atol=1e-3)
+    assert np.linalg.svd(whole @ basis)[1].min() > 0.99  # the same space
+
+
+def test_paraphrases_need_the_latent_space(spark, monkeypatch):
+    """Synonyms that share contexts are near in the latent space alone; without it they are lost."""
+    from marlstone.llm import decontam as D
+
+    rng = np.random.default_rng(13)
+    concepts = [[[f"k{t}c{c}s{s}" for s in range(3)] for c in range(40)] for t in range(6)]  # topics of synonyms
+
+    def say(topic, n, picks=None):
+        return [concepts[topic][c][rng.integers(0, 3)] for c in (picks if picks is not None else rng.integers(0, 40, n))]
+
+    items, docs, want, other = {}, [], set(), set()
+    for i in range(24):
+        picks = rng.integers(0, 40, 32)
+        items[i] = [concepts[i % 6][c][0] for c in picks]
+        answer = items[i][-8:]
+        told = [concepts[i % 6][c][0 if j % 8 == 0 else rng.integers(1, 3)] for j, c in enumerate(picks[:-8])] + answer
+        docs.append((1000 + i, " ".join(say(i % 6, 80) + told + say(i % 6, 80))))
+        want.add((1000 + i, i))
+        away = (i + 1) % 6  # the same answer and words among another topic's
+        docs.append((2000 + i, " ".join(say(away, 80) + [w if j % 8 == 0 else x for j, (w, x) in enumerate(zip(items[i][:-8], say(away, 24)))] + answer + say(away, 80))))
+        other.add((2000 + i, i))
+    docs += [(d, " ".join(say(d % 6, 160))) for d in range(600)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    ask = lambda: {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench, rank=12, cosine=0.8).collect()}
+    got = ask()
+    assert len(got & want) >= 0.9 * len(want) and not got & other and not {d for d, _ in got if d < 1000}
+    monkeypatch.setattr(D, "latent_space", lambda gram, back, rank: (np.zeros((len(back), 1)), np.zeros(1)))
+    assert len(ask() & want) < len(want) / 3  # those that share enough words by chance
+
+
+def brute_leaks(docs, items, idf, sure=0.6, maybe=0.4, answer=0.75):
+    """Every region of 1.5 item lengths of every text against every item, without candidates."""
+    from marlstone.llm.decontam import span_of, words_of
+
+    found = set()
+    for d, text in docs:
+        words = [w.decode() for w in words_of(text)]
+        for i, item in items.items():
+            own = np.array([idf[w] for w in item])
+            ids = {w: k for k, w in enumerate(dict.fromkeys(item))}
+            weights = np.array([idf[w] for w in ids])
+            terms = np.array([ids[w] for w in item])
+            text_ids = np.array([ids.get(w, -1) for w in words])
+            for at in np.flatnonzero(text_ids >= 0):
+                part = text_ids[at : at + span_of(terms)]
+                share = weighted_lcs(terms, part, weights) / own.sum()
+                tail = terms[-max(3, len(item) // 4) :]
+                has = weighted_lcs(tail, part, weights) / weights[tail].sum()
+                if share >= sure or (share >= maybe and has >= answer):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_leaks_equal_brute_force(spark):
+    """All regions against all items: items across passages, spread out, in halves, and of common words."""
+    rng = np.random.default_rng(14)
+    words = [f"w{i}" for i in range(400)]  # few words, so that items share many by chance
+    say = lambda n: list(rng.choice(words, n, p=1 / np.arange(1, 401) / np.sum(1 / np.arange(1, 401))))
+    items = {i: say(int(rng.integers(8, 44))) for i in range(30)}
+    docs = []
+    for d in range(150):
+        body, item = say(int(rng.integers(40, 260))), items[int(rng.integers(0, 30))]
+        at, kind, half = int(rng.integers(0, len(body))), d % 5, len(item) * 55 // 100
+        if kind == 0:
+            body[at:at] = item
+        elif kind == 1:  # spread: a foreign word behind each third
+            body[at:at] = [x for j, w in enumerate(item) for x in ([w, "zz"] if j % 3 == 0 else [w])]
+        elif kind == 2:  # more of it without the answer, less of it with the answer elsewhere
+            body = item[:half] + body + item[half:]
+        elif kind == 3:
+            body[at:at] = [w for j, w in enumerate(item) if j % 4]
+        docs.append((d, " ".join(body)))
+    counts = {}
+    for _, t in docs:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    n = sum(-(-len(t.split()) // 64) for _, t in docs)
+    idf = {w: max(0.01, np.log((n + 1) / (min(counts.get(w, 0), n) + 0.5))) for w in {x for v in items.values() for x in v}}
+    want = brute_leaks(docs, items, idf)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, cosine=2.0).collect()}
+    assert len(want) > 60 and got == want
+    near = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert want <= near  # the latent space adds paraphrases and loses nothing
+
+
+def test_a_leak_at_the_second_place_counts(spark):
+    """Of two places the one with more words lacks the answer; the other has it."""
+    rng = np.random.default_rng(15)
+    item = [f"i{k}" for k in range(40)]
+    docs = [(d, " ".join(f"w{k}" for k in rng.integers(0, 900, 120))) for d in range(80)]
+    docs.append((500, " ".join(item[:22]) + " " + docs[0][1] + " " + " ".join(item[22:])))
+    docs.append((501, " ".join(item[:22]) + " " + docs[1][1]))
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"] for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {500}
