@@ -95,18 +95,20 @@ class Items:
         for t in self.terms:
             term, n = np.unique(t, return_counts=True)
             share = n * self.idf[term].astype(np.float64)
-            parts.append((term, share / share.sum()))
+            answer = np.bincount(np.searchsorted(term, answer_of(t)), minlength=len(term)) * self.idf[term].astype(np.float64)
+            parts.append((term, share / share.sum(), answer / answer.sum()))
         frequent = ~self.content
-        for term, share in parts:
+        for term, share, _ in parts:
             order = np.argsort(self.idf[term], kind="stable")
             order = order[frequent[term[order]]]
             self.content[term[order[np.cumsum(share[order]) > weak / 2]]] = True
-        self.lost = np.array([share[~self.content[term]].sum() + 1e-6 for term, share in parts])
-        # Of each term the items that hold it, and its share of their weight.
-        terms = np.concatenate([term for term, _ in parts])
+        self.lost, self.answer_lost = np.array([[x[~self.content[term]].sum() + 1e-6 for x in shares] for term, *shares in parts]).T
+        # Of each term the items that hold it, and its share of their weight and of their answer's.
+        terms = np.concatenate([term for term, _, _ in parts])
         order = np.argsort(terms, kind="stable")
-        self.held_by = np.repeat(np.arange(len(parts)), [len(term) for term, _ in parts])[order]
-        self.share = np.concatenate([share for _, share in parts])[order]
+        self.held_by = np.repeat(np.arange(len(parts)), [len(term) for term, _, _ in parts])[order]
+        self.share = np.concatenate([share for _, share, _ in parts])[order]
+        self.answer_share = np.concatenate([answer for _, _, answer in parts])[order]
         self.first = np.searchsorted(terms[order], np.arange(self.own + 1))
 
     def spans(self) -> np.ndarray:
@@ -118,6 +120,10 @@ def span_of(item: np.ndarray) -> int:
     return int(1.5 * len(item)) + 8
 
 
+def answer_of(item: np.ndarray) -> np.ndarray:
+    return item[-max(3, len(item) // 4) :]
+
+
 def _positions(vocabulary):
     """Of each text its term ids."""
 
@@ -262,7 +268,7 @@ def _passage_terms(arrays: list[np.ndarray], items: Items, window: int, step: in
 
 
 def _shared(items: Items, passage: np.ndarray, term: np.ndarray, owners: np.ndarray, window: int, step: int, least: float):
-    """(item, passage, further passages, share): where a region may hold ``least`` of an item's weight.
+    """(item, passage, further passages, share, answer's share): where a region may hold ``least`` of an item's weight.
 
     A region starts in a passage and reaches into a fixed number of further ones, so the weight that
     it shares is at most the sum of what these hold: no region that alignment would take is left out.
@@ -270,7 +276,7 @@ def _shared(items: Items, passage: np.ndarray, term: np.ndarray, owners: np.ndar
     n = items.first[term + 1] - items.first[term]
     at = np.repeat(items.first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
     key, of = np.unique(items.held_by[at] * len(owners) + np.repeat(passage, n), return_inverse=True)
-    sums = np.bincount(of, items.share[at], len(key)).astype(np.float64)
+    sums = np.stack([np.bincount(of, x[at], len(key)).astype(np.float64) for x in (items.share, items.answer_share)])
     item, passage = np.divmod(key, max(1, len(owners)))
     more = np.maximum(0, -(-(items.spans() - 1 - (window - step)) // step))[item]
     total, every = sums.copy(), np.arange(len(key))
@@ -279,10 +285,10 @@ def _shared(items: Items, passage: np.ndarray, term: np.ndarray, owners: np.ndar
         own = own[owners[passage[own] + i] == owners[passage[own]]]
         there = np.searchsorted(key, key[own] + i)
         hit = (there < len(key)) & (key[np.minimum(there, len(key) - 1)] == key[own] + i)
-        total[own[hit]] += sums[there[hit]]
-    total += items.lost[item]
-    found = total >= least
-    return item[found], passage[found], more[found], total[found]
+        total[:, own[hit]] += sums[:, there[hit]]
+    share, answer = total[0] + items.lost[item], total[1] + items.answer_lost[item]
+    found = share >= least
+    return item[found], passage[found], more[found], share[found], answer[found]
 
 
 def _passage_vectors(arrays: list[np.ndarray], basis: np.ndarray, window: int) -> np.ndarray:
@@ -321,10 +327,12 @@ def aligned(item: np.ndarray, region: np.ndarray, idf: np.ndarray, near: bool, s
     if not len(at):
         return None
     total, span = float(idf[item].sum()), span_of(item)
-    tail = item[-max(3, len(item) // 4) :]
+    tail = answer_of(item)
     tail_weight, least = float(idf[tail].sum()), (weak if near else maybe)
     sums = np.r_[0.0, np.cumsum(idf[region[at]], dtype=np.float64)]
     shares = sums[np.searchsorted(at, at + span)] - sums[:-1]
+    if shares.max() < least * total * (1 - 1e-6):
+        return None
     if weighted_lcs(item, region, idf) < least * total * (1 - 1e-6):
         return None  # no part of the region can share more than all of it
     for i in np.argsort(-shares, kind="stable"):
@@ -347,7 +355,9 @@ def _search(held, window: int, cosine: float, sure: float, maybe: float, weak: f
         for batch in batches:
             arrays = _arrays(batch)
             owners, number, passage, term = _passage_terms(arrays, items, window, step)
-            item, passage, more, share = _shared(items, passage, term, owners, window, step, weak)
+            item, passage, more, share, answers = _shared(items, passage, term, owners, window, step, weak)
+            able = (share >= sure) | (answers >= answer)  # else no region can be a leak
+            item, passage, more, share = item[able], passage[able], more[able], share[able]
             cosines = _near(_passage_vectors(arrays, basis, window), latent, owners, item, passage, more)
             take = (share >= maybe) | (cosines >= cosine)
             places: dict[tuple[int, int], list] = {}
@@ -375,7 +385,7 @@ def _search(held, window: int, cosine: float, sure: float, maybe: float, weak: f
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 32, cosine: float = 0.7, sure: float = 0.6, maybe: float = 0.4, weak: float = 0.25, answer: float = 0.75, stop_share: float = 0.02, min_words: int = 6, block_items: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 24, cosine: float = 0.7, sure: float = 0.6, maybe: float = 0.4, weak: float = 0.25, answer: float = 0.75, stop_share: float = 0.02, min_words: int = 6, block_items: int = 20_000) -> DataFrame:
     """doc_id, item_id, cosine, overlap, answer of every document that holds an item or a paraphrase.
 
     ``window`` is a multiple of 4.  ``stop_share`` saves work alone: see ``Items.weigh``."""
