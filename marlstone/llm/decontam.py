@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval and alignment.
 
-1. Texts become term ids, once, in the shared folder: benchmark words have ids of their own, all other
-   words share ``HASHED`` hashed ids.
+1. Texts become term ids, once, in the shared folder: benchmark words, told by a hash of 32 bits, have ids
+   of their own, all other words share ``HASHED`` ids.
 2. Occurrences of the terms over all passages (``window`` words each) give TF-IDF.
 3. A distributed randomised SVD of the TF-IDF matrix A of all passages.  Every task takes Y = A G of its
    passages for one random G and adds up A'Y; Y'Y is G'(A'Y).  With Y'Y = R'R, Q = Y / R is an orthonormal
@@ -58,19 +58,26 @@ def weighted_lcs(item: np.ndarray, region: np.ndarray, weights: np.ndarray) -> f
     return float(best[-1])
 
 
-class TermIds(dict):
-    """Ids of words.  Benchmark words are there from the start; others are hashed, and common ones kept."""
+class TermIds:
+    """Ids of words by their CRC-32: places of benchmark words among ``hashes``, and for all other words
+    ``len(hashes)`` and up."""
 
-    def __init__(self, vocabulary: dict[bytes, int], kept: int = 300_000):
-        super().__init__(vocabulary)
-        self.own, self.room = len(vocabulary), kept
+    SLOTS = 1 << 20
 
-    def __missing__(self, word: bytes) -> int:
-        term = self.own + zlib.crc32(word) % HASHED
-        if self.room:
-            self.room -= 1
-            self[word] = term
-        return term
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.own = hashes, len(hashes)  # sorted, each once
+        slots, first, n = np.unique(hashes % self.SLOTS, return_index=True, return_counts=True)
+        self.table = np.full(self.SLOTS, -1, np.int32)
+        self.table[slots] = np.where(n == 1, first, -2)  # -2: several, so they are searched
+        self.kind = np.uint16 if self.own + HASHED < 1 << 16 else np.int32  # room for one more, the pad
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        at = self.table[h % self.SLOTS]
+        if len(several := np.flatnonzero(at == -2)):
+            at[several] = np.minimum(np.searchsorted(self.hashes, h[several]), self.own - 1)
+        known = (at >= 0) & (self.hashes[at] == h)
+        return np.where(known, at, self.own + h // self.SLOTS % HASHED).astype(self.kind)
 
 
 class Items:
@@ -79,11 +86,11 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         words = [(i, words_of(t)) for i, t in rows]
         words = [(i, w) for i, w in words if w]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, ws in words for x in ws}))}
-        self.own = len(self.vocabulary)
+        self.hashes = np.unique(np.array([zlib.crc32(x) for _, w in words for x in w], np.uint32))
+        self.own = len(self.hashes)
         self.size = self.own + HASHED
         self.ids = [i for i, _ in words]
-        self.terms = [np.array([self.vocabulary[x] for x in w], np.int32) for _, w in words]
+        self.terms = [TermIds(self.hashes).of(w).astype(np.int32) for _, w in words] if words else []
 
     def weigh(self, occurrences: np.ndarray, passages: int, stop_share: float, weak: float) -> None:
         """Weights, and which terms are looked for.  Frequent ones are not, but for those without
@@ -124,32 +131,36 @@ def answer_of(item: np.ndarray) -> np.ndarray:
     return item[-max(3, len(item) // 4) :]
 
 
-def _positions(vocabulary):
+def _positions(hashes):
     """Of each text its term ids."""
 
     def run(batches):
-        look = TermIds(vocabulary.value)
+        look = TermIds(hashes.value)
         for batch in batches:
-            out = []
-            for text in texts_of(batch):
-                words = words_of(text)
-                out.append(np.fromiter(map(look.__getitem__, words), np.int32, len(words)).tobytes())
+            out, texts = [], texts_of(batch)
+            for lo in range(0, len(texts), 100):
+                words = [words_of(t) for t in texts[lo : lo + 100]]
+                ends = np.cumsum([0, *map(len, words)])
+                ids = look.of([w for of in words for w in of])
+                out += [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "terms"])
 
     return run
 
 
-def _arrays(batch) -> list[np.ndarray]:
-    return [np.frombuffer(v.as_buffer(), np.int32) for v in batch.column("terms")]
+def _arrays(batch, own: int) -> list[np.ndarray]:
+    kind = np.uint16 if own + HASHED < 1 << 16 else np.int32
+    return [np.frombuffer(v.as_buffer(), kind) for v in batch.column("terms")]
 
 
-def _occurrences(size: int, window: int):
+def _occurrences(own: int, window: int):
     """Term -1 counts the passages."""
+    size = own + HASHED
 
     def run(batches):
         total, passages = np.zeros(size, np.int64), 0
         for batch in batches:
-            arrays = _arrays(batch)
+            arrays = _arrays(batch, own)
             if arrays:
                 total += np.bincount(np.concatenate(arrays), minlength=size)
             passages += sum(-(-len(a) // window) for a in arrays)
@@ -162,7 +173,7 @@ def _occurrences(size: int, window: int):
 def _padded(arrays: list[np.ndarray], width: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts in rows of ``width`` terms, each text's last row filled with ``pad``; and rows of each."""
     rows = np.array([-(-len(a) // width) for a in arrays], np.int64)
-    flat = np.full(int(rows.sum()) * width, pad, np.int32)
+    flat = np.full(int(rows.sum()) * width, pad, arrays[0].dtype if arrays else np.int32)
     at = 0
     for a, n in zip(arrays, rows.tolist()):
         flat[at : at + len(a)] = a
@@ -170,12 +181,12 @@ def _padded(arrays: list[np.ndarray], width: int, pad: int) -> tuple[np.ndarray,
     return flat.reshape(-1, width), rows
 
 
-def _sums(rows: np.ndarray, matrix: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+def _sums(rows: np.ndarray, matrix: np.ndarray, block: int = 1 << 15) -> np.ndarray:
     """For each row of terms the sum of their rows of ``matrix``."""
     out = np.empty((len(rows), matrix.shape[1]), np.float32)
     step = max(1, block // rows.shape[1])
     for lo in range(0, len(rows), step):
-        out[lo : lo + step] = matrix[rows[lo : lo + step]].sum(axis=1)
+        out[lo : lo + step] = matrix.take(rows[lo : lo + step], axis=0).sum(axis=1)
     return out
 
 
@@ -190,17 +201,16 @@ def _range_sums(idf, window: int, columns: int, seed: int):
         weights = np.r_[idf.value, np.float32(0)]  # the pad has none
         size = len(weights)
         noise = np.r_[noise_of(size - 1, columns, seed), np.zeros((1, columns), np.float32)] * weights[:, None]
-        back = np.zeros((size, columns), np.float64)
+        back = np.zeros((columns, size))
         for batch in batches:
-            rows, _ = _padded(_arrays(batch), window, size - 1)
+            rows, _ = _padded(_arrays(batch, size - 1 - HASHED), window, size - 1)
             for lo in range(0, len(rows), 4096):
                 part = rows[lo : lo + 4096]
-                y = _sums(part, noise)
-                terms = part.ravel()
-                order = np.argsort(terms)
-                sorted_terms = terms[order]
-                first = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
-                back[sorted_terms[first]] += np.add.reduceat(y[order // window], first, axis=0)
+                y = np.ascontiguousarray(_sums(part, noise).T.astype(np.float64))
+                terms = part.ravel().astype(np.int64)
+                for column, of in zip(back, y):
+                    column += np.bincount(terms, np.repeat(of, window), size)
+        back = back.T
         back = (back * weights[:, None])[:-1].astype(np.float32)
         back = np.r_[back, np.zeros((-len(back) % TERMS_A_ROW, columns), np.float32)].reshape(-1, TERMS_A_ROW * columns)
         at = np.flatnonzero(np.abs(back).sum(axis=1))
@@ -353,7 +363,7 @@ def _search(held, window: int, cosine: float, sure: float, maybe: float, weak: f
         items, basis, latent = held.value
         step = window // 4 * 3
         for batch in batches:
-            arrays = _arrays(batch)
+            arrays = _arrays(batch, items.own)
             owners, number, passage, term = _passage_terms(arrays, items, window, step)
             item, passage, more, share, answers = _shared(items, passage, term, owners, window, step, weak)
             able = (share >= sure) | (answers >= answer)  # else no region can be a leak
@@ -400,8 +410,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 2
         items = Items([(r["item_id"], r["text"]) for r in rows])
         if not items.ids:
             continue
-        terms = staged(texts.mapInArrow(_positions(hold(spark, items.vocabulary)), "doc_id long, terms binary").where("length(terms) > 0"), "benchmark-terms")
-        counts = {r["term"]: r["n"] for r in terms.mapInArrow(_occurrences(items.size, window), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        terms = staged(texts.mapInArrow(_positions(hold(spark, items.hashes)), "doc_id long, terms binary").where("length(terms) > 0"), "benchmark-terms")
+        counts = {r["term"]: r["n"] for r in terms.mapInArrow(_occurrences(items.own, window), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         passages = counts.pop(-1, 0)
         occurrences = np.zeros(items.size, np.int64)
         occurrences[list(counts)] = list(counts.values())

@@ -269,13 +269,13 @@ def passages_matrix(texts, items, window):
     """The TF-IDF matrix of all passages, one row each, written down plainly."""
     from marlstone.llm.decontam import TermIds, words_of
 
-    look, rows = TermIds(items.vocabulary), []
+    look, rows = TermIds(items.hashes), []
     for t in texts:
         words = words_of(t)
         for lo in range(0, len(words), window):
             row = np.zeros(items.size)
-            for w in words[lo : lo + window]:
-                row[look[w]] += items.idf[look[w]]
+            for k in look.of(words[lo : lo + window]):
+                row[k] += items.idf[k]
             rows.append(row)
     return np.array(rows)
 
@@ -290,7 +290,7 @@ def test_latent_space_is_that_of_a_plain_svd(spark):
     items = D.Items([(k, " ".join(t)) for k, t in enumerate(topics)])
     items.idf = (1 + rng.random(items.size)).astype(np.float32)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    terms = rows.mapInArrow(D._positions(D.hold(spark, items.vocabulary)), "doc_id long, terms binary")
+    terms = rows.mapInArrow(D._positions(D.hold(spark, items.hashes)), "doc_id long, terms binary")
     basis = D.latent_basis(terms, items.idf, 64, 5) / items.idf[:, None]
     whole = np.linalg.svd(passages_matrix(texts, items, 64), full_matrices=False)[2][:5]
     assert basis.shape[1] == 5 and np.allclose(basis.T @ basis, np.eye(5), atol=1e-3)
@@ -395,3 +395,20 @@ def test_a_leak_at_the_second_place_counts(spark):
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = {r["doc_id"] for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {500}
+
+
+def test_term_ids():
+    """Benchmark words have ids of their own also where slots are shared; other words are above them."""
+    import zlib
+
+    from marlstone.llm.decontam import HASHED, TermIds
+
+    rng = np.random.default_rng(16)
+    words = [rng.bytes(6) for _ in range(60_000)]
+    hashes = np.unique(np.array([zlib.crc32(w) for w in words[:5000]], np.uint32))
+    look = TermIds(hashes)
+    assert (look.table == -2).any() and look.kind == np.uint16
+    got = look.of(words)
+    assert (hashes[got[:5000]] == [zlib.crc32(w) for w in words[:5000]]).all()
+    assert (got[5000:] >= len(hashes)).mean() > 0.9999 and got.max() < len(hashes) + HASHED
+    assert TermIds(np.arange(70_000, dtype=np.uint32)).kind == np.int32
