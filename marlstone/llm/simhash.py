@@ -1,15 +1,17 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
-A fingerprint of 64 bits has two halves of 32.  Fingerprints at distance 4 or less differ by at most
-2 bits in one half.  The anchors of a half are the words of the [31, 26] Hamming code and a free bit:
-a perfect covering code of radius 1.  Between two halves at distance 2 lies a point at distance 1 of
-both, and an anchor within 1 of that point; so both reach it within 1 (covering radius) + 1 (half
-the threshold).  Replicating each half to the 17 or fewer anchors within 2 therefore loses no pair.
-Each anchor compares the fingerprints that it holds and passes on one link each to a representative,
-never all pairs.
+A fingerprint is cut into blocks of 32 bits.  Fingerprints of k blocks at distance 3k - 1 or less differ
+by at most 2 bits in one block.  The anchors of a block are the words of the [31, 26] Hamming code and a
+free bit: a perfect covering code of radius 1.  Between two blocks at distance 2 lies a point at distance
+1 of both, and an anchor within 1 of that point; so both reach it within 1 (covering radius) + 1 (half
+the 2 bits).  Replicating each block to the 17 or fewer anchors within 2 therefore loses no such pair: at
+64 bits, no pair within 5.  Pairs beyond that, which wide fingerprints with a wide threshold ask for, are
+found where one block is near enough.  Each anchor compares the fingerprints that it holds, all of their
+bits, and passes on one link each to a representative, never all pairs.
 
 Equal fingerprints are folded first, so a large group of copies counts once.  An anchor with more
-fingerprints than ``block`` is compared in blocks, so memory stays bounded.
+fingerprints than ``block`` is compared in blocks, so memory stays bounded.  Fingerprints and components
+that hold over a thousandth of all rows are broadcast, so their rows are not gathered in one task.
 
 Defined cases: null and empty texts, and those of white space, have fingerprint zero, which links
 like any other; fewer words than a shingle: the whole sequence is the one shingle; repeated rows get
@@ -19,26 +21,41 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.links import components
-from marlstone.llm.shared import arrow_batches, small_side, staged, table, texts_of
+from marlstone.llm.shared import HOT, arrow_batches, join_by_class, staged, table, texts_of
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
     """Unsigned 64-bit SimHash; see ``fingerprints``."""
-    return int(fingerprints([text], shingle)[0])
+    return int(fingerprints([text], shingle)[0, 0])
+
+
+def _widened(hashes: np.ndarray, words: int) -> np.ndarray:
+    """(hashes, words): each hash, and further words mixed from it."""
+    out = np.empty((len(hashes), words), np.uint64)
+    out[:, 0] = hashes
+    for k in range(1, words):
+        z = hashes + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = z ^ (z >> np.uint64(31))
+    return out
 
 
-def fingerprints(texts: list[str], shingle: int = 4) -> np.ndarray:
-    """A bit is 1 if set in over half of the shingles' XXH64 hashes (seed 42), repeats included."""
+def fingerprints(texts: list[str], shingle: int = 4, bits: int = 64, repeats: bool = True) -> np.ndarray:
+    """(texts, bits / 64) unsigned words.  A bit is 1 if set in over half of the shingles' XXH64 hashes
+    (seed 42), repeats included or not; beyond 64 bits the hashes are mixed on."""
     import xxhash
 
     hash64 = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), bits // 64), np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for i, text in enumerate(texts):
         words = text.encode().lower().split()  # bytes: ASCII letters and ASCII white space only
@@ -51,23 +68,41 @@ def fingerprints(texts: list[str], shingle: int = 4) -> np.ndarray:
             starts.append(at)
             at += len(w) + 1
         ends = starts[shingle:] + [at] if len(words) >= shingle else [at]
-        votes = np.zeros(64, np.int64)
+        votes, held = np.zeros(bits, np.int64), []
         for lo in range(0, n, 65536):  # very long texts, block by block
-            hashes = np.array([hash64(joined[a : b - 1], 42) for a, b in zip(starts[lo : min(n, lo + 65536)], ends[lo : lo + 65536])], dtype="<u8")
-            votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[i] = np.bitwise_or.reduce(np.where(votes * 2 > n, weights, np.uint64(0)))
+            held.append(np.array([hash64(joined[a : b - 1], 42) for a, b in zip(starts[lo : min(n, lo + 65536)], ends[lo : lo + 65536])], dtype="<u8"))
+        hashes = np.concatenate(held)
+        if not repeats:
+            hashes = np.unique(hashes)
+        for lo in range(0, len(hashes), 65536 * 64 // bits):
+            wide = _widened(hashes[lo : lo + 65536 * 64 // bits], bits // 64)
+            votes += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.bitwise_or.reduce(np.where((votes * 2 > len(hashes)).reshape(-1, 64), weights, np.uint64(0)), axis=1)
     return out
 
 
-def _fingerprint_rows(shingle: int):
+def distance_of(similarity: float, bits: int, deviations: float = 1.0) -> int:
+    """Differing bits of two texts whose sets of shingles, of like size, have that Jaccard similarity:
+    as many as expected, and some deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def _fingerprint_rows(shingle: int, bits: int, repeats: bool):
     def run(arrow):
         for batch in arrow:
-            found = fingerprints(texts_of(batch), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            found = fingerprints(texts_of(batch), shingle, bits, repeats).astype(">u8")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "fp"])
 
     return run
 
 
+def _words(batch) -> np.ndarray:
+    """Binary fingerprints as (rows, words)."""
+    data = b"".join(batch.column("fp").to_pylist())
+    return np.frombuffer(data, ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
+
+
 def anchor_masks() -> list[list[int]]:
     """By syndrome: what to xor to a half of 32 bits to reach its anchors within distance 2.
 
@@ -84,7 +119,7 @@ def anchor_masks() -> list[list[int]]:
 
 
 def _anchors(arrow):
-    """(anchor, fp): the anchor's word, with bit 32 for the half it is of."""
+    """(anchor, key, fp) for each block of a fingerprint: the anchor's word, with the block's number above."""
     masks = anchor_masks()
     checks = [sum(1 << (j - 1) for j in range(1, 32) if j >> b & 1) for b in range(5)]
     table = np.zeros((32, 17), np.uint64)
@@ -92,18 +127,23 @@ def _anchors(arrow):
     for s, m in enumerate(masks):
         table[s, : len(m)] = m
     for batch in arrow:
-        fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        for lo in range(0, len(fps), 8192):
-            part = fps[lo : lo + 8192]
-            for half in (0, 1):
-                word = (part >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+        for lo in range(0, batch.num_rows, 4096):
+            part = batch.slice(lo, 4096)
+            fps = _words(part)
+            for block in range(2 * fps.shape[1]):
+                word = (fps[:, block // 2] >> np.uint64(32 * (block % 2))) & np.uint64(0xFFFFFFFF)
                 syndrome = sum((np.bitwise_count(word & np.uint64(c)).astype(np.int64) & 1) << b for b, c in enumerate(checks))
-                reach = (word[:, None] ^ table[syndrome]) | np.uint64(half << 32)
+                reach = (word[:, None] ^ table[syndrome]) | np.uint64(block << 32)
                 valid = np.arange(17)[None, :] < size[syndrome][:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(reach[valid].view(np.int64)), pa.array(np.repeat(part, valid.sum(axis=1)).view(np.int64))], ["anchor", "fp"])
+                of = pa.array(np.repeat(np.arange(len(fps)), valid.sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([pa.array(reach[valid].view(np.int64)), part.column("key").take(of), part.column("fp").take(of)], ["anchor", "key", "fp"])
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _link_group(fps: np.ndarray, threshold: int, block: int, out: list) -> None:
+def _link_group(fps: np.ndarray, keys: np.ndarray, threshold: int, block: int, out: list) -> None:
     """Links that join what lies within the threshold: one for each newly joined fingerprint."""
     n = len(fps)
     root = np.arange(n)
@@ -117,12 +157,12 @@ def _link_group(fps: np.ndarray, threshold: int, block: int, out: list) -> None:
     for lo in range(0, n, block):
         a = fps[lo : lo + block]
         for lo2 in range(lo, n, block):
-            near = np.argwhere(np.bitwise_count(a[:, None] ^ fps[None, lo2 : lo2 + block]) <= threshold)
+            near = np.argwhere(_distances(a[:, None], fps[None, lo2 : lo2 + block]) <= threshold)
             for i, j in near:
                 i, j = lo + int(i), lo2 + int(j)
                 if i < j and (x := find(i)) != (y := find(j)):
                     root[max(x, y)] = min(x, y)
-                    out.append((int(fps[i]), int(fps[j])))
+                    out.append((int(keys[i]), int(keys[j])))
 
 
 def _compare(threshold: int, block: int):
@@ -131,31 +171,29 @@ def _compare(threshold: int, block: int):
     def run(arrow):
         last, pending = None, []
 
-        def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        def links(anchors: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             out: list = []
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            starts, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
-            pair = ends - starts == 2
-            a, b = fps[starts[pair]], fps[starts[pair] + 1]
-            near = np.bitwise_count(a ^ b) <= threshold
+            cuts = np.flatnonzero(np.diff(anchors)) + 1
+            starts, ends = np.r_[0, cuts], np.r_[cuts, len(anchors)]
+            pair = starts[ends - starts == 2]
+            near = pair[_distances(fps[pair], fps[pair + 1]) <= threshold]
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-                _link_group(fps[s:e], threshold, block, out)
-            more = np.array(out, np.uint64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[a[near], more[:, 0]].view(np.int64)), pa.array(np.r_[b[near], more[:, 1]].view(np.int64))], ["a", "b"])
+                _link_group(fps[s:e], keys[s:e], threshold, block, out)
+            more = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[keys[near], more[:, 0]]), pa.array(np.r_[keys[near + 1], more[:, 1]])], ["a", "b"])
 
         for batch in arrow:
-            keys, fps = batch.column("anchor").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-            if not len(keys):
+            if not batch.num_rows:
                 continue
-            pending.append((keys, fps))
-            if last is not None and keys[-1] == pending[0][0][0]:
+            pending.append((batch.column("anchor").to_numpy(), batch.column("key").to_numpy(), _words(batch)))
+            if last is not None and pending[-1][0][-1] == pending[0][0][0]:
                 continue  # one anchor still
-            keys, fps = (np.concatenate(x) for x in zip(*pending))
-            cut = int(np.searchsorted(keys == keys[-1], True))
-            last = keys[-1]
-            pending = [(keys[cut:], fps[cut:])]
+            anchors, keys, fps = (np.concatenate(x) for x in zip(*pending))
+            cut = int(np.searchsorted(anchors == anchors[-1], True))
+            last = anchors[-1]
+            pending = [(anchors[cut:], keys[cut:], fps[cut:])]
             if cut:
-                yield links(keys[:cut], fps[:cut])
+                yield links(anchors[:cut], keys[:cut], fps[:cut])
         if pending:
             yield links(*(np.concatenate(x) for x in zip(*pending)))
 
@@ -163,32 +201,32 @@ def _compare(threshold: int, block: int):
 
 
 def near_links(fps: DataFrame, threshold: int = 4, block: int = 1024) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fp`` that lie within the threshold.
+    """Links (a, b) between the keys of the distinct fingerprints (``key``, ``fp``) within the threshold.
 
-    Not all pairs: enough to join what is linked.  Thresholds over 4 need another code.
+    Not all pairs: enough to join what is linked.  See above for which pairs are sure to be found.
     """
-    if threshold > 4:
-        raise ValueError("the anchors cover thresholds up to 4")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = fps.mapInArrow(_anchors, "anchor long, fp long")
+    at = fps.mapInArrow(_anchors, "anchor long, key long, fp binary")
     return at.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold, block), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bits: int = 64, repeats: bool = True) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id that links reach) of every row."""
     spark = docs.sparkSession
     arrow_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged(texts.mapInArrow(_fingerprint_rows(shingle), "doc_id long, fp long"), "fingerprints")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = staged(components(near_links(classes.select("fp"), threshold)), "fingerprint-roots")
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Only what is linked or repeated needs a look-up by fingerprint.
-    of = staged(named.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    rows = staged(texts.mapInArrow(_fingerprint_rows(shingle, bits, repeats), "doc_id long, fp binary"), "fingerprints")
+    folded = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    classes = staged(folded.withColumn("key", F.monotonically_increasing_id()), "fingerprint-classes")
+    roots = staged(components(near_links(classes.select("key", "fp"), threshold)), "fingerprint-roots")
+    linked = staged(classes.join(roots.withColumnRenamed("node", "key"), "key").drop("key"), "fingerprint-linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    joined = join_by_class(linked, least, ["root"], F.col("size") * HOT > linked.count())
+    alone = classes.join(roots.withColumnRenamed("node", "key"), "key", "left_anti").withColumn("component_id", F.col("least"))
+    of = staged(joined.select("fp", "n", "component_id").unionByName(alone.select("fp", "n", "component_id")), "fingerprint-components")
+    return join_by_class(rows, of, ["fp"], F.col("n") * HOT > rows.count()).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -11,7 +11,7 @@ from marlstone.llm import exactdup
 from marlstone.llm.exactdup import ExtendibleIndex, exact_duplicates
 from marlstone.llm.linedup import RunLevels, drop_frequent_lines, sorted_runs
 from marlstone.llm.links import components
-from marlstone.llm.simhash import anchor_masks, fingerprint, near_duplicates, near_links
+from marlstone.llm.simhash import anchor_masks, distance_of, fingerprint, fingerprints, near_duplicates, near_links
 
 
 def brute_components(n, pairs):
@@ -61,6 +61,25 @@ def test_anchors_cover():
             assert anchors(x) & anchors(y)
 
 
+def plain_anchors(fp, blocks):
+    """(block, anchor) of every anchor that a fingerprint is replicated to, bit by bit."""
+    masks, out = anchor_masks(), set()
+    for b in range(blocks):
+        x, s = fp >> (32 * b) & 0xFFFFFFFF, 0
+        for j in range(1, 32):
+            if x >> (j - 1) & 1:
+                s ^= j
+        out |= {(b, x ^ m) for m in masks[s]}
+    return out
+
+
+def brute_near(texts, shingle, bits, threshold):
+    """Components by all pairs: within the threshold, and at one anchor."""
+    fps = [sum(int(w) << (64 * k) for k, w in enumerate(f)) for f in fingerprints(texts, shingle, bits, repeats=False)]
+    at = [plain_anchors(f, bits // 32) for f in fps]
+    return brute_components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= threshold and at[i] & at[j]])
+
+
 def test_near_links_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     fps = []
@@ -71,13 +90,55 @@ def test_near_links_equal_brute_force(spark):
             for k in rng.choice(64, int(rng.integers(1, 6)), replace=False):
                 x ^= 1 << int(k)
             fps.append(x)
-    fps = sorted(set(fps), key=lambda x: int(np.uint64(x).view(np.int64)))
-    signed = [int(np.uint64(x).view(np.int64)) for x in fps]
+    fps = sorted(set(fps))
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     want = brute_components(len(fps), pairs)
-    links = near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), block=16)
+    links = near_links(spark.createDataFrame([(i, x.to_bytes(8)) for i, x in enumerate(fps)], "key long, fp binary"), block=16)
     got = {r["node"]: r["root"] for r in components(links).collect()}
-    assert [got.get(s, s) for s in signed] == [signed[w] for w in want]
+    assert [got.get(i, i) for i in range(len(fps))] == want
+
+
+def test_wide_fingerprints_find_what_blocks_allow(spark):
+    """At 256 bits no pair within 23 is lost, and wider ones are linked only within the threshold."""
+    rng = np.random.default_rng(5)
+    base = [int.from_bytes(rng.bytes(32)) for _ in range(60)]
+    rows = list(base)
+    for x in base:
+        for flips in (23, 30, 60):
+            y = x
+            for k in rng.choice(256, flips, replace=False):
+                y ^= 1 << int(k)
+            rows.append(y)
+    df = spark.createDataFrame([(i, x.to_bytes(32)) for i, x in enumerate(rows)], "key long, fp binary")
+    got = {frozenset(map(int, r)) for r in near_links(df, 40).collect()}
+    assert all((rows[a] ^ rows[b]).bit_count() <= 40 for a, b in map(sorted, got))
+    roots = {r["node"]: r["root"] for r in components(near_links(df, 40)).collect()}
+    assert all(roots.get(60 + 3 * i, -1) == roots.get(i, -2) for i in range(60))
+
+
+def test_similar_texts_are_linked_and_others_not(spark):
+    """Recall by true five-word Jaccard similarity; texts under half alike are left alone."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    shingles = lambda t: {" ".join(t[i : i + 5]) for i in range(len(t) - 4)}
+    docs, pairs = [], []
+    for i in range(300):
+        text = list(rng.choice(words, int(rng.integers(100, 500))))
+        other = [w if rng.random() > (0.002, 0.008, 0.015, 0.1)[i % 4] else "edit" for w in text]
+        a, b = shingles(text), shingles(other)
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+        pairs.append((2 * i, 2 * i + 1, len(a & b) / len(a | b)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 5, distance_of(0.8, 256), 256, repeats=False).collect()}
+    found = lambda lo, hi: np.mean([got[a] == got[b] for a, b, j in pairs if lo <= j < hi])
+    assert found(0.95, 1.01) > 0.98 and found(0.9, 0.95) > 0.9 and found(0.8, 0.9) > 0.6 and found(0, 0.6) == 0
+    assert len({got[a] for a, _, _ in pairs}) == len(pairs)
+
+
+def test_wide_fingerprint_counts_votes():
+    text = "one two three four five six seven " + "again " * 40
+    once, all_ = (fingerprints([text], 5, 256, r)[0] for r in (False, True))
+    assert int(all_[0]) == int(fingerprints([text], 5)[0, 0]) and (once != all_).any() and len(once) == 4
 
 
 def test_components_of_a_long_chain(spark):
@@ -96,8 +157,8 @@ def test_near_duplicates_odd(odd, empty):
     for r, root in zip(rows, roots):
         if r["doc_id"] is not None:
             least[root].append(r["doc_id"])
-    want = Counter((r["doc_id"], int(np.uint64(f).view(np.int64)), min(least[root], default=None)) for r, f, root in zip(rows, fps, roots))
-    assert Counter(map(tuple, got)) == want
+    want = Counter((r["doc_id"], f, min(least[root], default=None)) for r, f, root in zip(rows, fps, roots))
+    assert Counter((r["doc_id"], int.from_bytes(r["fp"]), r["component_id"]) for r in got) == want
     assert near_duplicates(empty).count() == 0
 
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from conftest import ODD_TEXTS
 from oracle import duck, spark_rows
 from pyspark.sql import functions as F
@@ -244,7 +245,7 @@ def test_leaks_of_short_items(spark):
 
 def test_pipeline_keeps_what_brute_force_keeps(spark):
     import corpus_pipeline
-    from test_dedup import brute_components, brute_fingerprint
+    from test_dedup import brute_near
 
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "exact_dedup", "near_dedup", "decontamination", "packing"]
@@ -256,8 +257,7 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     for d, t in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
         best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), d)
     rows = [r for r in rows if r[0] in set(best.values())]
-    fps = [brute_fingerprint(t) for _, t in rows]
-    roots = brute_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    roots = brute_near([t for _, t in rows], 5, 256, 45)
     rows = [r for i, r in enumerate(rows) if roots[i] == i]
     items = [" ".join(r["text"].split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {d for d, t in rows if not any(x in " ".join(t.split()) for x in items)}
@@ -412,3 +412,23 @@ def test_term_ids():
     assert (hashes[got[:5000]] == [zlib.crc32(w) for w in words[:5000]]).all()
     assert (got[5000:] >= len(hashes)).mean() > 0.9999 and got.max() < len(hashes) + HASHED
     assert TermIds(np.arange(70_000, dtype=np.uint32)).kind == np.int32
+
+
+@pytest.mark.parametrize("stage", ["quality", "exact_dedup", "near_dedup", "decontamination", "packing"])
+def test_stages_odd(spark, odd, empty, stage):
+    """Nulls, repeated rows and doc_ids, empty tables, and columns named like the stages' own."""
+    import corpus_pipeline
+
+    run = dict(corpus_pipeline.STAGES)[stage]
+    clash = odd.withColumns({c: F.lit(1) for c in ("_gone", "_GONE_", "fp", "key", "kept", "score", "rank", "bucket")})
+    made = run(spark, clash, SF)
+    assert run(spark, clash.limit(0), SF).count() == 0
+    if stage == "packing":
+        assert made.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+        return
+    assert made.columns == clash.columns
+    rows = made.collect()
+    assert any(r["doc_id"] is None for r in rows)  # can't be named, so it stays
+    if stage == "exact_dedup":
+        blank = [r["doc_id"] for r in rows if not (r["text"] or "").strip() and r["doc_id"] is not None]
+        assert blank == [3]  # the longest of those of white space alone
