@@ -8,7 +8,8 @@ others on both sides, and between a letter or digit and a full stop or comma bef
 text may be encoded piece by piece between these places and the ids joined.  A vocabulary that keeps
 white space takes a space together with the word behind it; other pieces are marked with ``JOIN``.
 Texts with runs of white space there, texts that hold a special token's string, and all texts of a
-file with another layout are encoded whole.
+file with another layout are encoded whole.  A new word of Latin letters alone is one piece for both
+layouts, so the library's model takes it directly; others go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -26,12 +28,25 @@ _WHOLE = re.compile(r"\s\s|\x00")
 _STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
 _AFTER_OTHER = re.compile(r" \x00(?<=[\W_] \x00)")
 
+#: Letters that NFC leaves alone and whose lower case is one letter.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+
 # The settings of the two layouts whose places to split are known, as in the files.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _WORD_CLEANING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
+def _byte_signs() -> dict[int, str]:
+    """How byte-level files write bytes: those that print stand for themselves, others for 256 and up."""
+    print_ = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in print_]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_SIGNS = _byte_signs()
+
+
 def layout(path: str) -> tuple[str | None, list[str]]:
     """``bytes``, ``words`` or None for a file whose places to split are not known; and the strings of
     its added tokens."""
@@ -65,7 +80,7 @@ def _part_stops(text: str) -> str:
 
 
 class WordEncoder:
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,6 +89,7 @@ class WordEncoder:
         if self.kind:  # pieces are encoded with this token between them, which splits what surrounds it
             self.mark = self.strings[-1]
             self.mark_id = self.tokenizer.token_to_id(self.mark)
+            self.model = self.tokenizer.model
         self.max_words = max_words
         self.words: dict[str, bytes] = {"": b""}
         self.passed = 0  # words encoded and not kept since the cache was filled
@@ -89,6 +105,25 @@ class WordEncoder:
         data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
         return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]
 
+    def _new(self, words: list[str]) -> None:
+        """Enter the ids of words that the cache lacks."""
+        lead, hard, known, tokenize = "", [], self.words, self.model.tokenize
+        bytes_kind = self.kind == "bytes"
+        for w in words:
+            core = w[1:] if w[:1] == JOIN else w
+            if not _LETTERS.fullmatch(core):
+                hard.append(w)
+                continue
+            if bytes_kind:
+                lead = "" if core is not w else _SIGNS[32]
+            else:
+                core = core.lower()
+            if not core.isascii():
+                core = core.encode().decode("latin-1").translate(_SIGNS)
+            known[w] = array("I", [t.id for t in tokenize(lead + core)]).tobytes()
+        joint = " " if bytes_kind else ""
+        known.update(zip(hard, self._together([w.removeprefix(JOIN) if w[:1] == JOIN else joint + w for w in hard])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.kind:
@@ -96,7 +131,7 @@ class WordEncoder:
         if self.passed > 4 * self.max_words:  # other texts than those that filled the cache
             self.words, self.passed = {"": b""}, 0
         bytes_kind, strings = self.kind == "bytes", self.strings
-        words, whole, special, split, joint = self.words, [], [], [], " " if bytes_kind else ""
+        words, whole, special, split = self.words, [], [], []
         for i, text in enumerate(texts):
             if any(x in text for x in strings):
                 special.append(i)
@@ -110,8 +145,7 @@ class WordEncoder:
             else:
                 split.append(_part_stops(text).replace("\n", " ").split(" "))
         fresh = list(set().union(*split).difference(words))
-        bare = [w.removeprefix(JOIN) if w[:1] == JOIN else joint + w for w in fresh]
-        words.update(zip(fresh, self._together(bare)))
+        self._new(fresh)
         if bytes_kind:
             words[""] = self._together([" "])[0]  # only a text's last space stands alone
         ids = [b"".join(map(words.__getitem__, pieces)) for pieces in split]

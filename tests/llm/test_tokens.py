@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from marlstone.llm.packing import pack, plan_best_fit
 from marlstone.llm.tokenfile import EliasFano, ShardReader, ShardWriter, read_token_files, write_token_files
-from marlstone.llm.tokens import _WHOLE, WordEncoder, _has_runs
+from marlstone.llm.tokens import _LETTERS, _WHOLE, WordEncoder, _has_runs
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -45,6 +45,17 @@ def test_special_strings_are_their_tokens_whatever_stands_beside(path):
     assert want("<|endoftext|>") == [50256 if path == BYTE else 49407]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_of_letters_give_the_same_ids(path):
+    """Every letter that the model is handed directly, alone, in words, at a text's start and behind others."""
+    rng, want = random.Random(8), plain(path)
+    letters = [chr(c) for c in range(0x24F) if _LETTERS.fullmatch(chr(c))]
+    assert len(letters) > 200 and "\u0130" not in letters
+    texts = [*letters, *(f"x {c}y" for c in letters), *(" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(8)) for _ in range(800))]
+    texts += ["The THE the don't", "\u0130stanbul \u0130", "ſ ŉ", "e\u0301 é"]
+    assert ids_of(WordEncoder(path), texts) == [want(t) for t in texts]
+
+
 def test_other_layouts_are_encoded_whole(tmp_path):
     """A file that splits elsewhere, or strips around a token, falls back to whole texts."""
     import json
