@@ -16,28 +16,27 @@ from marlstone.errors import EngineError, ExecutionError, PlanningError, Unsuppo
 from marlstone.functions.vector import cosine_similarity, register_functions
 from marlstone.metrics import Metrics
 from marlstone.operators import relational, retrieval
+from marlstone.plans.parameters import parameters_of, with_parameters
+from marlstone.plans.rewrite import VectorTopk, vector_topk
 from marlstone.sources.catalog import Catalog, TableDef
-from marlstone.sources.scan import FileState, files_of, read_table
+from marlstone.sources.files import Files
+from marlstone.sources.scan import files_of, read_table, state_of
 from marlstone.sources.writes import is_single_file, write_parquet
 
 _INSERT = re.compile(r"\s*INSERT\s+INTO\s+(?:TABLE\s+)?`?(\w+)`?\s*(?:\(([^)]*)\)\s*)?(SELECT|WITH|FROM|VALUES|TABLE)\b", re.I)
-_VECTOR = re.compile(
-    r"\s*SELECT\s+(?P<cols>.+?)\s+FROM\s+(?P<table>\w+)(?:\s+WHERE\s+(?P<where>.+?))?\s+ORDER\s+BY\s+cosine_similarity\(\s*(?P<vec>\w+)\s*,\s*:(?P<q>\w+)\s*\)\s+DESC\s+LIMIT\s+(?P<k>:?\w+)\s*;?\s*",
-    re.I | re.S,
-)
 _EQUALS = re.compile(r"\s*(\w+)\s*=\s*(?:(-?\d+)|'((?:[^']|'')*)'|(true|false))\s*", re.I)
 
 
 class Engine:
     def __init__(self, spark: SparkSession | None = None, config: EngineConfig | None = None):
         self.config = config or EngineConfig()
-        self.spark = (spark or SparkSession.builder.getOrCreate()).newSession()
+        self.spark = (spark or self.config.session()).newSession()
         for k, v in self.config.spark_conf().items():
             self.spark.conf.set(k, v)
         register_functions(self.spark)
         self.catalog = Catalog(self.config.catalog_path)
         self.metrics = Metrics()
-        self.schemas: dict[str, tuple[tuple[FileState, ...], object]] = {}
+        self.schemas: dict[str, tuple[tuple[str, ...], object]] = {}
         self.indexes: dict[str, retrieval.VectorIndex] = {}
         for name in self.catalog.names():
             self._open(self.catalog.get(name))
@@ -87,22 +86,22 @@ class Engine:
             if rows:
                 self.indexes[table.name] = retrieval.FixedIndex(self.spark, rows)
             return
+        state = state_of(self.spark, table) if table.schema is None else ()
         df, schema = read_table(self.spark, table, self.config.schema_inference)
-        self.schemas[table.name] = (tuple(files_of(self.spark, table)) if table.schema is None else (), schema)
+        self.schemas[table.name] = (state, schema)
         df.createOrReplaceTempView(table.name)
 
     def _refresh(self, table: TableDef) -> None:
         """Files that changed since their schema was inferred are an error or are read anew, by policy."""
         if table.format != "parquet" or table.schema is not None:
             return
-        now = tuple(files_of(self.spark, table))
-        if now == self.schemas[table.name][0]:
+        if state_of(self.spark, table) == self.schemas[table.name][0]:
             return
         if self.config.schema_drift == "fail":
             raise PlanningError(f"the files of table {table.name} have changed, and the drift policy is to fail")
         self._open(table)
         if self.config.schema_writeback:
-            table.options |= {"schema.inferred_at": str(int(time.time())), "schema.fingerprint": ";".join(f"{f.path}:{f.size}:{f.modified}" for f in self.schemas[table.name][0])}
+            table.options |= {"schema.inferred_at": str(int(time.time())), "schema.fingerprint": ";".join(self.schemas[table.name][0])}
             self.catalog.save()
 
     def _refresh_named(self, text: str) -> None:
@@ -118,51 +117,48 @@ class Engine:
         if m := _INSERT.match(text):
             return self._insert(m[1], [c.strip().strip("`") for c in m[2].split(",")] if m[2] else None, text[m.start(3) :], params)
         self._refresh_named(text)
-        missing = [p for p in re.findall(r"(?<![:\w']):([A-Za-z_]\w*)", re.sub(r"'(?:[^']|'')*'", "''", text)) if p not in (params or {})]
+        missing = [p for p in parameters_of(text) if p not in (params or {})]
         if missing:
             raise PlanningError(f"no value for parameter {', '.join(missing)}")
-        if (m := _VECTOR.fullmatch(text)) and (frame := self._vector_query(m, params or {})):
+        if (found := vector_topk(self.spark, text, params or {})) and (frame := self._vector_query(found, params or {})):
             return frame
         return Frame(self, self._spark_sql(text, params))
 
     sql_with_params = sql
 
     def _spark_sql(self, text: str, params: dict | None) -> DataFrame:
-        for name, value in (params or {}).items():
-            if isinstance(value, (list, tuple)):
-                text = re.sub(rf":{name}\b", f"cast(:{name} as array<float>)", text)
+        vectors = {k for k, v in (params or {}).items() if isinstance(v, (list, tuple))}
+        text = with_parameters(text, lambda p: f"cast(:{p} as array<float>)" if p in vectors else f":{p}")
         try:
             return self.spark.sql(text, args={k: list(v) if isinstance(v, tuple) else v for k, v in (params or {}).items()} or None)
         except (ParseException, AnalysisException) as e:
             raise PlanningError(str(e)) from e
 
-    def _vector_query(self, m: re.Match, params: dict) -> "Frame | None":
+    def _vector_query(self, found: VectorTopk, params: dict) -> "Frame | None":
         """Top-k by cosine over a table with an index: two-phase, or the index alone, else not at all."""
-        table = self.catalog.tables.get(m["table"])
+        table = self.catalog.tables.get(found.table)
         if table is None:
             return None
-        k = int(params[m["k"][1:]] if m["k"].startswith(":") else m["k"])
-        query, where = list(params[m["q"]]), m["where"]
-        names = _split_columns(m["cols"])
+        query, k = list(params[found.query]), found.k
         if table.format == "index":
-            conditions = equalities(where) if where else []
+            conditions = equalities(found.where) if found.where else []
             index = self.indexes.get(table.name)
-            if index is None or conditions is None or not set(names) <= {"id", "score", "payload"}:
+            if index is None or conditions is None or not set(found.names) <= {"id", "score", "payload"}:
                 raise UnsupportedError(f"table {table.name} is an index: it gives id, score and payload, filtered by equality alone")
-            found = index.topk(query, k, retrieval.filter_document(conditions) if conditions else None)
-            return Frame(self, found.select(*names), "index_applied")
+            top = index.topk(query, k, retrieval.filter_document(conditions) if conditions else None)
+            return Frame(self, top.selectExpr(*found.columns), "index_applied")
         self._refresh(table)
-        docs, id = self.spark.table(f"`{table.name}`"), table.options.get("vector.id_column", "id")
+        docs, id = self.spark.table(f"`{table.name}`").alias(found.alias), table.options.get("vector.id_column", "id")
         index = self.indexes.get(table.options.get("vector.index_table", ""))
-        condition = F.expr(_bound(where, params)) if where else None
-        columns = [_bound(c, params) for c in _split_columns(m["cols"])]
-        if index is not None and table.options.get("vector.embedding_column", m["vec"]) == m["vec"]:
+        condition = F.expr(found.where) if found.where else None
+        if index is not None and table.options.get("vector.embedding_column", found.vector) == found.vector:
             cap = table.options.get("vector.prefetch_cap")
-            found = retrieval.two_phase(docs, id, m["vec"], index, query, k, condition, int(table.options.get("vector.prefetch_multiplier", 4)), int(cap) if cap else None)
-            return Frame(self, found.selectExpr(*columns), "two_phase")
-        score = cosine_similarity(F.col(m["vec"]), query)
-        found = retrieval.topk_by_score(docs.where(condition) if where else docs, score, k, id if id in docs.columns else None, "_score")
-        return Frame(self, found.selectExpr(*columns), "index_fallback" if "vector.index_table" in table.options else None)
+            top = retrieval.two_phase(docs, id, found.vector, index, query, k, condition, int(table.options.get("vector.prefetch_multiplier", 4)), int(cap) if cap else None)
+            return Frame(self, top.selectExpr(*found.columns), "two_phase")
+        score = cosine_similarity(F.col(f"`{found.vector}`"), query)
+        top = retrieval.topk_by_score(docs.where(condition) if found.where else docs, score, k, id if id in docs.columns else None, "_score")
+        top = top.drop("_score") if "_score" not in docs.columns else top
+        return Frame(self, top.selectExpr(*found.columns), "index_fallback" if "vector.index_table" in table.options else None)
 
     def _insert(self, name: str, columns: list[str] | None, select: str, params: dict | None) -> "Frame":
         """Append rows to a catalog table, columns by the list's names or else by position."""
@@ -184,7 +180,7 @@ class Engine:
         given = df.toDF(*names)
         row = given.select(*[(F.col(f"`{c}`").cast(t) if c in names else F.lit(None).cast(t)).alias(c) for c, t in fields.items()])
         target = table.locations()[0]
-        if len(table.locations()) > 1 or is_single_file(target) and not os.path.isdir(target):
+        if len(table.locations()) > 1 or is_single_file(target) and not Files(self.spark).is_folder(target):
             raise UnsupportedError(f"table {name} is not a folder, so nothing can be appended to it")
         Frame(self, row).write_parquet(target, "append")
         self._open(table)
@@ -195,7 +191,14 @@ class Engine:
         if table.format != "parquet":
             raise UnsupportedError(f"table {name} is an index, not rows")
         self._refresh(table)
-        return Frame(self, self.spark.table(f"`{name}`"))
+        return Frame(self, self.spark.table(f"`{name}`"), bytes=self._known_bytes(table))
+
+    def _known_bytes(self, table: TableDef) -> int | None:
+        """The catalog's size of a table, but not less than its files have now."""
+        if table.bytes is None:
+            return None
+        files = Files(self.spark)
+        return max(table.bytes, sum(files.size(x) for x in table.locations()))
 
     def prometheus_metrics(self) -> str:
         return self.metrics.text()
@@ -207,33 +210,6 @@ class Engine:
         self.schemas.clear()
 
 
-def _split_columns(text: str) -> list[str]:
-    """A select list cut at the commas outside parentheses and quotes."""
-    out, depth, quoted = [""], 0, False
-    for ch in text:
-        quoted ^= ch == "'"
-        depth += not quoted and {"(": 1, ")": -1}.get(ch, 0)
-        if ch == "," and not depth and not quoted:
-            out.append("")
-        else:
-            out[-1] += ch
-    return [c.strip() for c in out]
-
-
-def _bound(text: str, params: dict) -> str:
-    """Parameters as literals, for expressions outside a whole statement."""
-
-    def literal(m: re.Match) -> str:
-        value = params[m[1]]
-        if isinstance(value, (list, tuple)):
-            return f"array({', '.join(f'{float(x)!r}F' for x in value)})"
-        if isinstance(value, str):
-            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        return "null" if value is None else str(value)
-
-    return re.sub(r"(?<![:\w']):([A-Za-z_]\w*)", literal, text)
-
-
 def equalities(where: str) -> list[tuple[str, object]] | None:
     """The conditions of an AND of column = literal, or None for anything else."""
     out: list[tuple[str, object]] = []
@@ -252,14 +228,15 @@ def equalities(where: str) -> list[tuple[str, object]] | None:
 class Frame:
     """A lazy query of an engine.  ``df`` is the Spark DataFrame, with all that it offers."""
 
-    def __init__(self, engine: Engine, df: DataFrame, rewrite: str | None = None):
-        self.engine, self.df, self.rewrite = engine, df, rewrite
+    def __init__(self, engine: Engine, df: DataFrame, rewrite: str | None = None, bytes: int | None = None):
+        self.engine, self.df, self.rewrite, self.bytes = engine, df, rewrite, bytes
 
     def _with(self, df: DataFrame) -> "Frame":
         return Frame(self.engine, df)
 
     def filter(self, condition: Column | str) -> "Frame":
-        return self._with(self.df.filter(condition))
+        """A part of the rows is no larger than the catalog says the table is."""
+        return Frame(self.engine, self.df.filter(condition), bytes=self.bytes)
 
     def select(self, *columns: Column | str) -> "Frame":
         return self._with(self.df.select(*columns))
@@ -267,6 +244,9 @@ class Frame:
     def join(self, right: "Frame", on: Sequence[tuple[str, str]], strategy: str = "auto", null_safe: bool = False) -> "Frame":
         if right.engine is not self.engine:
             raise PlanningError("both sides of a join must be of one engine")
+        if strategy == "auto" and (self.bytes is not None or right.bytes is not None):
+            told = relational.strategy_of(self.bytes, right.bytes, self.engine.config.broadcast_threshold_bytes)
+            strategy = told if told.startswith("broadcast") else "auto"
         return self._with(relational.join(self.df, right.df, on, strategy, null_safe))
 
     def groupby(self, *keys: str) -> "Grouped":
@@ -288,10 +268,15 @@ class Frame:
         return (f"rewrite={self.rewrite}\n" if self.rewrite else "") + text
 
     def collect(self) -> list:
-        return self._timed("collect", self.df.collect, len)
+        return self._observed(self._timed("collect", self.df.collect, len))
 
     def to_arrow(self):
-        return self._timed("collect", self.df.toArrow, len)
+        return self._observed(self._timed("collect", self.df.toArrow, len))
+
+    def _observed(self, out):
+        """What Spark counted in each operator of the plan that just ran."""
+        self.engine.metrics.ran_plan(self.df)
+        return out
 
     def write_parquet(self, path: str, mode: str = "overwrite") -> list[str]:
         return self._timed("write", lambda: write_parquet(self.df, path, mode), len)
@@ -301,11 +286,13 @@ class Frame:
     def save_as_table(self, name: str, mode: str = "overwrite") -> None:
         """A managed folder beside the catalog file, entered in the catalog."""
         catalog = self.engine.catalog
-        folder = os.path.join(os.path.dirname(os.path.abspath(catalog.path)) if catalog.path else self.engine.spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "tables", name)
+        root = self.engine.config.managed_dir or (os.path.join(os.path.dirname(os.path.abspath(catalog.path)), "tables") if catalog.path else self.engine.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tables")
+        folder = f"{root.rstrip('/')}/{name}"
         before = catalog.tables.get(name)
-        made = self.write_parquet(folder, mode)
-        paths = sorted({*before.paths, *made}) if before and mode == "append" else made
-        self.engine.register_table(TableDef(name, paths=paths))
+        # A table that lies elsewhere keeps its files; a managed one is its whole folder.
+        kept = [p for p in before.locations() if p.rstrip("/") != folder and not p.startswith(f"{folder}/")] if before and mode == "append" else []
+        self.write_parquet(folder, mode)
+        self.engine.register_table(TableDef(name, paths=[*kept, folder], options=dict(before.options) if before else {}))
         catalog.save()
 
     save_as_table_with_mode = save_as_table

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from marlstone.errors import PlanningError
 
-HINTS = {"auto": None, "broadcast": "broadcast", "shuffle": "merge", "hash": "shuffle_hash"}
+#: Of each strategy the hint of the left and of the right side.
+HINTS = {"auto": (None, None), "broadcast": (None, "broadcast"), "broadcast_left": ("broadcast", None), "broadcast_right": (None, "broadcast"), "shuffle": (None, "merge"), "hash": (None, "shuffle_hash")}
 AGGREGATES = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
 
 
@@ -24,7 +25,7 @@ def strategy_of(left_bytes: int | None, right_bytes: int | None, threshold: int)
 
 def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], strategy: str = "auto", null_safe: bool = False) -> DataFrame:
     """Inner equi-join that keeps both sides' columns.  ``auto`` leaves the choice to run-time sizes;
-    ``broadcast`` is for a right side of known small size."""
+    ``broadcast`` is for a right side, ``broadcast_left`` for a left side, of known small size."""
     if not on:
         raise PlanningError("a join needs at least one pair of keys")
     if strategy not in HINTS:
@@ -32,13 +33,12 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], strat
     for a, b in on:
         if a not in left.columns or b not in right.columns:
             raise PlanningError(f"no such join key: {a} on the left, {b} on the right")
-    if HINTS[strategy]:
-        right = right.hint(HINTS[strategy])
     condition = None
     for a, b in on:
         pair = left[a].eqNullSafe(right[b]) if null_safe else left[a] == right[b]
         condition = pair if condition is None else condition & pair
-    return left.join(right, condition, "inner")
+    hint_left, hint_right = HINTS[strategy]
+    return (left.hint(hint_left) if hint_left else left).join(right.hint(hint_right) if hint_right else right, condition, "inner")
 
 
 def aggregate(df: DataFrame, keys: Sequence[str], aggs: Sequence[tuple[str, str, str]]) -> DataFrame:

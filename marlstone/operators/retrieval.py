@@ -91,11 +91,13 @@ def two_phase(docs: DataFrame, id: str, column: str, index: VectorIndex, query:
     """Prefetch candidates from the index, filter their documents, rerank exactly.
 
     The filter comes after the prefetch, so fewer than k rows can come back; raise ``multiplier``
-    then.  The candidates are prefetch_k rows at most, so that side is broadcast.
+    then.  The candidates are prefetch_k rows at most; up to a million ids and scores are broadcast.
+    With payloads, whose size is not known, the join is left to sizes at run time.
     """
     n = prefetch_k(k, multiplier, cap)
     found = index.topk(query, n).select(F.col("id").alias("_found"), *[F.col(c) for c in ("score", "payload") if c not in docs.columns])
-    joined = docs.join(F.broadcast(found) if n <= 1_000_000 else found, docs[id] == F.col("_found")).drop("_found")
+    slim = n <= 1_000_000 and "payload" not in found.columns
+    joined = docs.join(F.broadcast(found) if slim else found, docs[id] == F.col("_found")).drop("_found")
     if where is not None:
         joined = joined.where(where)
     if "score" in joined.columns:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.config import EngineConfig
+from marlstone.engine import Engine
 from marlstone.functions.vector import cosine_similarity, dot_product, l2_distance, register_functions
 from marlstone.operators import relational, retrieval
+from marlstone.sources.catalog import TableDef
+from marlstone.sources.tbl import COLUMNS, convert_tbl
 from marlstone.sources.writes import write_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,11 +182,9 @@ def topk_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _target(spark: SparkSession, name: str) -> str:
-    """A folder for a written table: in the cluster's shared folder, or a new one where there is none."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else f"{tempfile.mkdtemp()}/{name}"
+    """A new path for a written table: in the cluster's shared folder, or in the warehouse where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/marlstone-queries/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
@@ -202,9 +205,6 @@ def write_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
 def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marlstone.engine import Engine
-    from marlstone.sources.catalog import TableDef
-
     path = _target(spark, "inserted")
     customer = table(spark, sf_dir, "customer")
     write_parquet(customer.select("c_custkey", "c_acctbal").limit(0), path)
@@ -213,3 +213,92 @@ def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine.register_table(TableDef("customer", uri=f"{sf_dir}/customer.parquet"))
     engine.sql("INSERT INTO target (c_custkey, c_acctbal) SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
     return engine.table("target").df
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 1000")
+def write_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _target(spark, "single") + ".parquet"
+    write_parquet(table(spark, sf_dir, "customer").where("c_acctbal > 1000").select("c_custkey", "c_acctbal"), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def save_as_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends to a table that lies elsewhere: its own rows stay."""
+    path, rows = _target(spark, "elsewhere"), table(spark, sf_dir, "orders")
+    write_parquet(rows.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), path)
+    engine = Engine(spark, EngineConfig(managed_dir=_target(spark, "managed")))
+    engine.register_table(TableDef("kept", uri=path))
+    engine.register_table(TableDef("orders", uri=f"{sf_dir}/orders.parquet"))
+    engine.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'").save_as_table("kept", "append")
+    return engine.table("kept").df
+
+
+@query("SELECT o_orderstatus, count(o_orderkey) AS n FROM orders WHERE o_orderkey % 3 < 2 GROUP BY o_orderstatus")
+def multi_file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table over two folders."""
+    paths, rows = [_target(spark, "part") for _ in range(2)], table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for i, path in enumerate(paths):
+        write_parquet(rows.where(F.col("o_orderkey") % 3 == i), path)
+    engine = Engine(spark)
+    engine.register_table(TableDef("parts", paths=paths))
+    return engine.table("parts").groupby("o_orderstatus").agg(("count", "o_orderkey", "n")).df
+
+
+@query("SELECT c_custkey, c_nationkey::DOUBLE AS c_nationkey FROM customer")
+def widened_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of int and bigint keys, and of int and double values: each read in the wider type."""
+    path, rows = _target(spark, "widened"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    write_parquet(rows.where("c_custkey % 2 = 0").selectExpr("cast(c_custkey AS int) AS c_custkey", "c_nationkey"), path)
+    write_parquet(rows.where("c_custkey % 2 = 1").selectExpr("c_custkey", "cast(c_nationkey AS double) AS c_nationkey"), path, "append")
+    engine = Engine(spark)
+    engine.register_table(TableDef("widened", uri=path))
+    return engine.table("widened").df
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON nullif(c_nationkey, 3) IS NOT DISTINCT FROM nullif(n_nationkey, 3)")
+def join_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "customer").selectExpr("c_custkey", "nullif(c_nationkey, 3) AS c_key")
+    right = table(spark, sf_dir, "nation").selectExpr("n_name", "nullif(n_nationkey, 3) AS n_key")
+    return relational.join(left, right, [("c_key", "n_key")], null_safe=True).select("c_custkey", "n_name")
+
+
+@query(f"SELECT vec_id, {_ROUND} FROM ({_TOPK}) WHERE label <> 1 ORDER BY exact DESC, vec_id DESC LIMIT 12")
+def vector_sql_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alias, qualified columns and a projected score: answered by the index and its exact rerank."""
+    vectors, engine = table(spark, sf_dir, "embeddings"), Engine(spark)
+    options = {"vector.index_table": "near", "vector.id_column": "vec_id", "vector.prefetch_multiplier": "100"}
+    engine.register_table(TableDef("embeddings", uri=f"{sf_dir}/embeddings.parquet", options=options))
+    engine.register_index("near", retrieval.ExactIndex(vectors, "vec_id", "embedding"))
+    found = engine.sql("SELECT e.vec_id, cosine_similarity(e.embedding, :q) AS s FROM embeddings e WHERE e.label <> :not ORDER BY s DESC LIMIT :k", {"q": QUERY, "k": 12, "not": 1})
+    assert found.rewrite == "two_phase"
+    return found.df.select("vec_id", F.round(F.col("s").cast("double"), 4).alias("score"))
+
+
+@query("SELECT * FROM (VALUES (9::BIGINT, 0.75::DOUBLE, 'b'), (4::BIGINT, 0.5::DOUBLE, NULL)) t(id, score, payload)")
+def index_given_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = json.dumps([{"id": 4, "score": 0.5}, {"id": 9, "score": 0.75, "payload": "b"}, {"id": 2, "score": 0.25}])
+    engine = Engine(spark)
+    engine.register_table(TableDef("given", format="index", options={"vector.mock_rows_json": rows}))
+    found = engine.sql("SELECT id, score, payload FROM given ORDER BY cosine_similarity(emb, :q) DESC LIMIT 2", {"q": [1.0]})
+    return found.df.select("id", F.col("score").cast("double").alias("score"), "payload")
+
+
+@query("SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, 0::BIGINT AS o_shippriority FROM orders")
+def tbl_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipe-delimited text, converted to Parquet."""
+    folder = _target(spark, "tbl")
+    given = {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderdate": "date_format(o_orderdate, 'yyyy-MM-dd')", "o_shippriority": "0"}
+    line = F.concat_ws("|", *[F.expr(given.get(c, "'x'")).cast("string") for c in COLUMNS["orders"].split()], F.lit(""))
+    table(spark, sf_dir, "orders").select(line.alias("value")).write.text(f"{folder}/orders.tbl")
+    return spark.read.parquet(*convert_tbl(spark, folder, f"{folder}/out", ("orders",))["orders"])
+
+
+@query("SELECT l_returnflag, count(l_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 200000 GROUP BY l_returnflag")
+def join_by_catalog_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's sizes choose the side that is broadcast."""
+    engine = Engine(spark)
+    engine.register_table(TableDef("lineitem", uri=f"{sf_dir}/lineitem.parquet", bytes=10**9))
+    engine.register_table(TableDef("orders", uri=f"{sf_dir}/orders.parquet", bytes=10**5))
+    both = engine.table("lineitem").join(engine.table("orders").filter("o_totalprice > 200000"), [("l_orderkey", "o_orderkey")])
+    return both.groupby("l_returnflag").agg(("count", "l_orderkey", "n")).df

@@ -2,42 +2,29 @@
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.errors import PlanningError, StorageError
 from marlstone.sources.catalog import TableDef
+from marlstone.sources.files import Files
 
 _WHOLE = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
 
 
-@dataclass(frozen=True)
-class FileState:
-    path: str
-    size: int
-    modified: int
-
-
-def files_of(spark: SparkSession, table: TableDef) -> list[FileState]:
-    """The data files of a table, by the file system that Spark reads them with."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found: list[FileState] = []
+def state_of(spark: SparkSession, table: TableDef) -> tuple[str, ...]:
+    """What tells that a table's files have changed, without listing them."""
+    files = Files(spark)
     for location in table.locations():
-        path = jvm.org.apache.hadoop.fs.Path(location)
-        fs = path.getFileSystem(conf)
-        if not fs.exists(path):
+        if not files.exists(location):
             raise StorageError(f"table {table.name}: {location} does not exist")
-        it = fs.listFiles(path, True)
-        while it.hasNext():
-            s = it.next()
-            name = s.getPath().getName()
-            if not name.startswith(("_", ".")):
-                found.append(FileState(s.getPath().toString(), s.getLen(), s.getModificationTime()))
-    return sorted(found, key=lambda s: s.path)
+    return tuple(files.state(location) for location in table.locations())
+
+
+def files_of(spark: SparkSession, table: TableDef) -> list[str]:
+    """The data files of a table, listed by Spark, in parallel where there are many folders."""
+    return sorted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(table.locations()).inputFiles())
 
 
 def widened(a: T.DataType, b: T.DataType, name: str) -> T.DataType:
@@ -69,12 +56,31 @@ def declared(table: TableDef) -> T.StructType | None:
     return T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in table.schema)) if table.schema else None
 
 
-def infer(spark: SparkSession, files: list[FileState], strict: bool = False) -> dict[str, list[str]]:
-    """Footers only: files by the DDL of their schema, in order of first use."""
-    by: dict[str, list[str]] = {}
-    for f in files:
-        by.setdefault(spark.read.parquet(f.path).schema.json(), []).append(f.path)
-    return by
+def _footers(batches):
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        paths = batch.column("path").to_pylist()
+        told = []
+        for path in paths:
+            fs, at = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(at) as f:
+                told.append(str(pq.ParquetFile(f).schema))  # names, physical and logical types
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([t.partition("\n")[2] for t in told], pa.string())], ["path", "told"])
+
+
+def infer(spark: SparkSession, files: list[str]) -> list[tuple[T.StructType, list[str]]]:
+    """Files by their schema.  Tasks read the footers, and Spark reads one file of each kind."""
+    kinds: dict[str, list[str]] = {"": files}
+    if len(files) > 1:
+        n = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+        rows = spark.createDataFrame([(f,) for f in files], "path string").repartition(n)
+        kinds = {}
+        for r in rows.mapInArrow(_footers, "path string, told string").collect():
+            kinds.setdefault(r["told"], []).append(r["path"])
+    return sorted(((spark.read.parquet(min(of)).schema, sorted(of)) for of in kinds.values()), key=lambda x: x[1][0])
 
 
 def read_table(spark: SparkSession, table: TableDef, inference: str = "on") -> tuple[DataFrame, T.StructType]:
@@ -88,10 +94,9 @@ def read_table(spark: SparkSession, table: TableDef, inference: str = "on") -> t
     if not files:
         raise StorageError(f"table {table.name} has no files to infer a schema from")
     groups = infer(spark, files)
-    schemas = [T.StructType.fromJson(json.loads(s)) for s in groups]
-    schema = merged_schema(schemas, inference == "strict")
+    schema = merged_schema([s for s, _ in groups], inference == "strict")
     parts = []
-    for s, paths in zip(schemas, groups.values()):
+    for s, paths in groups:
         whole = table.locations() if len(groups) == 1 else paths
         df = spark.read.schema(s).parquet(*whole)
         parts.append(df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if s[f.name].dataType != f.dataType else F.col(f"`{f.name}`") for f in schema]))

@@ -13,6 +13,7 @@ COLUMNS = {
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority o_clerk o_shippriority o_comment",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate l_commitdate l_receiptdate l_shipinstruct l_shipmode l_comment",
 }
+#: The columns that the queries use, and the types of those that are no text.
 KEPT = {
     "customer": "c_custkey c_mktsegment",
     "orders": "o_orderkey o_custkey o_orderdate o_shippriority",

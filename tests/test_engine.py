@@ -281,3 +281,113 @@ def test_tbl(spark, tmp_path):
     assert tuple(spark.read.parquet(made["customer"][0]).first()) == (1, "BUILDING")
     assert tuple(spark.read.parquet(made["orders"][0]).first()) == (1, 370, "1996-01-02", 0)
     assert tuple(spark.read.parquet(made["lineitem"][0]).first()) == (1, 17.0, 21168.23, 0.04, 0.02, "N", "O", "1996-03-13")
+
+
+def test_appending_to_a_table_that_lies_elsewhere_keeps_its_rows(spark, data, tmp_path):
+    path = str(tmp_path / "catalog.json")
+    e = Engine(spark, EngineConfig(catalog_path=path))
+    e.register_table(TableDef("lineitem", uri=str(data / "lineitem")))
+    for n in (9, 12):
+        engine_rows = e.sql("SELECT * FROM lineitem WHERE l_orderkey = 3 LIMIT 3")
+        engine_rows.save_as_table("lineitem", "append")
+        assert len(e.table("lineitem").collect()) == n
+        assert len(Engine(spark, EngineConfig(catalog_path=path)).table("lineitem").collect()) == n
+
+
+def test_parameters_stay_out_of_quotes(engine):
+    frame = engine.sql("SELECT title FROM docs WHERE title <> 'see :q now' AND lang = :l ORDER BY cosine_similarity(emb, :q) DESC LIMIT 1 -- :none", {"q": [1.0, 0.0, 0.0], "l": "de"})
+    assert values(frame) == [("doc-3",)]
+    assert values(engine.sql("SELECT ':a' AS x, `o_custkey` AS y FROM orders WHERE o_orderkey = :a", {"a": 2})) == [(":a", 100)]
+    with pytest.raises(PlanningError):
+        engine.sql("SELECT id FROM docs WHERE lang = :unknown ORDER BY cosine_similarity(emb, :q) DESC LIMIT 1", {"q": [1.0, 0.0, 0.0]})
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT id, title FROM docs d WHERE d.lang = 'en' ORDER BY cosine_similarity(d.emb, :q) DESC LIMIT 1",
+        "select docs.id, docs.title from docs where lang = :l order by cosine_similarity(docs.emb, :q) desc limit :k;",
+        "SELECT id, title, cosine_similarity(emb, :q) AS s FROM docs WHERE lang = 'en' ORDER BY s DESC LIMIT 1",
+        "SELECT id, upper(title) AS title FROM docs AS x WHERE x.lang = 'en' ORDER BY cosine_similarity(x.emb, :q) DESC LIMIT 1",
+    ],
+)
+def test_forms_of_a_vector_query(engine, data, text):
+    engine.register_table(TableDef("docs_idx", format="index", options={"vector.mock_rows_json": INDEX}))
+    engine.register_table(TableDef("docs", uri=str(data / "docs"), options={"vector.index_table": "docs_idx"}))
+    found = engine.sql(text.rstrip(";"), {"q": [1.0, 0.0, 0.0], "l": "en", "k": 1})
+    assert found.rewrite == "two_phase" and found.collect()[0]["id"] == 1
+
+
+def test_other_statements_are_not_taken_for_vector_queries(engine):
+    from marlstone.plans.rewrite import vector_topk
+
+    q = {"q": [1.0]}
+    for text in ("SELECT id FROM docs ORDER BY cosine_similarity(emb, :q) LIMIT 1", "SELECT id FROM docs, orders ORDER BY cosine_similarity(emb, :q) DESC LIMIT 1", "SELECT count(*) FROM docs WHERE cosine_similarity(emb, :q) > 0", "SELECT id FROM docs ORDER BY cosine_similarity(emb, :q) DESC, id LIMIT 1", "SELECT FROM WHERE cosine_similarity"):
+        assert vector_topk(engine.spark, text, q) is None
+
+
+def test_a_failed_append_leaves_nothing(spark, tmp_path, monkeypatch):
+    from marlstone.sources.files import Files
+
+    folder, df = str(tmp_path / "t"), spark.range(6).repartition(3)
+    write_parquet(df, f"file:{folder}")
+    before, move, moved = sorted(os.listdir(folder)), Files.move, []
+
+    def failing(self, source, target):
+        moved.append(target)
+        if len(moved) == 3:
+            raise OSError("no")
+        move(self, source, target)
+
+    monkeypatch.setattr(Files, "move", failing)
+    with pytest.raises(StorageError):
+        write_parquet(df, f"file:{folder}", "append")
+    assert sorted(os.listdir(folder)) == before and os.listdir(tmp_path) == ["t"]
+
+
+def test_catalog_sizes_choose_the_broadcast_side(spark, data):
+    e = Engine(spark, EngineConfig(broadcast_threshold_bytes=10**6))
+    e.register_table(TableDef("lineitem", uri=str(data / "lineitem"), bytes=10**9))
+    e.register_table(TableDef("orders", uri=str(data / "orders"), bytes=1))
+    e.table("lineitem").collect()
+    plan = e.table("orders").join(e.table("lineitem"), [("o_orderkey", "l_orderkey")]).explain()
+    assert "BroadcastHashJoin Inner BuildLeft" in plan
+    assert e.table("orders").bytes > 1  # the files are larger than the catalog says
+    assert e.table("orders").select("o_custkey").bytes is None
+
+
+def test_metrics_of_operators(engine):
+    engine.table("lineitem").join(engine.table("orders"), [("l_orderkey", "o_orderkey")], "shuffle").groupby("l_orderkey").agg(("count", "l_partkey", "n")).collect()
+    text = engine.prometheus_metrics()
+    for name in ("operator_rows", "scan_files", "scan_bytes", "shuffle_bytes_written", "shuffle_rows_written", "shuffle_rows_read"):
+        assert f"marlstone_{name}_total{{" in text, name
+    assert 'marlstone_shuffle_rows_written_total{operator="Exchange"} 9' in text
+
+
+def test_manifest_of_fixtures(spark, tmp_path):
+    from marlstone.sources.fixtures import write_fixtures
+
+    sizes = {"customers": 20, "orders": 50, "lines": 120, "documents": 10}
+    one = write_fixtures(spark, str(tmp_path / "a"), **sizes)
+    assert one == write_fixtures(spark, f"file:{tmp_path}/b", **sizes) == json.loads((tmp_path / "b" / "manifest.json").read_text())
+    assert one != write_fixtures(spark, str(tmp_path / "c"), **sizes, seed=2)
+    assert {k: v["rows"] for k, v in one["tables"].items()} == {"customer": 20, "orders": 50, "lineitem": 120, "docs": 10}
+    line = spark.read.parquet(str(tmp_path / "a" / "lineitem.parquet"))
+    assert line.where("l_orderkey between 1 and 50 and l_quantity between 1 and 50 and l_discount between 0 and 0.1").count() == 120
+
+
+def test_config_of_a_session(monkeypatch):
+    monkeypatch.setenv("MARLSTONE_MEMORY_BYTES", str(2 << 30))
+    assert EngineConfig(spill_dir="/tmp/x").memory_bytes == 2 << 30
+    with pytest.raises(InvalidConfigError):
+        monkeypatch.setenv("MARLSTONE_MEMORY_BYTES", "0")
+        EngineConfig()
+
+
+def test_unchanged_files_are_not_read_again(spark, data, monkeypatch):
+    e = Engine(spark)
+    e.register_table(TableDef("orders", uri=str(data / "orders")))
+    opened = []
+    monkeypatch.setattr(Engine, "_open", lambda self, t: opened.append(t.name))
+    e.sql("SELECT * FROM orders")
+    assert opened == []
