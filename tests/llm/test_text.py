@@ -95,6 +95,72 @@ def test_pii_phone_before_an_address(spark):
     assert not any(x in r["text"] for r in got for x in (phone, address, "137.223"))
 
 
+def pseudonyms(spark, values):
+    """The pseudonym of each value, in a text of its own."""
+    df = spark.createDataFrame(list(enumerate(f"x {v} y" for v in values)), "doc_id long, text string")
+    return [r["text"][2:-2] for r in pseudonymise(df, "key").orderBy("doc_id").collect()]
+
+
+def test_dates_stay_different(spark):
+    """Brute force over days of all cycles and formats: valid, within the cycle, and no two alike."""
+    import datetime as dt
+
+    rng = np.random.default_rng(17)
+    days = {dt.date(1799, 12, 31), dt.date(1800, 1, 1), dt.date(2199, 12, 31), dt.date(2000, 2, 29)}
+    days |= {dt.date.fromordinal(int(n)) for n in rng.integers(dt.date(200, 1, 1).toordinal(), dt.date(9799, 12, 31).toordinal(), 300)}
+    days |= {dt.date.fromordinal(int(n)) for n in rng.integers(dt.date(1990, 1, 1).toordinal(), dt.date(2026, 1, 1).toordinal(), 300)}
+    days = sorted(days)
+    iso = [d.isoformat() for d in days]
+    dmy = [f"{d.day:02}/{d.month:02}/{d.year:04}" for d in days]
+    mdy = [f"{d.month:02}/{d.day:02}/{d.year:04}" for d in days if d.day > 12]
+    got = pseudonyms(spark, iso + dmy + mdy)
+    assert len(set(got)) == len(iso + dmy + mdy)
+    new = [dt.date.fromisoformat(g) for g in got[: len(iso)]]
+    assert all((a.year - 1800) // 400 == (b.year - 1800) // 400 for a, b in zip(days, new))
+    assert [f"{d.day:02}/{d.month:02}/{d.year:04}" for d in new] == got[len(iso) : 2 * len(iso)]  # one permutation
+    assert all(1 <= int(g[:2]) <= 12 < int(g[3:5]) for g in got[2 * len(iso) :])
+    assert pseudonyms(spark, ["0199-01-01", "9800-01-01", "2021-02-30"]) == ["0199-01-01", "9800-01-01", "2021-02-30"]
+
+
+def test_numbers_stay_in_their_format(spark):
+    """Each kind against a plain computation of its permutation, its validity, and other values."""
+    rng = np.random.default_rng(18)
+
+    def walked(digits):
+        while True:
+            digits = brute_permute(digits, "key", "ssn")
+            if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000":
+                return digits
+
+    ssn = [f"{a:03}-{g:02}-{n:04}" for a, g, n in zip(rng.choice([*range(1, 666), *range(667, 900)], 200), rng.integers(1, 100, 200), rng.integers(1, 10000, 200))]
+    got = pseudonyms(spark, ssn)
+    assert [g.replace("-", "") for g in got] == [walked(x.replace("-", "")) for x in ssn] and len(set(got)) == len(set(ssn))
+    bad = ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"]
+    assert pseudonyms(spark, bad) == bad
+    phones = {"+49 30 1234567": ("49", "301234567"), "+1 (988) 555-2485": ("1", "9885552485"), "(988) 555-2485": ("", "9885552485"), "+358 40 123 4567": ("358", "401234567"), "+86 10 1234 5678": ("86", "1012345678"), "+7 495 123 4567": ("7", "4951234567")}
+    for (phone, (code, rest)), g in zip(phones.items(), pseudonyms(spark, phones)):
+        assert re.sub(r"\D", "", g) == code + brute_permute(rest, "key", "phone"), phone
+        assert re.sub(r"\d", "0", g) == re.sub(r"\d", "0", phone)
+    mails = [f"a{i}.b@host{i % 7}.example.org" for i in range(300)] + ["A1.B@host1.example.ORG"]
+    got = pseudonyms(spark, mails)
+    assert got[-1] == got[1] and len(set(got)) == 300 and all(re.fullmatch(r"user\.[0-9a-f]{32}@mail\.invalid", g) for g in got)
+    octets = rng.integers(0, 256, (200, 4))
+    got = pseudonyms(spark, [".".join(map(str, o)) for o in octets])
+    assert all(max(map(int, g.split("."))) < 256 for g in got) and len(set(got)) == len({tuple(o) for o in octets})
+
+
+def test_account_numbers_in_groups(spark):
+    closed, grouped = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    one, two, austria = pseudonyms(spark, [closed, grouped, "AT61 1904 3002 3457 3201"])
+    assert one == two.replace(" ", "") != closed and [len(x) for x in two.split(" ")] == [4, 4, 4, 4, 4, 2]
+    for x in (one, austria.replace(" ", "")):
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    # A word in front makes no account number of a card number.
+    card, behind = pseudonyms(spark, ["4111 1111 1111 1111", "AB12 4111 1111 1111 1111"])
+    assert behind == f"AB12 {card}" and card != "4111 1111 1111 1111"
+    assert pseudonyms(spark, ["AB12 CDEF GHIJ KLMN"]) == ["AB12 CDEF GHIJ KLMN"]
+
+
 def test_logistic_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3)).astype(np.float32)
