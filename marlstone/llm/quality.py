@@ -1,17 +1,19 @@
 """Quality by hierarchical empirical Bayes: document evidence, shrunk site rates.
 
 A logistic classifier over byte shares and word repetition gives each document its log-odds.  Sites
-have two levels, host and path; the mean of a site's document probabilities is its rate, shrunk to
-the level above by a Beta prior whose strength comes from how far sites differ beyond chance (method
-of moments).  A document's final log-odds are its own, moved by its path's rate against the global.
+have two levels, host and path.  A document's evidence is its label, or its probability where it has
+none; the mean evidence of a site is its rate, shrunk to the level above by a Beta prior whose strength
+comes from how far sites differ beyond chance (method of moments).  A document's final log-odds are its
+own, moved by the rate of its path without itself, against the global rate.
 
 The classifier is fitted on at most about ``max_train`` labelled documents, chosen by a hash of
-doc_id; rates and strengths cover all documents.
+doc_id; labels, rates and strengths cover all documents.
 
 Defined cases: null and empty texts are scored like others, from the prior of their features; null
-hosts and paths form a site of their own; repeated rows each count and are each returned; an empty
-table gives no rows; without labels of both values every score is the classifier's neutral 0.5 and
-all is kept; other columns are ignored by `quality_scores` and carried on by `keep_good`.
+hosts and paths form a site of their own; repeated rows each count and are each returned; a repeated
+label is the greater one, and a repeated doc_id is fitted once; an empty table gives no rows; without
+labels of both values every score is the classifier's neutral 0.5 and all is kept; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -75,13 +77,19 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], ["y", "x"])
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, y), one row a document with a label."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("double")).alias("y"))
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> Logistic:
     """On about ``max_train`` labelled rows at most; their features come to the driver."""
     n = labels.count()
     share = min(1.0, max_train / max(n, 1))
-    chosen = labels.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    chosen = chosen.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
+    chosen = labelled(labels).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # bounded by max_train
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.first("text").alias("text"))
     data = rows.select("y", "text").mapInArrow(_feature_rows, "y double, x array<float>").toArrow()
     y = data.column("y").to_numpy()
     x = np.array(data.column("x").combine_chunks().flatten(), np.float32).reshape(len(y), N_FEATURES)
@@ -111,17 +119,17 @@ def _logit(c: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_rates(scored: DataFrame) -> DataFrame:
-    """(host, path, shift): the log-odds of a path's shrunk rate against the global rate."""
-    p = 1 / (1 + F.exp(-F.col("logit")))
-    paths = staged(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * (1 - p)).alias("v")), "site-paths")
+def site_rates(scored: DataFrame) -> tuple[DataFrame, float, float]:
+    """Of documents (host, path, e, v: evidence and its variance): (host, path, n, s, host_rate) of each
+    path, the global rate, and the strength of a path's prior."""
+    paths = staged(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("s"), F.sum("v").alias("v")), "site-paths")
     hosts = staged(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("v").alias("hv")), "site-hosts")
     total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
     mean = total["s"] / total["n"] if total["n"] else 0.5
 
     def strength(df: DataFrame, n: str, s: str, v: str, prior: Column) -> float:
         rate = F.col(s) / F.col(n)
-        # Chance moves a site's mean by the variance of its documents' probabilities over n.
+        # Chance moves a site's mean by the variance within it, beyond its documents' own, over n.
         within = (rate * (1 - rate) - F.col(v) / F.col(n)) / F.col(n)
         r = df.agg(F.sum(n), F.sum(s), F.sum(F.col(n) * (rate - prior) ** 2), F.sum(F.col(n) * within)).first()
         return _strength((r[0] or 0, (r[1] or 0) / r[0] if r[0] else 0, r[2] or 0, r[3] or 0))
@@ -129,9 +137,7 @@ def site_rates(scored: DataFrame) -> DataFrame:
     at_host = strength(hosts, "hn", "hs", "hv", F.lit(mean))
     hosts = hosts.select("host", ((F.col("hs") + at_host * mean) / (F.col("hn") + at_host)).alias("host_rate"))
     both = paths.alias("p").join(hosts.alias("q"), F.col("p.host").eqNullSafe(F.col("q.host"))).select("p.*", "host_rate")
-    at_path = strength(both, "n", "s", "v", F.col("host_rate"))
-    rate = (F.col("s") + at_path * F.col("host_rate")) / (F.col("n") + at_path)
-    return staged(both.select("host", "path", (_logit(rate) - _logit(F.lit(mean))).alias("shift")), "site-rates")
+    return staged(both.select("host", "path", "n", "s", "host_rate"), "site-rates"), mean, strength(both, "n", "s", "v", F.col("host_rate"))
 
 
 def _sites(docs: DataFrame, host: str, path: str) -> tuple[Column, Column]:
@@ -145,12 +151,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     model = hold(spark, fit_classifier(docs, labels, max_train))
     h, p = _sites(docs, host, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", h.alias("host"), p.alias("path"))
-    scored = staged(rows.mapInArrow(_logit_rows(model), "doc_id long, host string, path string, logit double"), "quality-logits")
-    rates = site_rates(scored)
+    logits = staged(rows.mapInArrow(_logit_rows(model), "doc_id long, host string, path string, logit double"), "quality-logits")
+    p = 1 / (1 + F.exp(-F.col("logit")))
+    evidence = logits.join(labelled(labels), "doc_id", "left").withColumn("p", p)
+    known = F.col("y").isNotNull()
+    scored = staged(evidence.withColumns({"e": F.when(known, F.col("y")).otherwise(F.col("p")), "v": F.when(known, 0.0).otherwise(F.col("p") * (1 - F.col("p")))}).drop("y"), "quality-evidence")
+    rates, mean, strength = site_rates(scored)
     near = small_side(rates, rates.count(), 500_000)
     joined = scored.alias("d").join(near.alias("r"), F.col("d.host").eqNullSafe(F.col("r.host")) & F.col("d.path").eqNullSafe(F.col("r.path")))
-    score = 1 / (1 + F.exp(-(F.col("logit") + F.col("shift"))))
-    return joined.select("doc_id", score.alias("score"), (1 / (1 + F.exp(-F.col("logit")))).alias("document_score"), (score >= keep_from).alias("kept"))
+    others = (F.col("s") - F.col("e") + strength * F.col("host_rate")) / (F.col("n") - 1 + strength)
+    score = 1 / (1 + F.exp(-(F.col("logit") + _logit(others) - _logit(F.lit(mean)))))
+    return joined.select("doc_id", score.alias("score"), F.col("p").alias("document_score"), (score >= keep_from).alias("kept"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ filter over the text feeds a logistic output.  Gradients reach the winning windo
 score depends on the text alone.  Thresholds per language, for callers that want them, are calibrated
 on training rows kept apart from the fit, and shrunk to the common threshold where a language is rare.
 
-The network is fitted on at most about ``max_train`` labelled documents, chosen by a hash of doc_id.
+The network is fitted on at most about ``max_train`` labelled documents and ``max_bytes`` of their texts,
+chosen by a hash of doc_id; texts over ``max_text`` characters are scored but not fitted.
 
 Defined cases: null and empty texts have the score of a text without words; repeated rows are scored
-alike; an empty table gives no rows; without labels of both values every score is the share of label
+alike; a repeated label is the greater one, and a repeated doc_id is fitted once; an empty table gives no rows; without labels of both values every score is the share of label
 1, or 0; other columns are ignored.
 """
 
@@ -84,6 +85,29 @@ class Network:
         return np.concatenate(found)
 
 
+def gradients(net: Network, ids: np.ndarray, starts: np.ndarray, y: np.ndarray):
+    """Of the mean log loss: by output weights, bias, filters, and rows of embeddings with one gradient each."""
+    ends = np.r_[starts[1:], ids.shape[1]]
+    zs = net.windows(ids)
+    best = [np.array([z[a:b].argmax(axis=0) + a for a, b in zip(starts, ends)]) for z in zs]
+    top = [np.take_along_axis(z, k, axis=0) for z, k in zip(zs, best)]
+    pooled = np.concatenate([np.maximum(t, 0) for t in top], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.bias, -30, 30)))
+    error = ((p - y) / len(y)).astype(np.float32)
+    d_filters, rows, d_emb = [], [], []
+    for n, (w, k, t) in enumerate(zip(net.filters, best, top)):
+        part = error[:, None] * net.out[n * FILTERS : (n + 1) * FILTERS] * (t > 0)  # (docs, filters)
+        d_w = np.zeros_like(w)
+        for j in range(len(w)):
+            at = ids[:, np.minimum(k + j, ids.shape[1] - 1)]  # (word and stems, docs, filters)
+            d_w[j] = np.einsum("dfe,df->ef", net.embeddings[at].sum(axis=0), part)
+            for of in at:
+                rows.append(of.ravel())
+                d_emb.append((part[:, :, None] * w[j].T[None]).reshape(-1, DIM))
+        d_filters.append(d_w)
+    return error @ pooled, float(error.sum()), d_filters, np.concatenate(rows), np.concatenate(d_emb)
+
+
 def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.05, prior: float = 8.0, seed: int = 7) -> Network:
     """Adagrad over minibatches.  The first embedding dimension starts at the log-odds of the word or
     stem against the base rate, shrunk as by ``prior`` documents of it."""
@@ -113,37 +137,21 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rat
             chosen = order[lo : lo + batch]
             ids = np.concatenate([all_ids[i] for i in chosen], axis=1)
             starts = np.r_[0, np.cumsum([all_ids[i].shape[1] for i in chosen])[:-1]]
-            ends = np.r_[starts[1:], ids.shape[1]]
-            zs = net.windows(ids)
-            best = [np.array([z[a:b].argmax(axis=0) + a for a, b in zip(starts, ends)]) for z in zs]
-            top = [np.take_along_axis(z, k, axis=0) for z, k in zip(zs, best)]
-            pooled = np.concatenate([np.maximum(t, 0) for t in top], axis=1)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.bias, -30, 30)))
-            error = ((p - y[chosen]) / len(chosen)).astype(np.float32)
-            d_out = error @ pooled + 1e-4 * net.out
-            d_emb_rows, d_emb = [], []
-            for n, (w, k, t) in enumerate(zip(filters, best, top)):
-                part = error[:, None] * net.out[n * FILTERS : (n + 1) * FILTERS] * (t > 0)  # (docs, filters)
-                d_w = np.zeros_like(w)
-                for j in range(len(w)):
-                    at = ids[:, np.minimum(k + j, ids.shape[1] - 1)]  # (word and stems, docs, filters)
-                    d_w[j] = np.einsum("dfe,df->ef", emb[at].sum(axis=0), part)
-                    for of in at:
-                        d_emb_rows.append(of.ravel())
-                        d_emb.append((part[:, :, None] * w[j].T[None]).reshape(-1, DIM))
+            d_out, d_bias, d_filters, rows, d = gradients(net, ids, starts, y[chosen])
+            for n, (w, d_w) in enumerate(zip(filters, d_filters)):
                 g_filters[n] += d_w**2
                 w -= rate * d_w / np.sqrt(g_filters[n])
-            rows, d = np.concatenate(d_emb_rows), np.concatenate(d_emb)
             touched, back = np.unique(rows, return_inverse=True)
             summed = np.zeros((len(touched), DIM), np.float32)
             np.add.at(summed, back, d)
             g_emb[touched] += summed**2
             emb[touched] -= rate * summed / np.sqrt(g_emb[touched])
             emb[PAD] = 0
+            d_out += 1e-4 * net.out
             g_out += d_out**2
             net.out -= (rate * d_out / np.sqrt(g_out)).astype(np.float32)
-            g_bias += float(error.sum()) ** 2
-            net.bias -= rate * float(error.sum()) / g_bias**0.5
+            g_bias += d_bias**2
+            net.bias -= rate * d_bias / g_bias**0.5
     return net
 
 
@@ -164,21 +172,28 @@ class Toxicity:
     by_language: dict[str, float]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, shrink: float = 200.0) -> Toxicity:
-    """Fit on about ``max_train`` rows at most of ``labels``; a fifth of them calibrates thresholds."""
-    n = labels.count()
-    share = min(1.0, max_train / max(n, 1))
-    chosen = labels.where(F.col("toxic").isNotNull() & (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) < int(share * (1 << 20))))
-    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_bytes: int = 64 << 20, max_text: int = 200_000, shrink: float = 200.0) -> Toxicity:
+    """Fit on about ``max_train`` rows and ``max_bytes`` at most; a fifth of them calibrates thresholds."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id").toArrow()  # bounded by max_train
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).where(F.coalesce(F.length("text"), F.lit(0)) <= max_text)
+
+    def some(share: float) -> DataFrame:
+        chosen = known.where(hashed < int(share * (1 << 20)))
+        return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("lang").alias("lang"), F.first("toxic").alias("toxic"))
+
+    share = min(1.0, max_train / max(known.count(), 1))
+    size = some(share).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = some(share * min(1.0, max_bytes / max(size, 1))).toArrow()  # bounded by max_train and max_bytes
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    texts = [t or "" for t in rows.column("text").to_pylist()]
+    found = [t or "" for t in rows.column("text").to_pylist()]
     langs, y, ids = rows.column("lang").to_pylist(), rows.column("toxic").to_numpy().astype(np.float64), rows.column("doc_id").to_pylist()
     fits = [i for i in order if zlib.crc32(b"fold%d" % ids[i]) % 5]
     rest = [i for i in order if not zlib.crc32(b"fold%d" % ids[i]) % 5]
-    net = train([texts[i] for i in fits], y[fits])
-    scores, labels_ = net.scores([texts[i] for i in rest]), y[rest]
+    net = train([found[i] for i in fits], y[fits])
+    scores, labels_ = net.scores([found[i] for i in rest]), y[rest]
     common = best_threshold(scores, labels_)
     by = {}
     for lang in sorted({langs[i] for i in rest if langs[i] is not None}):
@@ -210,6 +225,6 @@ def toxicity_scores(docs: DataFrame, model: Toxicity) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # a null doc_id has no label
     scored = toxicity_scores(docs, fit(docs, labels.where(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

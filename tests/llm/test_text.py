@@ -179,6 +179,71 @@ def test_quality_held_out(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.25
 
 
+def brute_site_scores(rows, labels):
+    """Scores by hand: rows are (host, path, logit, label or None)."""
+    sig, logit = (lambda x: 1 / (1 + np.exp(-x))), (lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))))
+    p = np.array([sig(r[2]) for r in rows])
+    e = np.array([q if r[3] is None else r[3] for r, q in zip(rows, p)])
+    v = np.array([q * (1 - q) if r[3] is None else 0.0 for r, q in zip(rows, p)])
+
+    def strength(groups, priors):
+        n = np.array([len(g) for g in groups])
+        rate, own = np.array([e[g].mean() for g in groups]), np.array([v[g].mean() for g in groups])
+        mean = (n * rate).sum() / n.sum()
+        between = max(0.0, ((n * (rate - priors) ** 2).sum() - (rate * (1 - rate) - own).sum()) / n.sum())
+        return min(1e6, max(10.0, mean * (1 - mean) / between - 1)) if between > 0 else 1e6
+
+    of = lambda key: {k: [i for i, r in enumerate(rows) if key(r) == k] for k in {key(r) for r in rows}}
+    hosts, paths, mean = of(lambda r: r[0]), of(lambda r: r[:2]), e.mean()
+    at_host = strength(list(hosts.values()), mean)
+    host_rate = {h: (e[g].sum() + at_host * mean) / (len(g) + at_host) for h, g in hosts.items()}
+    at_path = strength(list(paths.values()), np.array([host_rate[k[0]] for k in paths]))
+    out = []
+    for i, r in enumerate(rows):
+        g = paths[r[:2]]
+        rate = (e[g].sum() - e[i] + at_path * host_rate[r[0]]) / (len(g) - 1 + at_path)
+        out.append(sig(r[2] + logit(rate) - logit(mean)))
+    return out
+
+
+def test_quality_equals_a_computation_by_hand(spark, monkeypatch):
+    """Site posteriors over real hosts and paths, with null ones, sparse ones and labels as evidence."""
+    from marlstone.llm import quality
+
+    rng = np.random.default_rng(19)
+    rows, good = [], {"good.org": 2.0, "bad.org": -2.0, None: 0.0, "mixed.org": 0.5}
+    for i in range(400):
+        host = ["good.org", "bad.org", None, "mixed.org"][int(rng.integers(0, 4))]
+        path = ["/a", "/b", None][int(rng.integers(0, 3))]
+        rows.append((host, path, float(good[host] + (path == "/b") + rng.normal()), float(rng.random() < 0.5) if i % 9 == 0 else None))
+    rows.append(("sparse.org", "/only", 0.3, None))
+    df = spark.createDataFrame([(i, str(r[2]), r[0], r[1]) for i, r in enumerate(rows)], "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int(r[3])) for i, r in enumerate(rows) if r[3] is not None] + [(None, 1), (0, None)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit_classifier", lambda *a: None)
+
+    def given(model):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "host", "path")] + [pa.array([float(t) for t in b.column("text").to_pylist()])], ["doc_id", "host", "path", "logit"])
+
+        return run
+
+    monkeypatch.setattr(quality, "_logit_rows", given)
+    got = [r["score"] for r in quality_scores(df, labels, "host", "path").orderBy("doc_id").collect()]
+    assert np.allclose(got, brute_site_scores(rows, labels), atol=1e-9)
+
+
+def test_quality_features_by_hand():
+    from marlstone.llm.quality import features
+
+    x = features(["ab ab é", "", "  "])
+    raw = "ab ab é".encode()
+    assert np.allclose(x[0, :256], [np.sqrt(raw.count(bytes([b])) / len(raw)) for b in range(256)])
+    assert np.allclose(x[0, 256:], [np.log(4), 2 / 3, 1 / 3, len(raw) / 30]) and not x[1:].any()
+
+
 def test_quality_odd(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, 0), (5, 0, None), (6, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = quality_scores(odd, labels).collect()
@@ -212,6 +277,88 @@ def test_toxicity_knows_forms_of_a_stem():
     assert ((scores > 0.5) == y[400:]).mean() > 0.95
 
 
+def naive_logit(net, text):
+    """The network written down plainly: one window, one filter, one product at a time."""
+    from marlstone.llm import toxicity as T
+
+    ids, _ = word_ids([text])
+    x = [sum(net.embeddings[ids[s, i]].astype(float) for s in range(len(ids))) for i in range(ids.shape[1])]
+    pooled = []
+    for w in net.filters:
+        for f in range(T.FILTERS):
+            best = 0.0
+            for i in range(ids.shape[1]):
+                if ids[0, i] != T.PAD:
+                    best = max(best, sum(float(x[i + j][d]) * float(w[j, d, f]) for j in range(len(w)) if i + j < len(x) for d in range(T.DIM)))
+            pooled.append(best)
+    return float(np.dot(pooled, net.out) + net.bias)
+
+
+def small_network(seed=20):
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40, int(n))) for n in rng.integers(0, 25, 40)]
+    y = (rng.random(40) < 0.4).astype(float)
+    return train(texts, y, epochs=2), texts, y
+
+
+def test_network_equals_a_naive_convolution():
+    net, texts, _ = small_network()
+    want = [naive_logit(net, t) for t in [*texts, "", "one"]]
+    assert np.allclose(net.logits(*word_ids([*texts, "", "one"])), want, atol=1e-4)
+
+
+def test_gradients_equal_numeric_ones():
+    """Of the log loss, by small changes of each parameter, in double precision."""
+    from marlstone.llm import toxicity as T
+
+    net, texts, y = small_network(21)
+    net.embeddings, net.filters, net.out = net.embeddings.astype(float), [w.astype(float) for w in net.filters], net.out.astype(float)
+    ids, starts = word_ids(texts)
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.logits(ids, starts)))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    def numeric(a, at, h=1e-5):
+        old, found = a[at], []
+        for step in (h, -h):
+            a[at] = old + step
+            found.append(loss())
+        a[at] = old
+        return (found[0] - found[1]) / (2 * h)
+
+    d_out, d_bias, d_filters, rows, d_emb = T.gradients(net, ids, starts, y)
+    rng = np.random.default_rng(22)
+    for k in range(len(net.out)):
+        assert abs(numeric(net.out, k) - d_out[k]) < 1e-5
+    for w, d in zip(net.filters, d_filters):
+        for _ in range(25):
+            at = tuple(int(rng.integers(0, n)) for n in w.shape)
+            assert abs(numeric(w, at) - d[at]) < 1e-5
+    for row in rng.choice(np.unique(rows[rows != T.PAD]), 12):
+        at = (int(row), int(rng.integers(0, T.DIM)))
+        assert abs(numeric(net.embeddings, at) - d_emb[rows == row, at[1]].sum()) < 1e-5
+    bias = net.bias
+    net.bias = bias + 1e-5
+    up = loss()
+    net.bias = bias - 1e-5
+    assert abs((up - loss()) / 2e-5 - d_bias) < 1e-5
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """By rows, by bytes, and without texts that are too long; a repeated doc_id counts once."""
+    from marlstone.llm import toxicity as T
+
+    seen = []
+    monkeypatch.setattr(T, "train", lambda texts, y: seen.append(texts) or train([], np.zeros(0)))
+    docs = spark.createDataFrame([(i % 500, "word " * 20) for i in range(1000)] + [(900, "long " * 1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(900, 1), (900, 0)], "doc_id long, toxic int")
+    for bounds in ({}, {"max_train": 100}, {"max_bytes": 100 * 20 * 5}):
+        fit(docs, labels, max_text=2000, **bounds)
+    assert all(len(t) < 2000 for texts in seen for t in texts)
+    assert 350 < len(seen[0]) <= 500 and 40 < len(seen[1]) < 130 and 40 < len(seen[2]) < 130
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, 0), (5, 0, 1), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = fit(odd, labels)
