@@ -81,9 +81,9 @@ def fingerprints(texts: list[str], shingle: int = 4, bits: int = 64, repeats: bo
     return out
 
 
-def distance_of(similarity: float, bits: int, deviations: float = 1.0) -> int:
+def distance_of(similarity: float, bits: int, deviations: float = 0.5) -> int:
     """Differing bits of two texts whose sets of shingles, of like size, have that Jaccard similarity:
-    as many as expected, and some deviations more."""
+    as many as expected, and half a deviation more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
@@ -205,7 +205,10 @@ def near_links(fps: DataFrame, threshold: int = 4, block: int = 1024) -> DataFra
 
     Not all pairs: enough to join what is linked.  See above for which pairs are sure to be found.
     """
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A task gets about 64 MB of replicas, of 32 bytes and the fingerprint each.
+    width = fps.select(F.max(F.octet_length("fp"))).first()[0] or 8
+    size = fps.count() * 17 * (width // 4) * (32 + width)
+    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
     at = fps.mapInArrow(_anchors, "anchor long, key long, fp binary")
     return at.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold, block), "a long, b long")
 

@@ -80,7 +80,7 @@ def _part_stops(text: str) -> str:
 
 
 class WordEncoder:
-    def __init__(self, path: str, max_words: int = 700_000):
+    def __init__(self, path: str, max_words: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -470,7 +470,7 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     for d, t in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
         best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), d)
     rows = [r for r in rows if r[0] in set(best.values())]
-    roots = brute_near([t for _, t in rows], 5, 256, 45)
+    roots = brute_near([t for _, t in rows], 5, 256, 42)
     rows = [r for i, r in enumerate(rows) if roots[i] == i]
     items = [" ".join(r["text"].split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {d for d, t in rows if not any(x in " ".join(t.split()) for x in items)}
