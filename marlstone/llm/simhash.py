@@ -9,8 +9,8 @@ the 2 bits).  Replicating each block to the 17 or fewer anchors within 2 therefo
 found where one block is near enough.  Each anchor compares the fingerprints that it holds, all of their
 bits, and passes on one link each to a representative, never all pairs.
 
-Equal fingerprints are folded first, so a large group of copies counts once.  An anchor with more
-fingerprints than ``block`` is compared in blocks, so memory stays bounded.  Fingerprints and components
+Equal fingerprints are folded first, so a large group of copies counts once.  An anchor with very many
+fingerprints is cut into parts, and every two parts are compared by a task.  Fingerprints and components
 that hold over a thousandth of all rows are broadcast, so their rows are not gathered in one task.
 
 Defined cases: null and empty texts, and those of white space, have fingerprint zero, which links
@@ -165,11 +165,13 @@ def _link_group(fps: np.ndarray, keys: np.ndarray, threshold: int, block: int, o
                     out.append((int(keys[i]), int(keys[j])))
 
 
-def _compare(threshold: int, block: int):
-    """Over rows sorted by anchor, of which a task has whole anchors: the links."""
+def _compare(threshold: int, block: int, most: int):
+    """Over rows sorted by anchor, of which a task has whole anchors: the links (a, b), and the rows
+    (anchor, key, fp) of anchors with over ``most`` fingerprints, which are passed on as they come."""
 
     def run(arrow):
-        last, pending = None, []
+        pending: list[tuple] = []  # the rows so far of the last anchor
+        passing = None  # an anchor that is passed on
 
         def links(anchors: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             out: list = []
@@ -180,37 +182,64 @@ def _compare(threshold: int, block: int):
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
                 _link_group(fps[s:e], keys[s:e], threshold, block, out)
             more = np.array(out, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[keys[near], more[:, 0]]), pa.array(np.r_[keys[near + 1], more[:, 1]])], ["a", "b"])
+            a, b = np.r_[keys[near], more[:, 0]], np.r_[keys[near + 1], more[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], ["a", "b", "fp"])
+
+        def passed(anchors: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(keys), pa.array([f.tobytes() for f in fps.astype(">u8")], pa.binary())], ["a", "b", "fp"])
 
         for batch in arrow:
-            if not batch.num_rows:
+            anchors, keys, fps = batch.column("anchor").to_numpy(), batch.column("key").to_numpy(), _words(batch)
+            if passing is not None:
+                cut = int(np.searchsorted(anchors != passing, True)) if (anchors != passing).any() else len(anchors)
+                if cut:
+                    yield passed(anchors[:cut], keys[:cut], fps[:cut])
+                anchors, keys, fps = anchors[cut:], keys[cut:], fps[cut:]
+                passing = passing if not len(anchors) else None
+            if not len(anchors):
                 continue
-            pending.append((batch.column("anchor").to_numpy(), batch.column("key").to_numpy(), _words(batch)))
-            if last is not None and pending[-1][0][-1] == pending[0][0][0]:
+            pending.append((anchors, keys, fps))
+            if anchors[-1] == pending[0][0][0] and sum(len(x[0]) for x in pending) <= most:
                 continue  # one anchor still
             anchors, keys, fps = (np.concatenate(x) for x in zip(*pending))
-            cut = int(np.searchsorted(anchors == anchors[-1], True))
-            last = anchors[-1]
-            pending = [(anchors[cut:], keys[cut:], fps[cut:])]
-            if cut:
-                yield links(anchors[:cut], keys[:cut], fps[:cut])
+            starts = np.r_[0, np.flatnonzero(np.diff(anchors)) + 1]
+            sizes = np.diff(np.r_[starts, len(anchors)])
+            for s, n in zip(starts[sizes > most], sizes[sizes > most]):
+                yield passed(anchors[s : s + n], keys[s : s + n], fps[s : s + n])
+            last = slice(starts[-1], None)
+            pending = [(anchors[last], keys[last], fps[last])] if sizes[-1] <= most else []
+            passing = anchors[-1] if sizes[-1] > most else None
+            keep = np.repeat((sizes <= most) & (np.arange(len(sizes)) < len(sizes) - 1), sizes)
+            if keep.any():
+                yield links(anchors[keep], keys[keep], fps[keep])
         if pending:
             yield links(*(np.concatenate(x) for x in zip(*pending)))
 
     return run
 
 
-def near_links(fps: DataFrame, threshold: int = 4, block: int = 1024) -> DataFrame:
+def near_links(fps: DataFrame, threshold: int = 4, block: int = 1024, most: int = 16_384) -> DataFrame:
     """Links (a, b) between the keys of the distinct fingerprints (``key``, ``fp``) within the threshold.
 
-    Not all pairs: enough to join what is linked.  See above for which pairs are sure to be found.
+    Not all pairs: enough to join what is linked.  See above for which pairs are sure to be found.  An
+    anchor with over ``most`` fingerprints is cut into parts, and a task compares two parts.
     """
     # A task gets about 64 MB of replicas, of 32 bytes and the fingerprint each.
     width = fps.select(F.max(F.octet_length("fp"))).first()[0] or 8
     size = fps.count() * 17 * (width // 4) * (32 + width)
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
-    at = fps.mapInArrow(_anchors, "anchor long, key long, fp binary")
-    return at.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold, block), "a long, b long")
+    at = fps.mapInArrow(_anchors, "anchor long, key long, fp binary").repartition(n, "anchor").sortWithinPartitions("anchor")
+    found = staged(at.mapInArrow(_compare(threshold, block, most), "a long, b long, fp binary"), "near-links")
+    links, hot = found.where("fp is null").select("a", "b"), found.where("fp is not null").select(F.col("a").alias("anchor"), F.col("b").alias("key"), "fp")
+    sizes = hot.groupBy("anchor").agg(F.ceil(2 * F.count("*") / most).alias("parts"))
+    if not sizes.limit(1).count():
+        return links
+    # A row of part c goes to the tasks of the pairs (c, 0), (c, 1) and so on, the lesser part first.
+    parted = hot.join(sizes, "anchor").withColumn("c", F.pmod(F.xxhash64("key"), "parts"))
+    paired = parted.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = F.xxhash64("anchor", F.least("c", "o"), F.greatest("c", "o"))
+    again = paired.select(pair.alias("anchor"), "key", "fp").repartition(n, "anchor").sortWithinPartitions("anchor")
+    return links.unionByName(again.mapInArrow(_compare(threshold, block, 1 << 62), "a long, b long, fp binary").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bits: int = 64, repeats: bool = True) -> DataFrame:

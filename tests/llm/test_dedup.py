@@ -93,9 +93,23 @@ def test_near_links_equal_brute_force(spark):
     fps = sorted(set(fps))
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     want = brute_components(len(fps), pairs)
-    links = near_links(spark.createDataFrame([(i, x.to_bytes(8)) for i, x in enumerate(fps)], "key long, fp binary"), block=16)
+    df = spark.createDataFrame([(i, x.to_bytes(8)) for i, x in enumerate(fps)], "key long, fp binary")
+    for most in (16_384, 5, 2):  # with few an anchor, those with more are compared part by part
+        got = {r["node"]: r["root"] for r in components(near_links(df, block=16, most=most)).collect()}
+        assert [got.get(i, i) for i in range(len(fps))] == want
+
+
+def test_a_hot_anchor_is_cut_into_parts(spark):
+    """Thousands of distinct fingerprints of one anchor: linked as by brute force, through pairs of parts."""
+    rng = np.random.default_rng(23)
+    near = sorted({0x0123456789ABCDEF ^ sum(1 << int(k) for k in rng.choice(64, 3, replace=False)) for _ in range(1500)})
+    far = sorted({int(x) for x in rng.integers(0, 2**63, 200)})
+    df = spark.createDataFrame([(i, x.to_bytes(8)) for i, x in enumerate(near + far)], "key long, fp binary")
+    links = near_links(df, most=100)
     got = {r["node"]: r["root"] for r in components(links).collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == want
+    pairs = [(i, j) for i in range(len(near)) for j in range(i) if (near[i] ^ near[j]).bit_count() <= 4]
+    assert [got.get(i, i) for i in range(len(near))] == brute_components(len(near), pairs)
+    assert not any(k >= len(near) for k in got)
 
 
 def test_wide_fingerprints_find_what_blocks_allow(spark):
