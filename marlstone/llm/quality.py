@@ -74,7 +74,7 @@ class Logistic:
 def _feature_rows(batches):
     for batch in batches:
         x = features(texts_of(batch))
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_train: int = 8000) ->
     share = min(1.0, max_train / max(n, 1))
     chosen = labelled(labels).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # bounded by max_train
-    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.first("text").alias("text"))
-    data = rows.select("y", "text").mapInArrow(_feature_rows, "y double, x array<float>").toArrow()
+    made = rows.select("doc_id", "y", "text").mapInArrow(_feature_rows, "doc_id long, y double, x array<float>")
+    data = made.groupBy("doc_id").agg(F.first("y").alias("y"), F.first("x").alias("x")).toArrow()
     y = data.column("y").to_numpy()
     x = np.array(data.column("x").combine_chunks().flatten(), np.float32).reshape(len(y), N_FEATURES)
     return Logistic.fit(x, y)
