@@ -49,35 +49,45 @@ def _widened(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: list[str], shingle: int = 4, bits: int = 64, repeats: bool = True) -> np.ndarray:
-    """(texts, bits / 64) unsigned words.  A bit is 1 if set in over half of the shingles' XXH64 hashes
-    (seed 42), repeats included or not; beyond 64 bits the hashes are mixed on."""
+def shingle_hashes(text: str, shingle: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle in order, repeats included; none for a text without words."""
     import xxhash
 
     hash64 = xxhash.xxh64_intdigest
-    out = np.zeros((len(texts), bits // 64), np.uint64)
+    words = text.encode().lower().split()  # bytes: ASCII letters and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    joined = b" ".join(words)
+    starts, at = [], 0
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    ends = starts[shingle:] + [at] if len(words) >= shingle else [at]
+    held = []
+    for lo in range(0, n, 65536):  # very long texts, block by block
+        held.append(np.array([hash64(joined[a : b - 1], 42) for a, b in zip(starts[lo : min(n, lo + 65536)], ends[lo : lo + 65536])], dtype="<u8"))
+    return np.concatenate(held)
+
+
+def voted(hashes: np.ndarray, bits: int = 64) -> np.ndarray:
+    """(bits / 64) unsigned words: a bit is 1 if set in over half of the hashes, mixed on beyond 64 bits."""
+    votes = np.zeros(bits, np.int64)
+    for lo in range(0, len(hashes), 65536 * 64 // bits):
+        wide = _widened(hashes[lo : lo + 65536 * 64 // bits], bits // 64)
+        votes += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return np.bitwise_or.reduce(np.where((votes * 2 > len(hashes)).reshape(-1, 64), weights, np.uint64(0)), axis=1)
+
+
+def fingerprints(texts: list[str], shingle: int = 4, bits: int = 64, repeats: bool = True) -> np.ndarray:
+    """(texts, bits / 64) unsigned words.  A bit is 1 if set in over half of the shingles' XXH64 hashes
+    (seed 42), repeats included or not; beyond 64 bits the hashes are mixed on."""
+    out = np.zeros((len(texts), bits // 64), np.uint64)
     for i, text in enumerate(texts):
-        words = text.encode().lower().split()  # bytes: ASCII letters and ASCII white space only
-        if not words:
-            continue
-        n = max(1, len(words) - shingle + 1)
-        joined = b" ".join(words)
-        starts, at = [], 0
-        for w in words:
-            starts.append(at)
-            at += len(w) + 1
-        ends = starts[shingle:] + [at] if len(words) >= shingle else [at]
-        votes, held = np.zeros(bits, np.int64), []
-        for lo in range(0, n, 65536):  # very long texts, block by block
-            held.append(np.array([hash64(joined[a : b - 1], 42) for a, b in zip(starts[lo : min(n, lo + 65536)], ends[lo : lo + 65536])], dtype="<u8"))
-        hashes = np.concatenate(held)
-        if not repeats:
-            hashes = np.unique(hashes)
-        for lo in range(0, len(hashes), 65536 * 64 // bits):
-            wide = _widened(hashes[lo : lo + 65536 * 64 // bits], bits // 64)
-            votes += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[i] = np.bitwise_or.reduce(np.where((votes * 2 > len(hashes)).reshape(-1, 64), weights, np.uint64(0)), axis=1)
+        hashes = shingle_hashes(text, shingle)
+        if len(hashes):
+            out[i] = voted(hashes if repeats else np.unique(hashes), bits)
     return out
 
 

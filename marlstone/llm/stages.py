@@ -1,6 +1,7 @@
 """Filtering stages: operators whose decisions remove rows of `documents`, all columns kept.
 
-Near copies are those of a similarity of 0.8 or more on shingles of five words, by SimHash of 256 bits.
+Near copies are those of a similarity of 0.8 or more on shingles of five words, by SimHash of 256 bits; pairs
+of that Jaccard similarity which SimHash or its anchors miss are found by their sets of shingles (see similar).
 
 Defined cases: rows without a doc_id can't be named by a decision and stay; rows of a repeated doc_id go
 together; null and empty texts are decided like others; an empty table stays empty; further columns of
@@ -17,11 +18,12 @@ from marlstone.llm.exactdup import exact_duplicates
 from marlstone.llm.packing import pack
 from marlstone.llm.quality import quality_scores
 from marlstone.llm.shared import small_side, staged, table
-from marlstone.llm.simhash import distance_of, near_duplicates
+from marlstone.llm.similar import similar_texts
+from marlstone.llm.simhash import distance_of
 
 
-#: Of near copies: words of a shingle, bits of a fingerprint.
-SHINGLE, BITS, SIMILARITY = 5, 256, 0.8
+#: Of near copies: words of a shingle, bits of a fingerprint, least similarity as a fraction.
+SHINGLE, BITS, SIMILARITY = 5, 256, (4, 5)
 
 
 def without(docs: DataFrame, ids: DataFrame, limit: int = 1_000_000) -> DataFrame:
@@ -42,7 +44,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, SHINGLE, distance_of(SIMILARITY, BITS), BITS, repeats=False)
+    found = similar_texts(docs, SHINGLE, SIMILARITY, BITS, distance_of(SIMILARITY[0] / SIMILARITY[1], BITS))
     return without(docs, found.where("doc_id <> component_id"))
 
 

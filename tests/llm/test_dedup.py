@@ -11,6 +11,7 @@ from marlstone.llm import exactdup
 from marlstone.llm.exactdup import ExtendibleIndex, exact_duplicates
 from marlstone.llm.linedup import RunLevels, drop_frequent_lines, sorted_runs
 from marlstone.llm.links import components
+from marlstone.llm.similar import Least, similar_texts
 from marlstone.llm.simhash import anchor_masks, distance_of, fingerprint, fingerprints, near_duplicates, near_links
 
 
@@ -149,6 +150,103 @@ def test_similar_texts_are_linked_and_others_not(spark):
     assert len({got[a] for a, _, _ in pairs}) == len(pairs)
 
 
+def word_sets(texts, shingle=5):
+    words = [(t or "").encode().lower().split() for t in texts]
+    return [{b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
+
+
+def brute_similar(texts, anchors=True, least=3):
+    """Components by all pairs: a Jaccard similarity of 0.8 or more, or fingerprints within 42 bits; these
+    of a similarity of ``least`` / 5 or more, or at one anchor."""
+    sets = word_sets(texts)
+    fps = [sum(int(w) << (64 * k) for k, w in enumerate(f)) for f in fingerprints([t or "" for t in texts], 5, 256, repeats=False)]
+    at = [plain_anchors(f, 8) if anchors else set() for f in fps]
+
+    def linked(i, j):
+        common, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        return 5 * common >= 4 * union or ((fps[i] ^ fps[j]).bit_count() <= 42 and (5 * common >= least * union or bool(at[i] & at[j])))
+
+    return brute_components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if linked(i, j)])
+
+
+def within(parts, wholes):
+    """Whether each component of ``parts`` lies in one of ``wholes``."""
+    return len(set(zip(parts, wholes))) == len(set(parts))
+
+
+def edited_texts(seed=31):
+    """Copies about the threshold, of long and short texts, in pairs, chains and a large group, some with
+    a common passage; cuts of texts; and texts at 4/5 exactly."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(2000)]
+    passage = list(rng.choice(words, 60))
+    edit = lambda t, share: [w if rng.random() > share else f"e{rng.integers(10**9)}" for w in t]
+    texts = [None, "", " \n", "one", "One", "one two", "a b c d e f g h", "a b c d e f g h i", "a b c d e f g h i j"]
+    for i in range(120):
+        text = list(rng.choice(words, int(rng.integers(8, 400)))) + (passage if i % 3 == 0 else [])
+        for share in (0.012, 0.02, 0.03):
+            texts.append(" ".join(edit(text, share)))
+        texts += [" ".join(text), " ".join(text[: int(len(text) * 0.82)])]
+    base = list(rng.choice(words, 150))
+    for i in range(150):
+        base = edit(base, 0.012) if i % 5 == 0 else base
+        texts.append(" ".join(edit(base, 0.012)))
+    return [texts[i] for i in rng.permutation(len(texts))]
+
+
+@pytest.mark.parametrize("most", [16_384, 20])
+def test_near_copies_equal_brute_force(spark, most):
+    """No pair at a threshold is lost and no other is linked, also where groups are cut into parts."""
+    texts = edited_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts(df, most=most).collect()}
+    got = [got[i] for i in range(len(texts))]
+    assert within(brute_similar(texts), got) and within(got, brute_similar(texts, least=0))
+
+
+def test_near_copies_stage_keeps_what_brute_force_keeps(spark):
+    from marlstone.llm.stages import drop_near_copies
+
+    texts = edited_texts(37)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in drop_near_copies(spark, df, "").collect()}
+    least, most = ({i for i, r in enumerate(brute_similar(texts, least=k)) if r == i} for k in (0, 3))
+    assert least <= kept <= most
+
+
+def test_near_copies_without_anchors(spark, monkeypatch):
+    """Without the anchors' links the prefixes give all of 0.6 or more within the threshold, and of 0.8."""
+    from marlstone.llm import similar
+
+    monkeypatch.setattr(similar, "near_links", lambda found, threshold: found.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0))
+    texts = edited_texts(41)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts(df).collect()}
+    got = [got[i] for i in range(len(texts))]
+    assert within(brute_similar(texts, anchors=False), got) and within(got, brute_similar(texts, least=0))
+
+
+def test_sizes_that_a_similarity_asks_for():
+    """The bounds hold for all small sizes: as many as needed and no more."""
+    least = Least(4, 5)
+    for n in range(1, 60):
+        assert least.prefix(n) == n - min(o for o in range(n + 1) if 5 * o >= 4 * n) + 1
+        assert least.short_prefix(n) == n - min(o for o in range(n + 1) if 5 * o >= 4 * (2 * n - o)) + 1
+        for m in range(1, 60):
+            assert least.shared(n, m) == min(o for o in range(n + m) if 5 * o >= 4 * (n + m - o))
+
+
+def test_similar_texts_odd(spark, odd, empty):
+    rows = odd.collect()
+    roots, least = brute_similar([r["text"] for r in rows]), defaultdict(list)
+    for r, root in zip(rows, roots):
+        if r["doc_id"] is not None:
+            least[root].append(r["doc_id"])
+    want = Counter((r["doc_id"], min(least[root], default=None)) for r, root in zip(rows, roots))
+    assert Counter(map(tuple, similar_texts(odd).collect())) == want
+    assert similar_texts(empty).count() == 0
+
+
 def test_wide_fingerprint_counts_votes():
     text = "one two three four five six seven " + "again " * 40
     once, all_ = (fingerprints([text], 5, 256, r)[0] for r in (False, True))
