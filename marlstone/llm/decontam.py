@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import arrow_batches, hold, staged, table, texts_of
+from marlstone.llm.shared import arrow_batches, hold, staged, table, texts_of, tidy
 
 _PARTS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 FOUND = "doc_id long, item_id long, cosine double, overlap double, answer double"
@@ -134,6 +134,7 @@ def answer_of(item: np.ndarray) -> np.ndarray:
 def _positions(hashes):
     """Of each text its term ids."""
 
+    @tidy
     def run(batches):
         look = TermIds(hashes.value)
         for batch in batches:
@@ -157,6 +158,7 @@ def _occurrences(own: int, window: int):
     """Term -1 counts the passages."""
     size = own + HASHED
 
+    @tidy
     def run(batches):
         total, passages = np.zeros(size, np.int64), 0
         for batch in batches:
@@ -197,6 +199,7 @@ def noise_of(size: int, columns: int, seed: int) -> np.ndarray:
 def _range_sums(idf, window: int, columns: int, seed: int):
     """Parts of A'Y, ``TERMS_A_ROW`` terms each."""
 
+    @tidy
     def run(batches):
         weights = np.r_[idf.value, np.float32(0)]  # the pad has none
         size = len(weights)
@@ -246,7 +249,7 @@ def latent_basis(terms: DataFrame, idf: np.ndarray, window: int, rank: int, over
     spark, columns = terms.sparkSession, rank + oversample
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = terms.mapInArrow(_range_sums(hold(spark, idf), window, columns, seed), "part long, data binary")
-    summed = made.repartition(n, "part").mapInArrow(_sum_parts, "part long, data binary").toArrow()
+    summed = made.repartition(n, "part").mapInArrow(tidy(_sum_parts), "part long, data binary").toArrow()
     back = np.zeros((len(idf) + (-len(idf) % TERMS_A_ROW), columns))
     for k, data in zip(summed.column("part").to_pylist(), summed.column("data").to_pylist()):
         back[k * TERMS_A_ROW : (k + 1) * TERMS_A_ROW] = np.frombuffer(data).reshape(TERMS_A_ROW, columns)
@@ -359,6 +362,7 @@ def aligned(item: np.ndarray, region: np.ndarray, idf: np.ndarray, near: bool, s
 
 
 def _search(held, window: int, cosine: float, sure: float, maybe: float, weak: float, answer: float, min_words: int):
+    @tidy
     def run(batches):
         items, basis, latent = held.value
         step = window // 4 * 3

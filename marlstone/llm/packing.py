@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.llm.shared import arrow_batches, last_at_most, small_side, staged, table, texts_of
+from marlstone.llm.shared import arrow_batches, last_at_most, small_side, staged, table, texts_of, tidy
 from marlstone.llm.tokens import encode_in_blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 #: Of each length its slots, by rank: the first rank, sequence and offset of each.
-PLAN = "length long, froms array<long>, firsts array<long>, offsets array<long>"
+PLAN = pa.schema([("length", pa.int64()), *((name, pa.list_(pa.int64())) for name in ("froms", "firsts", "offsets"))])
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -90,7 +90,7 @@ def _pieces(path: str, end_id: int, capacity: int):
             names = [c.split()[0] for c in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names)
 
-    return run
+    return tidy(run, cached=True)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -108,9 +108,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for length, rank_from, _, first, offset in slots:
         by_length[length].append((rank_from, first, offset))
-    rows = [(length, *map(list, zip(*sorted(of)))) for length, of in by_length.items()]
+    rows = [dict(zip(PLAN.names, (length, *map(list, zip(*sorted(of)))))) for length, of in by_length.items()]
     # A row a length; its slots are found by binary search, so a piece meets one row, not each slot.
-    plan = spark.createDataFrame(rows, PLAN)
+    # By Arrow: from a list, each executor would start a second Python daemon with workers of its own.
+    plan = spark.createDataFrame(pa.Table.from_pylist(rows, PLAN))
     steps = max((len(of) for of in by_length.values()), default=1).bit_length()
     ranked = pieces.join(starts, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local_rank"))
     placed = ranked.join(small_side(plan, len(slots), 1_000_000), "length").withColumn("slot", last_at_most(F.col("froms"), F.col("rank"), steps))

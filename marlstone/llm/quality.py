@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import arrow_batches, hold, small_side, staged, table, texts_of
+from marlstone.llm.shared import arrow_batches, hold, small_side, staged, table, texts_of, tidy
 
 N_FEATURES = 256 + 4
 
@@ -89,7 +89,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_train: int = 8000) ->
     share = min(1.0, max_train / max(n, 1))
     chosen = labelled(labels).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # bounded by max_train
-    made = rows.select("doc_id", "y", "text").mapInArrow(_feature_rows, "doc_id long, y double, x array<float>")
+    made = rows.select("doc_id", "y", "text").mapInArrow(tidy(_feature_rows), "doc_id long, y double, x array<float>")
     data = made.groupBy("doc_id").agg(F.first("y").alias("y"), F.first("x").alias("x")).toArrow()
     y = data.column("y").to_numpy()
     x = np.array(data.column("x").combine_chunks().flatten(), np.float32).reshape(len(y), N_FEATURES)
@@ -97,6 +97,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_train: int = 8000) ->
 
 
 def _logit_rows(model):
+    @tidy
     def run(batches):
         for batch in batches:
             logit = model.value.logit(features(texts_of(batch))).astype(np.float64)

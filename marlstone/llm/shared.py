@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -93,10 +94,34 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def trim() -> None:
+    """Give back the memory that this process does not use."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run, cached: bool = False):
+    """``run``, after which the worker gives back the memory that it does not use: workers serve later stages too.
+
+    Unless ``run`` uses the worker's cache, what other operators left there goes first."""
+
+    def tidied(arrow):
+        if not cached and worker_cache():
+            worker_cache().clear()
+            trim()
+        yield from run(arrow)
+        trim()
+
+    return tidied
+
+
 def worker_cache() -> dict:
     """A dict that lasts as long as the Python process, for vocabularies and word caches."""
     name = "_marlstone_worker_cache"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("kept", {})
 
 
 def hold(spark: SparkSession, value):

@@ -23,15 +23,13 @@ shingle; a null doc_id belongs to a component but never names it unless it has n
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.links import components
-from marlstone.llm.shared import HOT, arrow_batches, hold, join_by_class, small_side, staged, texts_of
+from marlstone.llm.shared import HOT, arrow_batches, hold, join_by_class, small_side, staged, texts_of, tidy
 from marlstone.llm.simhash import _distances, near_links, shingle_hashes, voted
 
 #: Bits of a set's parities; documents of the sample; frequent shingles held of it; keys a task remembers;
@@ -39,20 +37,6 @@ from marlstone.llm.simhash import _distances, near_links, shingle_hashes, voted
 PARITIES, SAMPLE, HELD, SEEN, LARGE = 512, 20_000, 500_000, 50_000, 64
 
 
-def _tidy(run):
-    """``run``, after which the worker gives back the memory that it does not use."""
-
-    def tidied(arrow):
-        yield from run(arrow)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library
-
-    return tidied
-
-
 def _set_of(text: str, shingle: int) -> tuple[int, np.ndarray]:
     """The key and the sorted hashes of a text's set of shingles."""
     import xxhash
@@ -104,7 +88,7 @@ def _all_hashes(shingle: int):
 def frequent_shingles(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles that are frequent in a sample, and how frequent by powers of two."""
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // SAMPLE))) == 0)
-    counted = sample.mapInArrow(_tidy(_all_hashes(shingle)), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    counted = sample.mapInArrow(tidy(_all_hashes(shingle)), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     levels = staged(counted.select("h", F.floor(F.log2("n")).cast("int").alias("level")), "shingle-levels")
     least, held = 64, 0
     for level, n in sorted(((r["level"], r["n"]) for r in levels.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
@@ -309,12 +293,12 @@ def _checked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: in
     used = staged(ends.groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).join(classes.select("key", "least"), "key"), "similar-used")
     named = used.select(F.col("least").alias("id")).distinct()
     theirs = texts.join(small_side(named, used.count(), 1_000_000), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = theirs.mapInArrow(_tidy(_set_rows(shingle)), "key long, hashes binary").dropDuplicates(["key"])
+    sets = theirs.mapInArrow(tidy(_set_rows(shingle)), "key long, hashes binary").dropDuplicates(["key"])
     sets = staged(used.join(sets, "key").select("key", "hashes", "l", "r"), "similar-sets")
     n = pairs.count()
     left = join_by_class(pairs, sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"), "l"), ["a"], F.col("l") * HOT > n)
     both = join_by_class(left, sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"), "r"), ["b"], F.col("r") * HOT > n)
-    return staged(both.select("a", "b", "x", "y").mapInArrow(_tidy(_alike(least)), "a long, b long"), "similar-checked")
+    return staged(both.select("a", "b", "x", "y").mapInArrow(tidy(_alike(least)), "a long, b long"), "similar-checked")
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -349,7 +333,7 @@ def similar_texts(
     spark, least, loose = docs.sparkSession, Least(*similarity), Least(*compared)
     arrow_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged(texts.mapInArrow(_tidy(_class_rows(shingle, bits)), "doc_id long, key long, fp binary, parities binary"), "similar-rows")
+    rows = staged(texts.mapInArrow(tidy(_class_rows(shingle, bits)), "doc_id long, key long, fp binary, parities binary"), "similar-rows")
     classes = staged(rows.groupBy("key", "fp", "parities").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "similar-classes")
     links = near_links(classes.select("key", "fp"), threshold).select("a", "b")
 
@@ -357,15 +341,15 @@ def similar_texts(
     count = rows.count()
     frequent = hold(spark, frequent_shingles(texts, count, shingle))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 160 * 40 // (64 << 20)))
-    prefixes = texts.mapInArrow(_tidy(_prefixes(shingle, loose, frequent)), "h long, key long, n int, place int").repartition(parts, "h").sortWithinPartitions("h")
-    shared = staged(prefixes.mapInArrow(_tidy(_shared_rows(loose, most)), "h long, key long, n int, place int, large boolean"), "similar-shared")
+    prefixes = texts.mapInArrow(tidy(_prefixes(shingle, loose, frequent)), "h long, key long, n int, place int").repartition(parts, "h").sortWithinPartitions("h")
+    shared = staged(prefixes.mapInArrow(tidy(_shared_rows(loose, most)), "h long, key long, n int, place int, large boolean"), "similar-shared")
     shared = staged(shared.join(classes.select("key", "fp", "parities"), "key").select("h", "key", "n", "place", "fp", "parities", "large"), "similar-compared")
     tested = None
     for star in (True, False):
         links = staged(links, "similar-links")
         rooted = _rooted(shared.where("large") if star else shared, links)
         grouped = (rooted if star else _parted(rooted, most)).repartition(parts, "h").sortWithinPartitions("h", "key")
-        found = staged(grouped.mapInArrow(_tidy(_pairs(loose, least, threshold, most, star)), "a long, b long, sure boolean").distinct(), "similar-found")
+        found = staged(grouped.mapInArrow(tidy(_pairs(loose, least, threshold, most, star)), "a long, b long, sure boolean").distinct(), "similar-found")
         pairs = found.where("not sure").select("a", "b")
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs") if tested else pairs
         links = links.unionByName(found.where("sure").select("a", "b")).unionByName(_checked(pairs, texts, classes, shingle, least))

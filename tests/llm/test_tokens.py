@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from marlstone.llm import packing, shared
 from marlstone.llm.packing import pack, plan_best_fit
 from marlstone.llm.tokenfile import EliasFano, ShardReader, ShardWriter, read_token_files, write_token_files
 from marlstone.llm.tokens import _LETTERS, _WHOLE, WordEncoder, _has_runs
@@ -145,6 +147,28 @@ def test_each_piece_meets_its_slot_once(spark):
     assert len(fill) == len({first + k for _, a, b, first, _ in slots for k in range(b - a)})
 
 
+def test_the_plan_starts_no_python_workers_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three"), (3, None)], "doc_id long, text string")
+    assert "ExistingRDD" not in pack(docs, BYTE)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_workers_give_memory_back_after_packing(monkeypatch):
+    trimmed = []
+    monkeypatch.setattr(shared, "trim", lambda: trimmed.append(1))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two"]})
+    assert [b.num_rows for b in packing._pieces(BYTE, 2, 1024)([batch])] == [1] and trimmed
+
+
+def test_other_operators_drop_the_words_that_packing_keeps(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    shared.worker_cache()["encoder"] = "kept"
+    list(packing._pieces(BYTE, 2, 1024)([]))
+    assert shared.worker_cache()["encoder"] == "kept"
+    list(shared.tidy(iter)([]))
+    assert not shared.worker_cache()
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(1).integers(1, 3000, 20000)).astype(np.uint64)
     size = sum(map(len, EliasFano.encode(values).parts()))
