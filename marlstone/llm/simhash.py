@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.links import components
-from marlstone.llm.shared import HOT, arrow_batches, join_by_class, staged, table, texts_of
+from marlstone.llm.shared import HOT, arrow_batches, join_by_class, staged, table, texts_of, tidy
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
@@ -99,6 +99,7 @@ def distance_of(similarity: float, bits: int, deviations: float = 0.5) -> int:
 
 
 def _fingerprint_rows(shingle: int, bits: int, repeats: bool):
+    @tidy
     def run(arrow):
         for batch in arrow:
             found = fingerprints(texts_of(batch), shingle, bits, repeats).astype(">u8")
@@ -179,6 +180,7 @@ def _compare(threshold: int, block: int, most: int):
     """Over rows sorted by anchor, of which a task has whole anchors: the links (a, b), and the rows
     (anchor, key, fp) of anchors with over ``most`` fingerprints, which are passed on as they come."""
 
+    @tidy
     def run(arrow):
         pending: list[tuple] = []  # the rows so far of the last anchor
         passing = None  # an anchor that is passed on
@@ -238,7 +240,7 @@ def near_links(fps: DataFrame, threshold: int = 4, block: int = 1024, most: int
     width = fps.select(F.max(F.octet_length("fp"))).first()[0] or 8
     size = fps.count() * 17 * (width // 4) * (32 + width)
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
-    at = fps.mapInArrow(_anchors, "anchor long, key long, fp binary").repartition(n, "anchor").sortWithinPartitions("anchor")
+    at = fps.mapInArrow(tidy(_anchors), "anchor long, key long, fp binary").repartition(n, "anchor").sortWithinPartitions("anchor")
     found = staged(at.mapInArrow(_compare(threshold, block, most), "a long, b long, fp binary"), "near-links")
     links, hot = found.where("fp is null").select("a", "b"), found.where("fp is not null").select(F.col("a").alias("anchor"), F.col("b").alias("key"), "fp")
     sizes = hot.groupBy("anchor").agg(F.ceil(2 * F.count("*") / most).alias("parts"))

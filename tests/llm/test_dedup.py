@@ -3,11 +3,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marlstone.llm import exactdup
+from marlstone.llm import exactdup, shared, simhash
 from marlstone.llm.exactdup import ExtendibleIndex, exact_duplicates
 from marlstone.llm.linedup import RunLevels, drop_frequent_lines, sorted_runs
 from marlstone.llm.links import components
@@ -100,6 +101,15 @@ def test_near_links_equal_brute_force(spark):
         assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+def test_workers_give_memory_back_after_fingerprints_and_comparing(monkeypatch):
+    trimmed = []
+    monkeypatch.setattr(shared, "trim", lambda: trimmed.append(1))
+    texts = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two"]})
+    assert [b.num_rows for b in simhash._fingerprint_rows(4, 64, True)([texts])] == [1] and len(trimmed) == 1
+    rows = pa.RecordBatch.from_pydict({"anchor": [5, 5], "key": [1, 2], "fp": [b"12345678", b"12345679"]})
+    assert [b.num_rows for b in simhash._compare(4, 1024, 99)([rows])] == [1] and len(trimmed) == 2
+
+
 def test_a_hot_anchor_is_cut_into_parts(spark):
     """Thousands of distinct fingerprints of one anchor: linked as by brute force, through pairs of parts."""
     rng = np.random.default_rng(23)
