@@ -301,10 +301,14 @@ def _checked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: in
     return staged(both.select("a", "b", "x", "y").mapInArrow(tidy(_alike(least)), "a long, b long"), "similar-checked")
 
 
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _roots(links: DataFrame) -> DataFrame:
+    """(key, root) of every key that ``links`` (a, b) names."""
+    return staged(components(links).withColumnRenamed("node", "key"), "similar-roots")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` with the root of their key, which is the key itself where nothing links it."""
-    roots = components(links).withColumnRenamed("node", "key")
-    return rows.join(staged(roots, "similar-roots"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def _parted(rows: DataFrame, most: int) -> DataFrame:
@@ -335,7 +339,7 @@ def similar_texts(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = staged(texts.mapInArrow(tidy(_class_rows(shingle, bits)), "doc_id long, key long, fp binary, parities binary"), "similar-rows")
     classes = staged(rows.groupBy("key", "fp", "parities").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "similar-classes")
-    links = near_links(classes.select("key", "fp"), threshold).select("a", "b")
+    roots = _roots(near_links(classes.select("key", "fp"), threshold).select("a", "b"))
 
     # The rest by prefixes, among what is not linked yet.  A task gets about 64 MB of prefixes.
     count = rows.count()
@@ -346,18 +350,19 @@ def similar_texts(
     shared = staged(shared.join(classes.select("key", "fp", "parities"), "key").select("h", "key", "n", "place", "fp", "parities", "large"), "similar-compared")
     tested = None
     for star in (True, False):
-        links = staged(links, "similar-links")
-        rooted = _rooted(shared.where("large") if star else shared, links)
+        rooted = _rooted(shared.where("large") if star else shared, roots)
         grouped = (rooted if star else _parted(rooted, most)).repartition(parts, "h").sortWithinPartitions("h", "key")
         found = staged(grouped.mapInArrow(tidy(_pairs(loose, least, threshold, most, star)), "a long, b long, sure boolean").distinct(), "similar-found")
         pairs = found.where("not sure").select("a", "b")
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs") if tested else pairs
-        links = links.unionByName(found.where("sure").select("a", "b")).unionByName(_checked(pairs, texts, classes, shingle, least))
+        links = found.where("sure").select("a", "b").unionByName(_checked(pairs, texts, classes, shingle, least))
+        # The roots join all that earlier links do, by one link a key; so those need not be followed again.
+        roots = _roots(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(links))
         tested = pairs
     frequent.unpersist()
 
-    roots = staged(_rooted(classes.select("key", "least", "n"), links), "similar-linked")
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
-    joined = join_by_class(roots, named, ["root"], F.col("size") * HOT > roots.count())
+    linked = staged(_rooted(classes.select("key", "least", "n"), roots), "similar-linked")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    joined = join_by_class(linked, named, ["root"], F.col("size") * HOT > linked.count())
     of_key = staged(joined.select("key", "n", "component_id"), "similar-components")
     return join_by_class(rows, of_key, ["key"], F.col("n") * HOT > count).select("doc_id", "component_id")

@@ -236,6 +236,28 @@ def test_near_copies_without_anchors(spark, monkeypatch):
     assert within(brute_similar(texts, anchors=False), got) and within(got, brute_similar(texts, least=0))
 
 
+def test_links_of_near_copies_are_followed_once(spark, monkeypatch):
+    """Anchors link a text to many others; later rounds of links start from one link a text instead."""
+    from marlstone.llm import similar
+
+    rng = np.random.default_rng(43)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(200):
+        at = set(rng.choice(150, 2, replace=False))
+        texts.append(" ".join(f"e{i}x{k}" if k in at else w for k, w in enumerate(base)))
+    given = []
+
+    def counted(links):
+        given.append(links.distinct().count())
+        return components(links)
+
+    monkeypatch.setattr(similar, "components", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts(df).collect()}
+    assert got == dict.fromkeys(range(len(texts)), 0)
+    assert given[0] > 5 * len(texts) and len(given) == 3 and max(given[1:]) <= 2 * len(texts)
+
+
 def test_sizes_that_a_similarity_asks_for():
     """The bounds hold for all small sizes: as many as needed and no more."""
     least = Least(4, 5)
