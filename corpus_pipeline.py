@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import stages
-from marlstone.llm.shared import staged, table
+from marlstone.llm.shared import forget, staged, table
 
 STAGES = [
     ("quality", stages.drop_low_quality),
@@ -25,5 +25,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

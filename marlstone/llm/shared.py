@@ -47,12 +47,32 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: With this setting a statement's shuffle files go when it ends, not when the driver collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The files that its shuffles left on the executors go at once; nothing else reads them."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before) if before else spark.conf.unset(CLEAN)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_at = path
+    return made
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete those of ``tables`` that are staged; nothing may read them any more."""
+    for t in tables:
+        if path := vars(t).get("staged_at"):
+            drop_path(t.sparkSession, path)
 
 
 #: A key with over a HOT-th of all rows is hot; so there are fewer than HOT of them, at any size.

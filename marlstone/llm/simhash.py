@@ -22,6 +22,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,8 +130,12 @@ def anchor_masks() -> list[list[int]]:
     return masks
 
 
-def _anchors(arrow):
-    """(anchor, key, fp) for each block of a fingerprint: the anchor's word, with the block's number above."""
+def _anchors(at: int):
+    """(anchor, key, fp) for both blocks of a fingerprint's word ``at``: the anchor's word, with the block's number above."""
+    return lambda arrow: _anchors_of(arrow, at)
+
+
+def _anchors_of(arrow, at: int):
     masks = anchor_masks()
     checks = [sum(1 << (j - 1) for j in range(1, 32) if j >> b & 1) for b in range(5)]
     table = np.zeros((32, 17), np.uint64)
@@ -141,8 +146,8 @@ def _anchors(arrow):
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
             fps = _words(part)
-            for block in range(2 * fps.shape[1]):
-                word = (fps[:, block // 2] >> np.uint64(32 * (block % 2))) & np.uint64(0xFFFFFFFF)
+            for block in (2 * at, 2 * at + 1):
+                word = (fps[:, at] >> np.uint64(32 * (block % 2))) & np.uint64(0xFFFFFFFF)
                 syndrome = sum((np.bitwise_count(word & np.uint64(c)).astype(np.int64) & 1) << b for b, c in enumerate(checks))
                 reach = (word[:, None] ^ table[syndrome]) | np.uint64(block << 32)
                 valid = np.arange(17)[None, :] < size[syndrome][:, None]
@@ -234,13 +239,19 @@ def near_links(fps: DataFrame, threshold: int = 4, block: int = 1024, most: int
     """Links (a, b) between the keys of the distinct fingerprints (``key``, ``fp``) within the threshold.
 
     Not all pairs: enough to join what is linked.  See above for which pairs are sure to be found.  An
-    anchor with over ``most`` fingerprints is cut into parts, and a task compares two parts.
+    anchor with over ``most`` fingerprints is cut into parts, and a task compares two parts.  Wide
+    fingerprints have many anchors; those of a word at a time are on disk.
     """
     # A task gets about 64 MB of replicas, of 32 bytes and the fingerprint each.
     width = fps.select(F.max(F.octet_length("fp"))).first()[0] or 8
-    size = fps.count() * 17 * (width // 4) * (32 + width)
+    size = fps.count() * 34 * (32 + width)
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
-    at = fps.mapInArrow(tidy(_anchors), "anchor long, key long, fp binary").repartition(n, "anchor").sortWithinPartitions("anchor")
+    return reduce(DataFrame.unionByName, [_word_links(fps, k, n, threshold, block, most) for k in range(width // 8)])
+
+
+def _word_links(fps: DataFrame, word: int, n: int, threshold: int, block: int, most: int) -> DataFrame:
+    """The links of the anchors of one word."""
+    at = fps.mapInArrow(tidy(_anchors(word)), "anchor long, key long, fp binary").repartition(n, "anchor").sortWithinPartitions("anchor")
     found = staged(at.mapInArrow(_compare(threshold, block, most), "a long, b long, fp binary"), "near-links")
     links, hot = found.where("fp is null").select("a", "b"), found.where("fp is not null").select(F.col("a").alias("anchor"), F.col("b").alias("key"), "fp")
     sizes = hot.groupBy("anchor").agg(F.ceil(2 * F.count("*") / most).alias("parts"))
@@ -251,7 +262,7 @@ def near_links(fps: DataFrame, threshold: int = 4, block: int = 1024, most: int
     paired = parted.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     pair = F.xxhash64("anchor", F.least("c", "o"), F.greatest("c", "o"))
     again = paired.select(pair.alias("anchor"), "key", "fp").repartition(n, "anchor").sortWithinPartitions("anchor")
-    return links.unionByName(again.mapInArrow(_compare(threshold, block, 1 << 62), "a long, b long, fp binary").select("a", "b"))
+    return links.unionByName(staged(again.mapInArrow(_compare(threshold, block, 1 << 62), "a long, b long, fp binary").select("a", "b"), "near-links-parts"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bits: int = 64, repeats: bool = True) -> DataFrame:

@@ -7,8 +7,9 @@ similarity of c or more share one of their first n - ceil(c n) + 1 shingles in a
 for all.  The order puts shingles that are frequent in a sample last; the sample has an effect on the work
 only.  Rows that share a shingle of their prefixes are compared unless they are linked already.  Near
 fingerprints are a link.  Others may be as similar as s by their sizes, by the places of the shingle, and
-by the parities of 512 buckets of each set, which differ in no more bits than the sets do in shingles;
-these are checked on the two whole sets.  In large groups each row is first compared with one of them, then
+by the parities of 512 buckets of each set, which differ in no more bits than the sets do in shingles.
+For long texts so few buckets tell little, so pairs are looked at again by sketches, of as many buckets as
+a set has shingles or more; what is left is checked on the two whole sets, of 64 bits a shingle.  In large groups each row is first compared with one of them, then
 with all that are not linked yet, so that many near copies do not make all their pairs.
 
 So no pair of a similarity of s or more is lost, and none within the threshold that has c or more.  Pairs
@@ -23,18 +24,20 @@ shingle; a null doc_id belongs to a component but never names it unless it has n
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.links import components
-from marlstone.llm.shared import HOT, arrow_batches, hold, join_by_class, small_side, staged, texts_of, tidy
+from marlstone.llm.shared import HOT, arrow_batches, forget, hold, join_by_class, small_side, staged, texts_of, tidy
 from marlstone.llm.simhash import _distances, near_links, shingle_hashes, voted
 
 #: Bits of a set's parities; documents of the sample; frequent shingles held of it; keys a task remembers;
-#: rows of a large group.
-PARITIES, SAMPLE, HELD, SEEN, LARGE = 512, 20_000, 500_000, 50_000, 64
+#: rows of a large group; rounds in which prefixes are shuffled, a share of the shingles each.
+PARITIES, SAMPLE, HELD, SEEN, LARGE, ROUNDS = 512, 20_000, 500_000, 50_000, 64, 4
 
 
 def _set_of(text: str, shingle: int) -> tuple[int, np.ndarray]:
@@ -45,11 +48,25 @@ def _set_of(text: str, shingle: int) -> tuple[int, np.ndarray]:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), 42)).view(np.int64)), hashes
 
 
-def _parities(hashes: np.ndarray) -> bytes:
-    counts = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+def _parities(hashes: np.ndarray, buckets: int = PARITIES) -> bytes:
+    counts = np.bincount((hashes % np.uint64(buckets)).astype(np.int64), minlength=buckets)
     return np.packbits(counts & 1).tobytes()
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """The size of a set in 8 bytes, and the parities of as many buckets or more, a power of two."""
+    return np.int64(len(hashes)).tobytes() + _parities(hashes, max(PARITIES, 1 << (len(hashes) - 1).bit_length()))
+
+
+def _apart(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """The sizes of two sets, and by their sketches in how many shingles they differ at least."""
+    n, m = (int(np.frombuffer(s, np.int64, 1)[0]) for s in (x, y))
+    a, b = (np.frombuffer(s, np.uint64, offset=8) for s in (x, y))
+    while len(a) != len(b):  # of half as many buckets
+        a, b = (v[: len(v) // 2] ^ v[len(v) // 2 :] if len(v) > min(len(a), len(b)) else v for v in (a, b))
+    return n, m, int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def _class_rows(shingle: int, bits: int):
     def run(arrow):
         for batch in arrow:
@@ -60,8 +77,9 @@ def _class_rows(shingle: int, bits: int):
                     pa.array([k for k, _ in found], pa.int64()),
                     pa.array([voted(h, bits).astype(">u8").tobytes() if len(h) else bytes(bits // 8) for _, h in found], pa.binary()),
                     pa.array([_parities(h) for _, h in found], pa.binary()),
+                    pa.array([_sketch(h) for _, h in found], pa.binary()),
                 ],
-                ["doc_id", "key", "fp", "parities"],
+                ["doc_id", "key", "fp", "parities", "sketch"],
             )
 
     return run
@@ -275,6 +293,16 @@ def _pairs(compared: Least, least: Least, threshold: int, most: int, star: bool,
     return run
 
 
+def _likely(least: Least):
+    def run(arrow):
+        for batch in arrow:
+            apart = [_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            keep = [d <= n + m - 2 * least.shared(n, m) for n, m, d in apart]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _alike(least: Least):
     def run(arrow):
         for batch in arrow:
@@ -287,18 +315,33 @@ def _alike(least: Least):
     return run
 
 
+def _used(pairs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+    """A row for each key of ``pairs``: how often it is on the left and on the right, and ``column`` of its class."""
+    ends = pairs.select(F.col("a").alias("key"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(pairs.select(F.col("b").alias("key"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    return staged(ends.groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).join(classes.select("key", column), "key"), "similar-used")
+
+
+def _kept(pairs: DataFrame, used: DataFrame, column: str, kept, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that ``kept`` lets pass, by ``column`` of either side."""
+    n = pairs.count()
+    left = join_by_class(pairs, used.select(F.col("key").alias("a"), F.col(column).alias("x"), "l"), ["a"], F.col("l") * HOT > n)
+    both = join_by_class(left, used.select(F.col("key").alias("b"), F.col(column).alias("y"), "r"), ["b"], F.col("r") * HOT > n)
+    return staged(both.select("a", "b", "x", "y").mapInArrow(tidy(kept), "a long, b long"), name)
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, least: Least) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose whole sets are that similar."""
-    ends = pairs.select(F.col("a").alias("key"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(pairs.select(F.col("b").alias("key"), F.lit(0).alias("l"), F.lit(1).alias("r")))
-    used = staged(ends.groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).join(classes.select("key", "least"), "key"), "similar-used")
+    used = _used(pairs, classes, "sketch")
+    pairs = _kept(pairs, used, "sketch", _likely(least), "similar-likely")
+    forget(used)
+    used = _used(pairs, classes, "least")
     named = used.select(F.col("least").alias("id")).distinct()
     theirs = texts.join(small_side(named, used.count(), 1_000_000), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = theirs.mapInArrow(tidy(_set_rows(shingle)), "key long, hashes binary").dropDuplicates(["key"])
     sets = staged(used.join(sets, "key").select("key", "hashes", "l", "r"), "similar-sets")
-    n = pairs.count()
-    left = join_by_class(pairs, sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"), "l"), ["a"], F.col("l") * HOT > n)
-    both = join_by_class(left, sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"), "r"), ["b"], F.col("r") * HOT > n)
-    return staged(both.select("a", "b", "x", "y").mapInArrow(tidy(_alike(least)), "a long, b long"), "similar-checked")
+    checked = _kept(pairs, sets, "hashes", _alike(least), "similar-checked")
+    forget(used, sets)
+    return checked
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -337,28 +380,38 @@ def similar_texts(
     spark, least, loose = docs.sparkSession, Least(*similarity), Least(*compared)
     arrow_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged(texts.mapInArrow(tidy(_class_rows(shingle, bits)), "doc_id long, key long, fp binary, parities binary"), "similar-rows")
-    classes = staged(rows.groupBy("key", "fp", "parities").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "similar-classes")
+    rows = staged(texts.mapInArrow(tidy(_class_rows(shingle, bits)), "doc_id long, key long, fp binary, parities binary, sketch binary"), "similar-rows")
+    classes = staged(rows.groupBy("key", "fp", "parities", "sketch").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "similar-classes")
     roots = _roots(near_links(classes.select("key", "fp"), threshold).select("a", "b"))
 
-    # The rest by prefixes, among what is not linked yet.  A task gets about 64 MB of prefixes.
+    # The rest by prefixes, among what is not linked yet.  A task gets about 64 MB of prefixes.  Groups are
+    # of one shingle, so each round takes a share of the shingles, and only its rows are in a shuffle.
     count = rows.count()
     frequent = hold(spark, frequent_shingles(texts, count, shingle))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 160 * 40 // (64 << 20)))
-    prefixes = texts.mapInArrow(tidy(_prefixes(shingle, loose, frequent)), "h long, key long, n int, place int").repartition(parts, "h").sortWithinPartitions("h")
-    shared = staged(prefixes.mapInArrow(tidy(_shared_rows(loose, most)), "h long, key long, n int, place int, large boolean"), "similar-shared")
-    shared = staged(shared.join(classes.select("key", "fp", "parities"), "key").select("h", "key", "n", "place", "fp", "parities", "large"), "similar-compared")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 160 * 40 // (64 << 20) // ROUNDS))
+    prefixes = staged(texts.mapInArrow(tidy(_prefixes(shingle, loose, frequent)), "h long, key long, n int, place int"), "similar-prefixes")
+    shares = []
+    for k in range(ROUNDS):
+        rows_of = prefixes.where(F.pmod("h", F.lit(ROUNDS)) == k).repartition(parts, "h").sortWithinPartitions("h")
+        some = staged(rows_of.mapInArrow(tidy(_shared_rows(loose, most)), "h long, key long, n int, place int, large boolean"), "similar-shared")
+        shares.append(staged(some.join(classes.select("key", "fp", "parities"), "key").select("h", "key", "n", "place", "fp", "parities", "large"), "similar-compared"))
+        forget(some)
+    forget(prefixes)
     tested = None
     for star in (True, False):
-        rooted = _rooted(shared.where("large") if star else shared, roots)
-        grouped = (rooted if star else _parted(rooted, most)).repartition(parts, "h").sortWithinPartitions("h", "key")
-        found = staged(grouped.mapInArrow(tidy(_pairs(loose, least, threshold, most, star)), "a long, b long, sure boolean").distinct(), "similar-found")
+        pieces = []
+        for shared in shares:
+            rooted = _rooted(shared.where("large") if star else shared, roots)
+            grouped = (rooted if star else _parted(rooted, most)).repartition(parts, "h").sortWithinPartitions("h", "key")
+            pieces.append(staged(grouped.mapInArrow(tidy(_pairs(loose, least, threshold, most, star)), "a long, b long, sure boolean").distinct(), "similar-found-by-share"))
+        found = staged(reduce(DataFrame.unionByName, pieces).distinct(), "similar-found")
         pairs = found.where("not sure").select("a", "b")
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs") if tested else pairs
         links = found.where("sure").select("a", "b").unionByName(_checked(pairs, texts, classes, shingle, least))
         # The roots join all that earlier links do, by one link a key; so those need not be followed again.
         roots = _roots(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(links))
         tested = pairs
+    forget(*shares)
     frequent.unpersist()
 
     linked = staged(_rooted(classes.select("key", "least", "n"), roots), "similar-linked")

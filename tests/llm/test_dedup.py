@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -258,6 +259,48 @@ def test_links_of_near_copies_are_followed_once(spark, monkeypatch):
     assert given[0] > 5 * len(texts) and len(given) == 3 and max(given[1:]) <= 2 * len(texts)
 
 
+def test_sketches_tell_long_texts_apart_and_lose_no_similar_ones():
+    from marlstone.llm.similar import Least, _apart, _likely, _parities, _sketch
+
+    rng, least = np.random.default_rng(47), Least(4, 5)
+    for n, m in ((1, 1), (300, 300), (500, 540), (1500, 1800), (2040, 2060), (9000, 9500)):
+        x, y = (np.unique(rng.integers(0, 2**64, k, dtype=np.uint64)) for k in (n, m))
+        whole = 2 * least.shared(n, m)
+        assert _apart(_sketch(x), _sketch(x)) == (n, n, 0)
+        if n > 1000:  # 512 buckets differ in too few bits for that, sketches do not
+            few = np.bitwise_count(np.frombuffer(_parities(x), np.uint64) ^ np.frombuffer(_parities(y), np.uint64)).sum()
+            assert few <= n + m - whole < _apart(_sketch(x), _sketch(y))[2]
+        z = np.unique(np.r_[x[: least.shared(n, m)], y[: m - least.shared(n, m)]])  # as similar as asked, just so
+        n, m, apart = _apart(_sketch(x), _sketch(z))
+        assert apart <= len(np.setxor1d(x, z)) <= n + m - 2 * least.shared(n, m)
+        batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "x": [_sketch(x)], "y": [_sketch(z)]})
+        assert [b.num_rows for b in _likely(least)([batch])] == [1]
+
+
+def test_files_of_shuffles_and_tables_go_when_they_are_not_needed(spark, monkeypatch):
+    """What the near-duplicate stage writes by the way is not on disk until the driver collects its garbage."""
+    from marlstone.llm import similar
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before, gone, kept = tracker.shuffleStatuses().size(), [], similar.forget
+    monkeypatch.setattr(similar, "forget", lambda *tables: (gone.extend(t.staged_at for t in tables), kept(*tables)))
+    df = spark.createDataFrame(list(enumerate(edited_texts(53))), "doc_id long, text string")
+    shared.staged(df.repartition(7).groupBy("text").count(), "of-two-shuffles")
+    assert tracker.shuffleStatuses().size() <= before
+    found = similar_texts(df)
+    assert found.count() == df.count()
+    assert any("similar-prefixes" in g for g in gone) and any("similar-sets" in g for g in gone)
+    assert not any(os.path.exists(g.removeprefix("file://")) for g in gone)
+
+
+def test_anchors_come_word_by_word():
+    """The replicas of wide fingerprints are on disk for a word at a time; together they are the same."""
+    batch = pa.RecordBatch.from_pydict({"key": [1], "fp": [bytes(range(32))]})
+    at = [[a for b in simhash._anchors(k)([batch]) for a in b.column("anchor").to_pylist()] for k in range(4)]
+    assert all(32 <= len(a) <= 34 for a in at)
+    assert {a >> 32 for k in at for a in k} == set(range(8)) and sorted({a >> 32 for a in at[3]}) == [6, 7]
+
+
 def test_sizes_that_a_similarity_asks_for():
     """The bounds hold for all small sizes: as many as needed and no more."""
     least = Least(4, 5)
