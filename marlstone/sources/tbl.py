@@ -32,5 +32,5 @@ def read_tbl(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def convert_tbl(spark: SparkSession, source: str, target: str, names: tuple[str, ...] = ("customer", "orders", "lineitem")) -> dict[str, list[str]]:
-    """``source``/<name>.tbl to ``target``/<name>.parquet."""
-    return {n: write_parquet(read_tbl(spark, n, f"{source}/{n}.tbl"), f"{target}/{n}.parquet") for n in names}
+    """``source``/<name>.tbl to the folders ``target``/<name>, a file for each split of the text; the files made."""
+    return {n: write_parquet(read_tbl(spark, n, f"{source}/{n}.tbl"), f"{target}/{n}") for n in names}

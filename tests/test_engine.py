@@ -283,6 +283,20 @@ def test_tbl(spark, tmp_path):
     assert tuple(spark.read.parquet(made["lineitem"][0]).first()) == (1, 17.0, 21168.23, 0.04, 0.02, "N", "O", "1996-03-13")
 
 
+def test_tbl_is_converted_by_many_tasks(spark, tmp_path):
+    """No task reads the whole text: each of its splits becomes a file."""
+    (tmp_path / "orders.tbl").write_text("".join(f"{i}|{i % 7}|O|1.5|1996-01-02|5-LOW|Clerk#1|0|text|\n" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        made = convert_tbl(spark, str(tmp_path), str(tmp_path / "out"), ("orders",))["orders"]
+        rows = spark.read.parquet(*made)
+        assert len(made) > 3 and max(spark.read.parquet(p).count() for p in made) < 1000
+        assert sorted(map(tuple, rows.collect())) == [(i, i % 7, "1996-01-02", 0) for i in range(2000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_appending_to_a_table_that_lies_elsewhere_keeps_its_rows(spark, data, tmp_path):
     path = str(tmp_path / "catalog.json")
     e = Engine(spark, EngineConfig(catalog_path=path))
